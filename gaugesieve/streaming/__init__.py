@@ -1,0 +1 @@
+"""Left empty: the screening work is batch only and has no streaming operator."""
