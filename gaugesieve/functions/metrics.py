@@ -16,36 +16,49 @@ def counts(y: Column, pred: Column) -> dict[str, Column]:
             "FP": F.count_if((y == 0) & (pred == 1)), "FN": F.count_if((y == 1) & (pred == 0))}
 
 
-TP, TN, FP, FN = F.col("TP"), F.col("TN"), F.col("FP"), F.col("FN")
+def tp() -> Column:
+    return F.col("TP")
+
+
+def tn() -> Column:
+    return F.col("TN")
+
+
+def fp() -> Column:
+    return F.col("FP")
+
+
+def fn() -> Column:
+    return F.col("FN")
 
 
 def precision() -> Column:
-    return ratio(TP, TP + FP)
+    return ratio(tp(), tp() + fp())
 
 
 def recall() -> Column:
-    return ratio(TP, TP + FN)
+    return ratio(tp(), tp() + fn())
 
 
 def f1() -> Column:
-    return ratio(2 * TP, 2 * TP + FP + FN)
+    return ratio(2 * tp(), 2 * tp() + fp() + fn())
 
 
 def macro_f1() -> Column:
     """Mean F1 of the classes that occur in truth or prediction."""
-    positive = F.when(TP + FP + FN > 0, f1())
-    negative = F.when(TN + FP + FN > 0, ratio(2 * TN, 2 * TN + FP + FN))
+    positive = F.when(tp() + fp() + fn() > 0, f1())
+    negative = F.when(tn() + fp() + fn() > 0, ratio(2 * tn(), 2 * tn() + fp() + fn()))
     seen = positive.isNotNull().cast("int") + negative.isNotNull().cast("int")
     return ratio(F.coalesce(positive, F.lit(0.0)) + F.coalesce(negative, F.lit(0.0)), seen)
 
 
 def accuracy() -> Column:
-    return ratio(TP + TN, TP + TN + FP + FN)
+    return ratio(tp() + tn(), tp() + tn() + fp() + fn())
 
 
 def balanced_accuracy() -> Column:
     """Mean recall of the classes that occur in the truth."""
-    sides = [F.try_divide(TP.cast("double"), TP + FN), F.try_divide(TN.cast("double"), TN + FP)]
+    sides = [F.try_divide(tp().cast("double"), tp() + fn()), F.try_divide(tn().cast("double"), tn() + fp())]
     seen = sides[0].isNotNull().cast("int") + sides[1].isNotNull().cast("int")
     return ratio(F.coalesce(sides[0], F.lit(0.0)) + F.coalesce(sides[1], F.lit(0.0)), seen)
 
@@ -57,4 +70,4 @@ def metric_columns(macro: bool = False) -> dict[str, Column]:
 
 
 def flagged_share() -> dict[str, Column]:
-    return {"Num_Flagged": TP + FP, "Flag_Pct": ratio((TP + FP) * 100.0, TP + TN + FP + FN)}
+    return {"Num_Flagged": tp() + fp(), "Flag_Pct": ratio((tp() + fp()) * 100.0, tp() + tn() + fp() + fn())}

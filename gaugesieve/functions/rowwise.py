@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INF = float("inf")
-NO_DOUBLE = F.lit(None).cast("double")
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -27,7 +26,7 @@ def number(df: DataFrame, name: str) -> Column:
         value = col.cast("double")
     else:
         raise TypeError(f"column {name} of type {kind.simpleString()} is not numeric")
-    return F.nanvl(value, NO_DOUBLE)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def finite(value: Column) -> Column:

@@ -50,25 +50,31 @@ def spread_salt(df: DataFrame, salts: int, *extra) -> Column:
     return F.pmod(content + F.spark_partition_id(), F.lit(salts))
 
 
-def cut_points(values: DataFrame, by, value: str) -> DataFrame:
-    """One row per group: approximate equal-frequency cut points of ``value``, for bucketing only."""
-    probs = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
-    return values.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("__cuts"))
-
+def with_bucket(df: DataFrame, values: DataFrame, by, value: str, out: str) -> DataFrame:
+    """Add a bucket number that, within a group, never decreases as ``value`` grows.
 
-def ordered_bucket(value: Column, cuts: Column) -> Column:
-    """A bucket number that never decreases as ``value`` grows.
-
-    Cut points pick the segment, equal steps divide it. Poor cut points make
-    buckets uneven and nothing worse.
+    Approximate quantiles of ``values`` cut each group into SEGMENTS ranges, equal
+    steps divide a range. Poor cuts make buckets uneven and nothing worse.
     """
-    inner = [(value >= F.get(cuts, F.lit(i))).cast("int") for i in range(1, SEGMENTS)]
-    segment = reduce(add, inner)
-    low, high = F.get(cuts, segment), F.get(cuts, segment + 1)
-    width = high - low
+    probs = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
+    cuts = values.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("cuts"))
+    place = F.col("segment")
+    ranges = cuts.select(*by, "cuts", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment")).select(
+        *by, "segment", F.get("cuts", place).alias("low"), F.get("cuts", place + 1).alias("high"))
+    ranges = ranges.select(
+        *[F.col(c).alias(f"__by_{c}") for c in by], F.col("segment").alias("__segment"),
+        F.col("low").alias("__low"), (F.col("high") - F.col("low")).alias("__width"),
+        F.when(place == 0, float("-inf")).otherwise(F.col("low")).alias("__from"),
+        F.when(place < SEGMENTS - 1, F.col("high")).alias("__to"))
+    v = F.col(value)
+    inside = reduce(and_, [F.col(c) == F.col(f"__by_{c}") for c in by],
+                    (v >= F.col("__from")) & (F.col("__to").isNull() | (v < F.col("__to"))))
+    width = F.col("__width")
+    step = F.floor(F.least(F.greatest((v - F.col("__low")) / width * STEPS, F.lit(0.0)), F.lit(STEPS - 1.0)))
     usable = (width > 0) & (width < F.lit(float("inf")))
-    step = F.floor(F.least(F.greatest((value - low) / width * STEPS, F.lit(0.0)), F.lit(STEPS - 1.0)))
-    return segment * STEPS + F.when(usable, step).otherwise(F.lit(0)).cast("int")
+    bucket = F.col("__segment") * STEPS + F.when(usable, step.cast("int")).otherwise(F.lit(0))
+    # Each value falls into exactly one of its group's SEGMENTS ranges.
+    return df.join(F.broadcast(ranges), inside).select(*[F.col(f"`{c}`") for c in df.columns], bucket.alias(out))
 
 
 def melt(df: DataFrame, columns: dict[str, Column], keep=(), name: str = "feature",
@@ -88,9 +94,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) ->
     by = list(by)
     group = [*by, "feature"]
     long = melt(df, columns, by)
-    cuts = cut_points(long, group, "value")
-    bucketed = long.join(F.broadcast(cuts), group).select(
-        *group, "value", ordered_bucket(F.col("value"), F.col("__cuts")).alias("bucket"))
+    bucketed = with_bucket(long, long, group, "value", "bucket")
 
     below = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = bucketed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n")).select(
@@ -149,9 +153,7 @@ def sums_below(df: DataFrame, by, value: str, sums: dict[str, Column]) -> DataFr
     data = df if by else df.withColumn("__all", F.lit(1))
     group = by or ["__all"]
     per_value = data.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    cuts = cut_points(data, group, value)
-    bucketed = per_value.join(F.broadcast(cuts), group).withColumn(
-        "__bucket", ordered_bucket(F.col(value), F.col("__cuts"))).drop("__cuts")
+    bucketed = with_bucket(per_value, data, group, value, "__bucket")
     totals = bucketed.groupBy(*group, "__bucket").agg(*[F.sum(n).alias(f"__sum_{n}") for n in sums])
     before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*group, "__bucket", *[

@@ -53,8 +53,8 @@ def confusion(df: DataFrame, by=()) -> DataFrame:
 def confusion_matrix(df: DataFrame) -> DataFrame:
     """Two rows, true class by predicted class, with row totals."""
     return tall(confusion(df), {
-        "True Valid": {"Predicted_Valid": M.TN, "Predicted_Invalid": M.FP, "Row_Total": M.TN + M.FP},
-        "True Invalid": {"Predicted_Valid": M.FN, "Predicted_Invalid": M.TP, "Row_Total": M.FN + M.TP}}, "Actual")
+        "True Valid": {"Predicted_Valid": M.tn(), "Predicted_Invalid": M.fp(), "Row_Total": M.tn() + M.fp()},
+        "True Invalid": {"Predicted_Valid": M.fn(), "Predicted_Invalid": M.tp(), "Row_Total": M.fn() + M.tp()}}, "Actual")
 
 
 def _score_counts(df: DataFrame, by) -> DataFrame:
@@ -146,7 +146,7 @@ def threshold_sweep(df: DataFrame, probability: str, y: Column, thresholds=THRES
         t: {"TP": F.col(f"tp_{i}"), "FP": F.col(f"fp_{i}"), "FN": F.col("positives") - F.col(f"tp_{i}"),
             "TN": F.col("rows") - F.col("positives") - F.col(f"fp_{i}")}
         for i, t in enumerate(thresholds)}, "Threshold")
-    matrix = F.format_string("[[%d, %d], [%d, %d]]", M.TN, M.FP, M.FN, M.TP)
+    matrix = F.format_string("[[%d, %d], [%d, %d]]", M.tn(), M.fp(), M.fn(), M.tp())
     return table.withColumns({**M.flagged_share(), **M.metric_columns(), "Confusion_Matrix": matrix})
 
 
@@ -172,7 +172,7 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def fold_metrics(df: DataFrame, probability: str, y: Column, threshold: float, fold: str = "fold") -> DataFrame:
     pred = (number(df, probability) >= threshold).cast("int")
     scored = df.select(F.col(fold).alias("Fold"), y.alias("y"), pred.alias("pred"))
-    sizes = M.TP + M.TN + M.FP + M.FN
+    sizes = M.tp() + M.tn() + M.fp() + M.fn()
     return confusion(scored, ["Fold"]).withColumns({"Fold_Size": sizes, **M.metric_columns()})
 
 
@@ -190,9 +190,9 @@ def regime_performance(df: DataFrame, spec: MeasurementSpec, methods, min_rows:
     long = long_predictions(df.withColumn("Operating_Regime", regime),
                             methods, encode_label(spec, trim=False), ["Operating_Regime"])
     return confusion(long, ["Operating_Regime", "method"]).filter(
-        M.TP + M.TN + M.FP + M.FN >= min_rows).select(
-        "Operating_Regime", (M.TP + M.TN + M.FP + M.FN).alias("Regime_Record_Count"),
-        (M.TP + M.FN).alias("Regime_Invalid_Count"), F.col("method").alias("Method"),
+        M.tp() + M.tn() + M.fp() + M.fn() >= min_rows).select(
+        "Operating_Regime", (M.tp() + M.tn() + M.fp() + M.fn()).alias("Regime_Record_Count"),
+        (M.tp() + M.fn()).alias("Regime_Invalid_Count"), F.col("method").alias("Method"),
         M.precision().alias("Precision"), M.recall().alias("Recall"), M.f1().alias("F1_Score"))
 
 

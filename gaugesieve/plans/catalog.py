@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("checks_flags",)
+FAMILIES = ("checks_flags", "checks_audit")
 
 
 def _families():
