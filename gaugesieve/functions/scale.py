@@ -7,11 +7,10 @@ from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-SEGMENTS = 16
-STEPS = 1024
+SEGMENTS = 8
+STEPS = 2048
 MAX_HOT_KEYS = 1000
 
 
@@ -222,5 +221,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_boolean(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.BooleanType)
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan that has fewer partitions than the cluster has cores.
+
+    A table of many splits, the ordinary case, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -45,6 +46,6 @@ def correlation_p(r: float, n: float) -> float | None:
     return beta_tail((n - 2) / 2.0, 0.5, 1.0 - min(r * r, 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(a, b) for a, b in zip(r, n)], dtype="float64")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("checks_flags", "checks_audit")
+FAMILIES = ("checks_flags", "checks_audit", "checks_features", "checks_classes", "checks_evaluation")
 
 
 def _families():

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugesieve.functions.scale import spread_scan
 from gaugesieve.spec import MeasurementSpec
 
+SOURCE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
 SPEC = MeasurementSpec().with_row_key("rid")
 
 BASE = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
@@ -67,7 +69,8 @@ def _variant_columns(name: str) -> list[str]:
 
 
 def measurements(spark: SparkSession, sf_dir: str, variant: str | None = None) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lineitem = spread_scan(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*SOURCE_COLUMNS), "l_orderkey", "l_partkey")
     base = spark.sql(BASE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
     table = spark.sql(MEASUREMENTS.replace("FROM b", "FROM {b}"), b=base)
     if variant is None:
