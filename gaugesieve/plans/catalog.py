@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("checks_flags", "checks_audit", "checks_features", "checks_classes", "checks_evaluation")
+FAMILIES = ("checks_flags", "checks_audit", "checks_features", "checks_classes", "checks_evaluation", "checks_models")
 
 
 def _families():
