@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 SEGMENTS = 8
 STEPS = 2048
 MAX_HOT_KEYS = 1000
+SMALL_VALUES = 2_500_000
 
 
 def hot_keys(df: DataFrame, keys, fraction: float = 0.001, seed: int = 17) -> DataFrame:
@@ -134,8 +135,18 @@ def quantile_columns(quantiles: DataFrame, names: dict[float, str], by=()) -> Da
 
 
 def collect_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[str, dict[float, float]]:
-    """Quantiles as a dictionary on the driver: one number per column and probability."""
+    """Quantiles as a dictionary on the driver: one number per column and probability.
+
+    Up to SMALL_VALUES values the built-in exact ``percentile`` answers in one pass; it keeps
+    every distinct value in memory, so anything larger goes through the buckets.
+    """
     found: dict[str, dict[float, float]] = {name: {} for name in columns}
+    if df.count() * len(columns) <= SMALL_VALUES:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns.values())]).first()
+        for i, name in enumerate(columns):
+            found[name] = dict(zip(probs, row[i])) if row[i] is not None else {}
+        return found
     for row in exact_quantiles(df, columns, probs).collect():
         found[row["feature"]][row["prob"]] = row["quantile"]
     return found

@@ -151,8 +151,10 @@ def fit_classifier(train: DataFrame, spec: MeasurementSpec, columns, config: Cla
         filled = train.select(*[v.alias(c) for c, v in zip(columns, _values(train, columns, fills, {}))])
         scaling = fit_scaling(filled, columns)
     data = _assembled(train, _values(train, columns, fills, scaling)).select(
-        "features", y.cast("double").alias("label"), weight.alias("weight"))
-    return FittedClassifier(columns, fills, scaling, _estimator(config, data, seed).fit(data), forest)
+        "features", y.cast("double").alias("label"), weight.alias("weight")).persist()
+    model = _estimator(config, data, seed).fit(data)
+    data.unpersist()
+    return FittedClassifier(columns, fills, scaling, model, forest)
 
 
 def _estimator(config: ClassifierConfig, data: DataFrame, seed: int):
