@@ -92,3 +92,12 @@ def pairs_of(names) -> list[tuple[str, str]]:
 
 def short_name(sensor: str) -> str:
     return sensor.replace("Sensor_", "")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation aggregate over rows with both values, NULL where one of them is constant.
+
+    The built-in ``corr`` raises a division by zero there in ANSI mode.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.rowwise import (
-    INF, any_of, joined_names, mean_of, number, pairs_of, spread_of, true_or_false,
+    INF, any_of, correlation, joined_names, mean_of, number, pairs_of, spread_of, true_or_false,
 )
 from gaugesieve.functions.scale import exact_quantiles, melt, quantile_columns
 from gaugesieve.operators.duplicates import duplicate_group_sizes, duplicate_report, repeated_ids
@@ -161,7 +161,7 @@ def outlier_candidates(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 def sensor_correlations(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     """Pearson matrix of the sensors, pairwise complete, one row per sensor."""
     sensors = spec.present(df, spec.sensors)
-    summary = df.agg(*[F.corr(number(df, a), number(df, b)).alias(f"{a}|{b}") for a, b in pairs_of(sensors)],
+    summary = df.agg(*[correlation(number(df, a), number(df, b)).alias(f"{a}|{b}") for a, b in pairs_of(sensors)],
                      *[F.when(F.stddev_pop(number(df, s)) > 0, 1.0).alias(f"{s}|{s}") for s in sensors])
 
     def cell(a, b):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.rowwise import mean_of, number, pairs_of, spread_of, true_or_false
+from gaugesieve.functions.rowwise import correlation, number, pairs_of, true_or_false
 from gaugesieve.functions.scale import exact_quantiles, lookup_by_key, melt, quantile_columns, sums_below
 from gaugesieve.functions.stats import correlation_p_value
 from gaugesieve.operators.audit import percent, tall
@@ -55,7 +55,7 @@ def _per_class(df: DataFrame, spec: MeasurementSpec, columns) -> DataFrame:
             aggs += [F.count(x).alias(f"{tag}_n_{k}"), F.avg(x).alias(f"{tag}_mean_{k}"),
                      F.stddev_samp(x).alias(f"{tag}_std_{k}"), F.var_samp(x).alias(f"{tag}_var_{k}")]
     y = encode_label(spec, trim=False)
-    aggs += [F.corr(number(df, c), F.when(number(df, c).isNotNull(), y.cast("double"))).alias(f"r_{k}")
+    aggs += [correlation(number(df, c), F.when(number(df, c).isNotNull(), y.cast("double"))).alias(f"r_{k}")
              for k, c in enumerate(columns)]
     return df.agg(*aggs)
 
@@ -295,7 +295,7 @@ def relationships(df: DataFrame, spec: MeasurementSpec, min_values: int = 10) ->
             F.col(f"below_n_{side}") + (F.col(f"n_{side}") + 1) / 2).alias(f"rank_{side}"))
         ranked = lookup_by_key(ranked, ranks, ["pair", side], f"n_{side}").drop(f"n_{side}")
     stats = ranked.groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.corr("rank_x", "rank_y").alias("rho"))
+        F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"), correlation(F.col("rank_x"), F.col("rank_y")).alias("rho"))
 
     names = df.sparkSession.createDataFrame(
         [(k, kind, a, b) for k, (kind, a, b) in enumerate(pairs)],
@@ -378,7 +378,7 @@ def sensor_investigation(df: DataFrame, spec: MeasurementSpec, sensor: str | Non
     sensors = spec.present(df, spec.sensors)
     summary = df.agg(
         F.count_if(gone).alias("missing"), F.avg(F.when(gone, y)).alias("rate"),
-        *[F.corr(F.when(~gone, F.coalesce(number(df, s), F.lit(0.0))), F.when(~gone, y)).alias(f"r_{s}")
+        *[correlation(F.when(~gone, F.coalesce(number(df, s), F.lit(0.0))), F.when(~gone, y)).alias(f"r_{s}")
           for s in sensors])
     rows = {f"{sensor} Missingness Signal": {
         "Records": F.col("missing"), "Value": F.coalesce(F.col("rate") * 100.0, F.lit(0.0))}}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.rowwise import any_of, count_true, number, total, true_or_false
+from gaugesieve.functions.rowwise import any_of, count_true, number, true_or_false
 from gaugesieve.functions.scale import exact_quantiles
 from gaugesieve.operators.flags import SCORED_FLAGS
 from gaugesieve.spec import MeasurementSpec
@@ -85,7 +85,3 @@ def fit_detector(train: DataFrame, spec: MeasurementSpec, method: str = "isolati
         from gaugesieve.operators.lof import fit_lof
         return fit_lof(train, columns, **options)
     raise ValueError(f"unknown method {method!r}")
-
-
-def any_mask(masks: dict[str, Column]) -> Column:
-    return total([m.cast("int") for m in masks.values()]) > 0
