@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugesieve.functions.scale import durable
 from gaugesieve.operators import evaluate, models, submit
-from gaugesieve.operators.detectors import (
-    fit_detector, iqr_detector, quality_detector, residual_detector, zscore_detector,
-)
+from gaugesieve.operators.baselines import run_baselines
+from gaugesieve.operators.detectors import fit_detector
 from gaugesieve.operators.features import matrix_columns
-from gaugesieve.operators.flags import encode_label, quality_flags
+from gaugesieve.operators.flags import quality_flags
 from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows
 from gaugesieve.plans.registry import Checks
 
@@ -196,23 +196,14 @@ def diagnostics(spark, sf_dir):
 @checks.check("q_baselines")
 def baselines(spark, sf_dir):
     """The six baseline detectors side by side."""
-    df = measurements(spark, sf_dir)
-    train, _ = models.screening_features(df, SPEC)
-    frame = quality_detector(train)
-    frame = zscore_detector(iqr_detector(frame, SPEC), SPEC)
-    frame = residual_detector(frame)
-    frame = fit_detector(df, SPEC, trees=100).detect(frame)
-    frame = fit_detector(df, SPEC, "lof").detect(frame)
-    long = evaluate.long_predictions(
-        frame, ["quality", "iqr", "zscore", "iforest", "lof", "residual"], encode_label(SPEC))
-    return evaluate.evaluate_detectors(long)
+    return run_baselines(measurements(spark, sf_dir), SPEC, forest_trees=100)["metrics"]
 
 
 @checks.check("q_hybrid_on_oof")
 def hybrid_on_oof(spark, sf_dir):
     """The hybrid comparison on flags and residuals fitted on this table and fold-isolated anomaly flags."""
-    df = models.stratified_folds(measurements(spark, sf_dir), SPEC)
+    df = durable(models.stratified_folds(measurements(spark, sf_dir), SPEC))
     flagged = models.oof_anomaly_flags(df, SPEC, trees=50).select("rid", "anomaly_flag")
     features, _ = models.screening_features(df.drop("fold"), SPEC)
-    joined = features.join(flagged, "rid").withColumn("p", F.expr(PROBABILITY))
+    joined = durable(features.join(flagged, "rid")).withColumn("p", F.expr(PROBABILITY))
     return evaluate.compare_hybrids(joined, SPEC, "p", F.col("anomaly_flag"))
