@@ -219,19 +219,6 @@ def lookup_by_key(left: DataFrame, table: DataFrame, keys, weight: str, salts: i
     return salted.drop("__hot").join(side, [*keys, "__salt"]).drop("__salt")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if folder is None:
-            import tempfile
-            folder = tempfile.mkdtemp(prefix="gaugesieve-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a scan that has fewer partitions than the cluster has cores.
 

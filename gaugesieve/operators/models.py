@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from gaugesieve.functions import metrics as M
 from gaugesieve.functions.rowwise import finite, number
-from gaugesieve.functions.scale import durable, rank_by_digest, row_digest
+from gaugesieve.functions.scale import rank_by_digest, row_digest
+from gaugesieve.functions.storage import durable
 from gaugesieve.operators.audit import active_features
 from gaugesieve.operators.evaluate import check_oof, evaluate_detectors
 from gaugesieve.operators.features import row_features, with_context

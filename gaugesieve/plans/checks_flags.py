@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugesieve.functions.storage import new_path
 from gaugesieve.operators import duplicates, flags
 from gaugesieve.plans.measurements import COLUMNS, SPEC, measurements, scoring_rows, sql_with
 from gaugesieve.plans.registry import Checks
@@ -61,11 +59,7 @@ def load_unlabelled(spark, sf_dir):
 
 def _written(df: DataFrame, fmt: str = "parquet") -> str:
     """Write a table to a new folder under the session's shared folder and return its path."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        path = tempfile.mkdtemp(prefix="gaugesieve-") + "/table"
-    else:
-        path = os.path.join(shared, f"gaugesieve-{os.urandom(8).hex()}")
+    path = new_path(df.sparkSession, "table")
     io.write_table(df, path, fmt)
     return path
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.scale import durable
+from gaugesieve.functions.storage import durable
 from gaugesieve.operators import evaluate, models, submit
 from gaugesieve.operators.baselines import run_baselines
 from gaugesieve.operators.detectors import fit_detector
