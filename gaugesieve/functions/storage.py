@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,3 +49,11 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sized_broadcast(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table`` of a few numbers per row, to be broadcast if it has at most BROADCAST_ROWS rows, else as it is.
+
+    ``table`` should be stored: its rows are counted unless ``rows`` is given.
+    """
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
