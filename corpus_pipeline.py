@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugesieve.functions.storage import stored
-from gaugesieve.llm import mixing, ngram_join, packing
+from gaugesieve.llm import mixing, ngram_join, packing, quality, secret_scan
+
+THRESHOLD = 0.3
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on ``labels``, scores below the threshold go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(quality.quality_score(model, docs["text"]) >= THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +21,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_per_class(docs)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in their texts are replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat as often as the mix of sources takes them."""
     return mixing.mixed_rows(docs)
@@ -23,7 +36,13 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates), ("source mix", source_mix), ("best-fit packing", best_fit)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", best_fit),
+]
 
 # The classifier and the seeded choices have no counterpart in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.storage import sized_broadcast, stored
+from gaugesieve.llm.batches import small_batches
 from gaugesieve.llm.components import components
 from gaugesieve.llm.hashing import WordHasher, mixed, shingles
 
@@ -36,11 +37,9 @@ MEMBERS = "class long, n long, shingles array<long>"
 
 
 def _batches(batches, width: int, pool_of):
-    """For each batch: ids, class hashes and sizes of the shingle sets, and the kept part of each set."""
+    """For each small batch: the batch, class hashes and sizes of the shingle sets, and the kept part of each set."""
     hasher = WordHasher()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        texts = texts.fill_null("").cast(pa.binary()).to_pylist()
+    for batch, texts in small_batches(batches, 1):
         words, first = hasher.texts(texts)
         sets = [shingles(words[a:b], width) for a, b in zip(first[:-1], first[1:])]
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -48,7 +47,7 @@ def _batches(batches, width: int, pool_of):
             # Equal sets have equal sums of mixed members; the size is part of the class.
             sums = np.array([int(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))) for s in sets], np.uint64)
             classes = mixed(sums + sizes.astype(np.uint64)).view(np.int64)
-        yield ids, classes, sizes, [pool_of(s) for s in sets]
+        yield batch, classes, sizes, [pool_of(s) for s in sets]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -64,9 +63,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pool_s
 
         def pool(s):
             return s[:np.searchsorted(s, bound)]
-        for ids, classes, sizes, kept in _batches(batches, width, pool):
+        for batch, classes, sizes, kept in _batches(batches, width, pool):
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(classes), pa.array(sizes), _lists(kept)], ["doc", "class", "n", "pool"])
+                [batch.column(0), pa.array(classes), pa.array(sizes), _lists(kept)], ["doc", "class", "n", "pool"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return source.mapInArrow(run, SETS)
@@ -75,13 +74,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pool_s
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(class, n, shingles): the whole set of each wanted class, from the text of one document (class, doc) of it."""
     def run(batches):
-        for batch in batches:
-            expected = batch.column(2).to_numpy()
-            for _, classes, sizes, sets in _batches([batch.select([0, 1])], width, lambda s: s):
-                keep = np.flatnonzero(classes == expected)  # other rows with the same id have another class
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes[keep]), pa.array(sizes[keep]), _lists([sets[i] for i in keep])],
-                    ["class", "n", "shingles"])
+        for batch, classes, sizes, sets in _batches(batches, width, lambda s: s):
+            keep = np.flatnonzero(classes == batch.column(2).to_numpy())  # other rows with the same id have another class
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes[keep]), pa.array(sizes[keep]), _lists([sets[i] for i in keep])], ["class", "n", "shingles"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = source.join(wanted, source["doc"].eqNullSafe(wanted["doc"])).select(source["doc"], "text", "class")
@@ -203,11 +199,15 @@ class JaccardJoin:
 
     def result(self) -> DataFrame:
         """(doc, n_shingles, component_id) per row of ``docs``; component_id is the smallest id that links reach."""
-        nodes = self.sets.join(self.linked, F.col("class") == F.col("node"), "left").select(
-            "doc", F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("comp"))
-        ids = nodes.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc").alias("least"))
-        return nodes.join(ids, "comp", "left").select("doc", "n_shingles", F.coalesce("least", "doc").alias("component_id"))
+        classes = self.sets.filter("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.count("*").alias("rows"))
+        linked = classes.join(self.linked, F.col("class") == F.col("node"))
+        reached = linked.groupBy("component").agg(F.min("least").alias("reached"))
+        ids = linked.join(reached, "component").select(F.col("class").alias("of"), "reached")
+        # Only classes with several rows or links need an id other than the row's own.
+        placed = classes.join(ids, F.col("class") == F.col("of"), "left").filter("rows > 1 OR of IS NOT NULL").select(
+            "class", F.coalesce("reached", "least").alias("component_id"))
+        return self.sets.join(sized_broadcast(stored(placed, "placed")), "class", "left").select(
+            "doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -5,19 +5,107 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugesieve.llm import mixing, ngram_join, packing
+from gaugesieve.functions.storage import new_path
+from gaugesieve.llm import imatch, licenses, mixing, ngram_join, packing, quality, secret_scan, token_scan, topk, warc
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC files and read back: responses with their payload, revisits by header only."""
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    full = warc.read_warc(spark, path).filter("warc_type = 'response'").select(
+        "record_id", "warc_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.sha1_base32(F.col("payload")).alias("payload_digest"))
+    light = warc.read_warc(spark, path, payload=False).filter("warc_type = 'revisit'").select(
+        "record_id", "warc_type", "refers_to", F.col("payload_length").alias("payload_bytes"),
+        F.substring_index("payload_digest", ":", -1).alias("payload_digest"))
+
+    def page(name: str):
+        return F.regexp_extract(name, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
+
+    return full.unionByName(light).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"))
+
+
+ORACLE_OP1 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hexadecimal FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hexadecimal) AS first_id FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(1 + ((CAST('0x' || substr(hexadecimal, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+ORACLE_OP2 = """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as flat token files, scanned again: tokens per document."""
+    path = new_path(spark, "tokens")
+    placed = token_scan.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER, END_OF_DOCUMENT)
+    counts = token_scan.token_counts(spark, path, END_OF_DOCUMENT)
+    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
+    found = counts.withColumn("of_part", part).withColumnRenamed("place", "of_place")
+    return found.join(placed, (F.col("of_part") == F.col("part")) & (F.col("of_place") == F.col("place"))).select(
+        "doc_id", "n_tokens", "part", "place", "first_token", "closed")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     found = mixing.mixture(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the attention model; held-out rows never trained it."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.imatch(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its bin."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -28,5 +116,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op9_best_fit, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_top_k, op3_token_counts, op4_mixing, op5_quality, op6_imatch, op7_secrets, op8_licenses, op9_best_fit,
+    op10_jaccard_join)}
+ORACLE_SQL = {"op1_warc": ORACLE_OP1, "op2_top_k": ORACLE_OP2}
