@@ -89,12 +89,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     cuts = ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 4 << depth))).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     # Every cut opens a range. Found by halving: the number of cuts that are not above the id.
-    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>") if cuts else None
     place = F.lit(0)
-    for step in (1 << i for i in reversed(range(len(cuts).bit_length()))):
-        beyond = F.get(listed, place + (step - 1))
-        place = place + F.when(beyond <= F.col("doc_id"), F.lit(step)).otherwise(F.lit(0))
-    ranged = rows.withColumn("range", place if cuts else F.lit(0))
+    if cuts:
+        listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+        place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+            F.get(listed, at + step - 1) <= F.col("doc_id"), step).otherwise(0))
+    ranged = rows.withColumn("range", place)
     firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     found = sorted((r["range"], r["first_id"], r["nulls"] > 0) for r in firsts.collect())  # one row per range
     if not found:

@@ -158,7 +158,7 @@ class WarcReader(DataSourceReader):
         files = sorted((f.path, f.size) for f in found if f.is_file and not posixpath.basename(f.path).startswith(("_", ".")))
         chunks, size = [], self.partition_bytes
         for name, length in files:
-            if size + length > self.partition_bytes and (not chunks or chunks[-1]):
+            if not chunks or size and size + length > self.partition_bytes:
                 chunks.append([])
                 size = 0
             chunks[-1].append(name)
