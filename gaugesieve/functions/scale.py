@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-SEGMENTS = 8
-STEPS = 2048
+CUTS = 256
+ROWS_PER_BUCKET = 100_000
+GATHERED = 4096
+SPANS_AT_ONCE = 200
 MAX_HOT_KEYS = 1000
-SMALL_VALUES = 2_500_000
 
 
 def hot_keys(df: DataFrame, keys, fraction: float = 0.001, seed: int = 17) -> DataFrame:
@@ -50,31 +54,42 @@ def spread_salt(df: DataFrame, salts: int, *extra) -> Column:
     return F.pmod(content + F.spark_partition_id(), F.lit(salts))
 
 
+def _finite(v: Column) -> Column:
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
+def _place(v: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are not above ``v``, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")  # folded into one literal
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(listed, at + step - 1) <= v, step).otherwise(0))
+
+
+def _grid(parts: int) -> Column:
+    return F.array(*[F.lit(i / parts) for i in range(1, parts)])
+
+
 def with_bucket(df: DataFrame, values: DataFrame, by, value: str, out: str) -> DataFrame:
     """Add a bucket number that, within a group, never decreases as ``value`` grows.
 
-    Approximate quantiles of ``values`` cut each group into SEGMENTS ranges, equal
-    steps divide a range. Poor cuts make buckets uneven and nothing worse.
+    The cuts between buckets are quantiles of ``values``, so a bucket holds about an equal share of the rows whatever
+    their distribution: one in CUTS, or one per ROWS_PER_BUCKET rows where there are more. Infinities and NaN have
+    buckets of their own. ``by`` must come from a small domain; the cuts are read when this is called, one list per group.
     """
-    probs = F.array(*[F.lit(i / SEGMENTS) for i in range(SEGMENTS + 1)])
-    cuts = values.groupBy(*by).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("cuts"))
-    place = F.col("segment")
-    ranges = cuts.select(*by, "cuts", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("segment")).select(
-        *by, "segment", F.get("cuts", place).alias("low"), F.get("cuts", place + 1).alias("high"))
-    ranges = ranges.select(
-        *[F.col(c).alias(f"__by_{c}") for c in by], F.col("segment").alias("__segment"),
-        F.col("low").alias("__low"), (F.col("high") - F.col("low")).alias("__width"),
-        F.when(place == 0, float("-inf")).otherwise(F.col("low")).alias("__from"),
-        F.when(place < SEGMENTS - 1, F.col("high")).alias("__to"))
-    v = F.col(value)
-    inside = reduce(and_, [F.col(c) == F.col(f"__by_{c}") for c in by],
-                    (v >= F.col("__from")) & (F.col("__to").isNull() | (v < F.col("__to"))))
-    width = F.col("__width")
-    step = F.floor(F.least(F.greatest((v - F.col("__low")) / width * STEPS, F.lit(0.0)), F.lit(STEPS - 1.0)))
-    usable = (width > 0) & (width < F.lit(float("inf")))
-    bucket = F.col("__segment") * STEPS + F.when(usable, step.cast("int")).otherwise(F.lit(0))
-    # Each value falls into exactly one of its group's SEGMENTS ranges.
-    return df.join(F.broadcast(ranges), inside).select(*[F.col(f"`{c}`") for c in df.columns], bucket.alias(out))
+    by, v = list(by), F.col(value).cast("double")
+    most = values.groupBy(*by).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(CUTS, -(-most // ROWS_PER_BUCKET))
+    found = values.groupBy(*by).agg(F.percentile_approx(_finite(v), _grid(parts), F.lit(8 * parts)).alias("cuts")).collect()
+    bucket = F.lit(None).cast("int")
+    for row in found:
+        cuts = sorted(set(row["cuts"] or []))
+        here = (F.when(F.isnan(v), len(cuts) + 3).when(v == float("inf"), len(cuts) + 2)
+                .when(v == float("-inf"), 0).otherwise(_place(v, cuts) + 1))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.lit(row[c])) for c in by], F.lit(True))
+        bucket = F.when(same, here).otherwise(bucket)
+    return df.withColumn(out, bucket)
 
 
 def melt(df: DataFrame, columns: dict[str, Column], keep=(), name: str = "feature",
@@ -84,47 +99,137 @@ def melt(df: DataFrame, columns: dict[str, Column], keep=(), name: str = "featur
     return wide.unpivot(list(keep), list(columns), name, value).filter(F.col(value).isNotNull())
 
 
+@dataclass
+class _Span:
+    """The values of one unit in an open interval, and the ranks among the unit's finite values that lie in it."""
+
+    unit: int
+    low: float | None
+    high: float | None
+    before: int
+    inside: int
+    ranks: list[int]
+
+    def member(self, v: Column) -> Column:
+        """``v`` where it lies in the interval, else NULL."""
+        v = _finite(v)
+        if self.low is not None:
+            v = F.when(v > F.lit(self.low), v)
+        return v if self.high is None else F.when(v < F.lit(self.high), v)
+
+
+def order_statistics(df: DataFrame, units: list[Column], wanted) -> list[tuple[int, dict[int, float]]]:
+    """For each expression the number of its values and those at the ranks ``wanted(number)``; ranks count from 0.
+
+    All expressions are searched at once. Approximate quantiles cut the interval that holds a rank, counts between the
+    cuts show where in it the rank lies, and the search goes on there until the rank meets a cut or at most GATHERED values
+    are left, which are sorted. Each round narrows an interval some CUTS times; counts and cuts combine
+    before they move, so equal values, heavy tails and infinities put no more on one task than other values do.
+    """
+    counts = df.agg(*[c for i, v in enumerate(units) for c in (
+        F.count(v).alias(f"n{i}"), F.count_if(v == float("-inf")).alias(f"low{i}"), F.count(_finite(v)).alias(f"m{i}"))]).first()
+    found, pending = [], []
+    for i in range(len(units)):
+        n, low, m = counts[f"n{i}"], counts[f"low{i}"], counts[f"m{i}"]
+        known, ranks = {}, []
+        for r in sorted(set(wanted(n))) if n else []:
+            if low <= r < low + m:
+                ranks.append(r - low)
+            else:
+                known[r] = float("-inf") if r < low else float("inf")
+        found.append((n, known))
+        if ranks:
+            pending.append(_Span(i, None, None, 0, m, ranks))
+
+    def settle(span: _Span, rank: int, value: float) -> None:
+        found[span.unit][1][rank + counts[f"low{span.unit}"]] = value
+
+    while pending:
+        few = [s for s in pending if s.inside <= GATHERED]
+        many = [s for s in pending if s.inside > GATHERED]
+        for span, values in _gathered(df, units, few):
+            for r in span.ranks:
+                settle(span, r, values[r - span.before])
+        pending = []
+        for span, cuts, sizes in _histograms(df, units, many):
+            # Segment 2k + 1 holds what equals cut k, the even ones what lies between.
+            upto = span.before
+            for segment, size in enumerate(sizes):
+                ranks = [r for r in span.ranks if upto <= r < upto + size]
+                k = segment // 2
+                if ranks and segment % 2:
+                    for r in ranks:
+                        settle(span, r, cuts[k])
+                elif ranks:
+                    pending.append(_Span(span.unit, cuts[k - 1] if k else span.low, cuts[k] if k < len(cuts) else span.high,
+                                         upto, size, ranks))
+                upto += size
+    return found
+
+
+def _gathered(df: DataFrame, units: list[Column], spans: list[_Span]):
+    """The sorted values of each interval; at most GATHERED per interval come to the driver."""
+    for at in range(0, len(spans), SPANS_AT_ONCE):
+        part = spans[at:at + SPANS_AT_ONCE]
+        row = df.agg(*[F.sort_array(F.collect_list(s.member(units[s.unit]))).alias(f"v{k}") for k, s in enumerate(part)]).first()
+        yield from ((s, row[k]) for k, s in enumerate(part))
+
+
+def _histograms(df: DataFrame, units: list[Column], spans: list[_Span]):
+    """(interval, cuts, counts of the segments between and at the cuts)."""
+    if not spans:
+        return
+    grid = _grid(CUTS)
+    row = df.agg(*[F.percentile_approx(s.member(units[s.unit]), grid, F.lit(8 * CUTS)).alias(f"c{k}") for k, s in enumerate(spans)]).first()
+    cuts = [sorted(set(row[k])) for k in range(len(spans))]
+    segments = []
+    for k, s in enumerate(spans):
+        v = s.member(units[s.unit])
+        place = _place(v, cuts[k])
+        listed = F.split(F.lit(",".join(map(repr, cuts[k]))), ",").cast("array<double>")
+        segments.append(F.struct(F.lit(k).alias("span"), F.when(v.isNotNull(), F.struct(place.alias("p"), F.coalesce(
+            F.get(listed, place - 1) == v, F.lit(False)).alias("at_cut"))).alias("where")))
+    # One small row per value goes straight into a partial count.
+    counted = df.select(F.inline(F.array(*segments))).filter("where IS NOT NULL").groupBy("span", "where").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    sizes = [[0] * (2 * len(c) + 1) for c in cuts]
+    for r in counted:
+        p, at_cut = r["where"]
+        sizes[r["span"]][2 * p - 1 if at_cut else 2 * p] += r["n"]
+    yield from zip(spans, cuts, sizes)
+
+
+def _between(values: dict[int, float], n: int, prob: float) -> float:
+    """Linear interpolation between the two ranks around ``prob``."""
+    position = (n - 1) * prob
+    low, high = values[math.floor(position)], values[math.ceil(position)]
+    return low if low == high or position == math.floor(position) else low + (high - low) * (position - math.floor(position))
+
+
+def _both_ranks(probs):
+    return lambda n: [r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs, by=()) -> DataFrame:
     """Exact, linearly interpolated quantiles: (``by``, feature, prob, quantile).
 
-    Bucket counts show which bucket holds each wanted rank, and only those few
-    buckets are sorted. ``by`` columns must come from a small domain such as a
-    class label: the bucket table has at most SEGMENTS * STEPS rows per group.
+    The search runs when this is called and the result has one row per group, feature and probability. ``by`` columns
+    must come from a small domain such as a class label. Features without values have no rows.
     """
-    by = list(by)
-    group = [*by, "feature"]
-    long = melt(df, columns, by)
-    bucketed = with_bucket(long, long, group, "value", "bucket")
-
-    below = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = bucketed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n")).select(
-        *group, "bucket", "n",
-        F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below"),
-        F.sum("n").over(W.partitionBy(*group)).alias("total"))
-
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    position = (F.col("total") - 1) * F.col("prob")
-    targets = (
-        counts.select(*group, "bucket", "n", "below", "total", wanted)
-        .withColumn("position", position)
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
-        .filter("rank >= below AND rank < below + n")
-        .select(*group, "bucket", "below", "prob", "position", "rank")
-    )
-    buckets = targets.select(*group, "bucket").distinct()
-    upto = W.partitionBy(*group, "bucket").orderBy("value")
-    values = (
-        bucketed.join(F.broadcast(buckets), [*group, "bucket"], "left_semi")
-        .groupBy(*group, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("run", F.sum("n").over(upto))
-    )
-    found = values.join(F.broadcast(targets), [*group, "bucket"]).filter(
-        (F.col("rank") >= F.col("below") + F.col("run") - F.col("n"))
-        & (F.col("rank") < F.col("below") + F.col("run")))
-    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
-    share = F.max("position") - F.floor(F.max("position"))
-    quantile = F.when(low == high, low).otherwise(low + (high - low) * share)
-    return found.groupBy(*group, "prob").agg(quantile.alias("quantile"))
+    by, probs = list(by), [float(p) for p in probs]
+    groups = [tuple(r) for r in df.select(*by).distinct().collect()] if by else [()]
+    units, names = [], []
+    for group in groups:
+        same = [F.col(c).eqNullSafe(F.lit(g)) for c, g in zip(by, group)]
+        for name, column in columns.items():
+            units.append(F.when(reduce(and_, same), column.cast("double")) if same else column.cast("double"))
+            names.append((*group, name))
+    rows = []
+    for name, (n, values) in zip(names, order_statistics(df, units, _both_ranks(probs)) if units else []):
+        rows += [(*name, p, _between(values, n, p)) for p in probs] if n else []
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("feature", T.StringType()),
+                           T.StructField("prob", T.DoubleType()), T.StructField("quantile", T.DoubleType())])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def quantile_columns(quantiles: DataFrame, names: dict[float, str], by=()) -> DataFrame:
@@ -135,28 +240,17 @@ def quantile_columns(quantiles: DataFrame, names: dict[float, str], by=()) -> Da
 
 
 def collect_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[str, dict[float, float]]:
-    """Quantiles as a dictionary on the driver: one number per column and probability.
-
-    Up to SMALL_VALUES values the built-in exact ``percentile`` answers in one pass; it keeps
-    every distinct value in memory, so anything larger goes through the buckets.
-    """
-    found: dict[str, dict[float, float]] = {name: {} for name in columns}
-    if df.count() * len(columns) <= SMALL_VALUES:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns.values())]).first()
-        for i, name in enumerate(columns):
-            found[name] = dict(zip(probs, row[i])) if row[i] is not None else {}
-        return found
-    for row in exact_quantiles(df, columns, probs).collect():
-        found[row["feature"]][row["prob"]] = row["quantile"]
-    return found
+    """Exact quantiles as a dictionary on the driver: one number per column and probability."""
+    probs = [float(p) for p in probs]
+    found = order_statistics(df, [c.cast("double") for c in columns.values()], _both_ranks(probs)) if columns else []
+    return {name: {p: _between(values, n, p) for p in probs} if n else {} for name, (n, values) in zip(columns, found)}
 
 
 def sums_below(df: DataFrame, by, value: str, sums: dict[str, Column]) -> DataFrame:
     """Per distinct ``value``: each sum, and ``below_<name>``, its total over all smaller values.
 
     The values are spread over ordered buckets, running sums stay within a bucket
-    and the bucket totals (at most SEGMENTS * STEPS per group) supply the offsets.
+    and the bucket totals, a few hundred rows per group or one per ROWS_PER_BUCKET rows, supply the offsets.
     ``by`` must come from a small domain such as a method or feature name.
     """
     by = list(by)
@@ -184,12 +278,15 @@ def row_digest(keys, seed=None) -> Column:
 def rank_by_digest(df: DataFrame, by, digest: Column, out: str) -> DataFrame:
     """``row_number() OVER (PARTITION BY by ORDER BY digest)`` without one task per group.
 
-    The first three hex digits cut a group into 4096 ordered slices; slices are
+    The first hex digits of the digest cut a group into ordered slices of about ROWS_PER_BUCKET rows at most; slices are
     numbered on their own and shifted by the sizes of the slices before them.
     """
     by = list(by)
     keep = df.columns
-    sliced = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, 3))
+    rows, digits = df.count(), 2
+    while 16 ** digits * ROWS_PER_BUCKET < rows:
+        digits += 1
+    sliced = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, digits))
     sizes = sliced.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     if not by:
         sizes = sizes.withColumn("__all", F.lit(1))

@@ -144,7 +144,9 @@ def outlier_candidates(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 
     v, iqr = F.col("Value"), F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    z = F.when(F.col("std") > 0, (v - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0))
+    # A column with an infinity has no finite deviation; its z-scores count as 0.
+    usable = (F.col("std") > 0) & (F.col("std") < float("inf"))
+    z = F.when(usable, (v - F.col("mean")) / F.col("std")).otherwise(F.lit(0.0))
     rules = [((v < low) | (v > high), "IQR_Outlier"),
              ((v < F.col("p1")) | (v > F.col("p99")), "Percentile_Extreme_<P1_or_>P99"),
              (F.abs(z) > 3.0, "ZScore_Extreme")]

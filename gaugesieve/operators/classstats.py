@@ -64,7 +64,7 @@ def cohens_d(k, undefined=None) -> Column:
     """Standardised mean difference with the pooled sample deviation; 0 when there is no spread."""
     nv, ni = F.col(f"v_n_{k}"), F.col(f"i_n_{k}")
     pooled = F.sqrt(F.try_divide((nv - 1) * F.col(f"v_var_{k}") + (ni - 1) * F.col(f"i_var_{k}"), nv + ni - 2))
-    d = F.when(pooled > 0, F.try_divide(F.col(f"i_mean_{k}") - F.col(f"v_mean_{k}"), pooled)).otherwise(F.lit(0.0))
+    d = F.when((pooled > 0) & (pooled < float("inf")), F.try_divide(F.col(f"i_mean_{k}") - F.col(f"v_mean_{k}"), pooled)).otherwise(F.lit(0.0))
     return F.when((nv > 1) & (ni > 1), d).otherwise(F.lit(undefined).cast("double"))
 
 

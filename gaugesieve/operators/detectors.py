@@ -54,14 +54,17 @@ def iqr_detector(df: DataFrame, spec: MeasurementSpec, columns=None, name: str =
 
 def zscore_detector(df: DataFrame, spec: MeasurementSpec, threshold: float = 3.0, columns=None,
                     name: str = "zscore") -> DataFrame:
-    """Score by the largest absolute z over the features, sample deviation, 0 deviation as 1."""
+    """Score by the largest absolute z over the features, sample deviation, 0 deviation as 1.
+
+    A feature that holds an infinity has no finite mean and deviation and decides nothing.
+    """
     columns = spec.present(df) if columns is None else list(columns)
     stats = df.agg(F.struct(*[
         a for i, c in enumerate(columns) for a in (
             F.avg(number(df, c)).alias(f"m{i}"), F.stddev_samp(number(df, c)).alias(f"s{i}"))])).scalar()
     data = df.withColumn("__z", stats)
-    z = [F.abs((number(df, c) - F.col(f"__z.m{i}"))
-               / F.when(F.col(f"__z.s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"__z.s{i}")))
+    z = [F.nanvl(F.abs((number(df, c) - F.col(f"__z.m{i}"))
+                       / F.when(F.col(f"__z.s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"__z.s{i}"))), F.lit(None).cast("double"))
          for i, c in enumerate(columns)]
     score = F.coalesce(F.greatest(*z) if len(z) > 1 else z[0], F.lit(0.0))
     return with_prediction(data, score > threshold, score, name).drop("__z")

@@ -325,7 +325,9 @@ def compare_hybrids(df: DataFrame, spec: MeasurementSpec, probability: str, anom
     for k, used in enumerate(HYBRIDS.values()):
         aggs += [c.alias(f"{n}_{k}") for n, c in M.counts(F.col("y"), combined(used)).items()]
     rows = {name: {n: F.col(f"{n}_{k}") for n in ("TP", "TN", "FP", "FN")} | {
-        f"{mask.capitalize()}_Evidence": F.lit(mask in used) for mask in ("quality", "consistency", "anomaly")}
+        # Quality evidence counts as given for all but the classifier alone, as the published comparison has it.
+        "Quality_Evidence": F.lit(bool(used)),
+        **{f"{mask.capitalize()}_Evidence": F.lit(mask in used) for mask in ("consistency", "anomaly")}}
         for k, (name, used) in enumerate(HYBRIDS.items())}
     table = tall(base.agg(*aggs), rows, "Approach").withColumns(M.metric_columns())
     # The ranking score is the probability for every approach, so it is computed once.

@@ -89,12 +89,13 @@ def _filled(df: DataFrame, columns, fills):
 
 
 def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size: int = 256,
-                         seed: int = 42, missing: str = "median", pool_factor: int = 4) -> IsolationForestModel:
+                         seed: int = 42, missing: str = "median") -> IsolationForestModel:
     """Grow ``trees`` trees, each from its own draw of ``sample_size`` rows without replacement.
 
-    All draws come from one uniform pool of about ``pool_factor`` times the rows needed
-    (the whole frame when it is smaller), so neither the pool nor the trees (at most
-    ``2 * sample_size`` nodes each) grow with the data. ``missing`` is ``median`` or ``zero``.
+    A row's draw for a tree is a digest of the row, so the trees are the same under any file layout and at any size.
+    Rows below a tree's threshold, about half more than it needs, are its candidates and those with the smallest
+    draws its sample; only candidates leave the scan. Rows equal in all columns share their draws. Neither the candidates nor the
+    trees (at most ``2 * sample_size`` nodes each) grow with the data. ``missing`` is ``median`` or ``zero``.
     """
     columns = list(columns)
     if missing not in ("median", "zero"):
@@ -103,19 +104,18 @@ def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size:
     rows = df.count()
     if rows == 0:
         raise ValueError("no rows to fit")
-    pool_size = pool_factor * trees * sample_size
-    pool = df if rows <= pool_size else df.sample(pool_size / rows, seed)
     size = min(sample_size, rows)
-    points = pool.select(F.array(*_filled(df, columns, fills)).alias("x"))
-    # Number equal points apart, then draw per tree by hash: 1.5 * size candidates, the first size kept.
-    twins = W.partitionBy("x").orderBy("x")
-    numbered = points.withColumn("copy", F.row_number().over(twins))
-    share = min(1.0, (1.5 * size + 64) / min(rows, pool_size))
-    draw = F.pmod(F.xxhash64("x", "copy", "tree", F.lit(seed)), F.lit(2 ** 52)) / float(2 ** 52)
+    share = min(1.0, (1.5 * size + 64) / rows)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
+    points = df.select(F.array(*_filled(df, columns, fills)).alias("x"), row.alias("row"))
+
+    def draw(tree):
+        return F.pmod(F.xxhash64("row", tree), F.lit(2 ** 52)) / float(2 ** 52)
+
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
     drawn = (
-        numbered.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", draw).filter(F.col("draw") < share)
-        .withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy("draw", "x", "copy")))
+        points.withColumn("tree", F.explode(chosen)).withColumn("draw", draw(F.col("tree")))
+        .withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy("draw", "row", "x")))
         .filter(F.col("place") <= size)
     )
     limit = max(1, math.ceil(math.log2(max(size, 2))))

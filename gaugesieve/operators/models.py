@@ -18,12 +18,13 @@ from gaugesieve.functions.rowwise import finite, number
 from gaugesieve.functions.scale import rank_by_digest, row_digest
 from gaugesieve.functions.storage import durable
 from gaugesieve.operators.audit import active_features
+from gaugesieve.operators.detectors import rule_detector
 from gaugesieve.operators.evaluate import check_oof, evaluate_detectors
 from gaugesieve.operators.features import row_features, with_context
 from gaugesieve.operators.flags import (
     HARD_FLAGS, REPORTED_FLAGS, SCORED_FLAGS, decode_label, encode_label, hard_mask, quality_flags,
 )
-from gaugesieve.operators.iforest import IsolationForestModel, fit_isolation_forest
+from gaugesieve.operators.iforest import IsolationForestModel, fit_isolation_forest, with_fold_anomaly
 from gaugesieve.operators.transforms import NormalBehaviourModel, fit_medians, fit_normal_behaviour, fit_scaling
 from gaugesieve.spec import MeasurementSpec
 
@@ -53,6 +54,7 @@ class ClassifierConfig:
     min_instances: int = 2
     iterations: int = 200
     anomaly_feature: bool = False
+    max_rows: int | None = None
 
 
 # Depth 30 is the deepest Spark grows; it stands for unbounded trees.
@@ -72,6 +74,16 @@ CLASSIFIERS = {
 }
 
 
+# The models and feature sets of each grid.
+GRIDS = {
+    "screening": (("Logistic_Regression", "Random_Forest", "Hist_Gradient_Boosting"), FEATURE_SETS),
+    "baseline": (("logistic_regression", "random_forest_100", "gradient_boosting"), ("Anomaly_A", "Final_A")),
+    "final": (("logistic_regression", "random_forest", "random_forest_anomaly", "gradient_boosting"),
+              ("Final_A", "Final_B", "Final_C")),
+}
+# End of fixed values.
+
+
 def class_weights(df: DataFrame, y: Column) -> dict[int, float]:
     """n / (2 * class size) for each class that occurs."""
     counts = {r["y"]: r["n"] for r in df.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -131,8 +143,16 @@ def nullable_columns(df: DataFrame, columns) -> list[str]:
 
 def fit_classifier(train: DataFrame, spec: MeasurementSpec, columns, config: ClassifierConfig,
                    seed: int = 42, fills: dict | None = None) -> FittedClassifier:
-    """Median imputation, scaling for the logistic model, class weights, then the estimator."""
+    """Median imputation, scaling for the logistic model, class weights, then the estimator.
+
+    With ``config.max_rows`` the fit uses at most about that many labelled rows, those first by a digest of the row key.
+    """
     columns = list(columns)
+    if config.max_rows is not None:
+        rows = train.count()
+        if rows > config.max_rows:
+            digest = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spec.row_key], F.lit(seed)), F.lit(2 ** 52)) / float(2 ** 52)
+            train = train.filter(digest < config.max_rows / rows)
     leaked = [c for c in columns if c in spec.never_features]
     if leaked:
         raise ValueError(f"id or target columns cannot be features: {leaked}")
@@ -249,10 +269,9 @@ def cross_validate(df: DataFrame, spec: MeasurementSpec, configs, feature_sets,
         train_rows, val_rows = (folds.filter(c).drop("fold") for c in (F.col("fold") != i, F.col("fold") == i))
         train, normal = screening_features(train_rows, spec)
         val, _ = screening_features(val_rows, spec, normal)
+        held = [train.persist(), val.persist()]
         if "Set_E_Stage5_AnomalyScore" in feature_sets:
-            forest = fit_isolation_forest(train_rows, spec.present(df), trees=forest_trees, seed=seed, missing="zero")
-            train, val = forest.score(train, ANOMALY_COLUMN), forest.score(val, ANOMALY_COLUMN)
-        train, val = train.persist(), val.persist()
+            train, val = with_fold_anomaly(train, val, spec.present(df), ANOMALY_COLUMN, forest_trees, seed=seed)
         columns = {s: set_columns(s, train_rows, train, spec) for s in feature_sets}
         every = list(dict.fromkeys(c for cs in columns.values() for c in cs))
         fills = fit_medians(train, nullable_columns(train, every))
@@ -266,8 +285,8 @@ def cross_validate(df: DataFrame, spec: MeasurementSpec, configs, feature_sets,
                     F.lit(name).alias("feature_set_name"), encode_label(spec).alias("true_invalid"),
                     "oof_probability_invalid"))
         results.append(durable(reduce(DataFrame.unionByName, scored)))
-        train.unpersist()
-        val.unpersist()
+        for frame in held:
+            frame.unpersist()
     return reduce(DataFrame.unionByName, results)
 
 
@@ -305,6 +324,47 @@ def compare_models(oof: DataFrame, threshold: float = 0.5) -> DataFrame:
         "model_name", "feature_set_name")
 
 
+def evaluate_grid(df: DataFrame, spec: MeasurementSpec, grid: str = "screening", k: int = 5, seed: int = 42,
+                  configs: dict[str, ClassifierConfig] | None = None) -> DataFrame:
+    """The sorted comparison of a whole grid of models and feature sets under cross-validation.
+
+    ``screening``: three models on five fold-isolated feature sets. ``baseline``: three models on raw features and on
+    raw features with flags, and the two rules. ``final``: four models on the three contextual sets. ``configs`` may replace
+    configurations by name.
+    """
+    known = CLASSIFIERS | (configs or {})
+    if grid == "screening":
+        names = GRIDS[grid][0]
+        return compare_models(cross_validate(df, spec, [known[n] for n in names], GRIDS[grid][1], k, seed))
+    if grid not in GRIDS:
+        raise ValueError(f"unknown grid {grid!r}")
+    frame, sets = contextual_sets(quality_flags(df, spec), spec)
+    frame = durable(frame)
+    keep = [*spec.row_key, "fold", "true_invalid", "oof_probability_invalid"]
+    parts = []
+    for set_name in GRIDS[grid][1]:
+        for name in GRIDS[grid][0]:
+            oof = cross_validate_matrix(frame, spec, sets[set_name], known[name], k, seed)
+            parts.append(oof.select(*keep, F.lit(name).alias("model_name"), F.lit(set_name).alias("feature_set_name")))
+    if grid == "baseline":
+        folds = stratified_folds(frame, spec, k, seed)
+        for rule in ("definite_issue", "definite_plus_duplicate"):
+            hit = rule_detector(folds, rule).withColumn("true_invalid", encode_label(spec)).withColumn(
+                "oof_probability_invalid", F.col("rule_score"))
+            parts.append(hit.select(*keep, F.lit(f"rule_{rule}").alias("model_name"), F.lit("flags").alias("feature_set_name")))
+    return compare_models(reduce(DataFrame.unionByName, parts))
+
+
+def resolve_best(df: DataFrame, spec: MeasurementSpec, saved: DataFrame | None = None, **settings) -> DataFrame:
+    """The best configuration of a saved comparison if one is given, else of a new run of the screening grid."""
+    if saved is None:
+        return best_configuration(evaluate_grid(df, spec, **settings))
+    missing = {"model_name", "feature_set_name", "Invalid_F1", "Invalid_Recall", "Invalid_Precision", "Accuracy"} - set(saved.columns)
+    if missing:
+        raise ValueError(f"the saved comparison lacks columns: {sorted(missing)}")
+    return best_configuration(saved)
+
+
 def best_configuration(comparison: DataFrame) -> DataFrame:
     """The first row by F1, recall, precision, accuracy (all descending)."""
     return comparison.orderBy(

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.rowwise import mean_of, number
+from gaugesieve.functions.rowwise import finite, mean_of, number
 from gaugesieve.functions.scale import collect_quantiles
 from gaugesieve.operators.audit import tall
 from gaugesieve.operators.features import disagreement_index, regime_code
@@ -16,15 +16,15 @@ from gaugesieve.spec import MeasurementSpec
 
 
 def fit_medians(df: DataFrame, columns) -> dict[str, float | None]:
-    """Exact median of each column; None for a column without values."""
-    found = collect_quantiles(df, {c: number(df, c) for c in columns}, [0.5])
+    """Exact median of the finite values of each column; None for a column without any."""
+    found = collect_quantiles(df, {c: finite(number(df, c)) for c in columns}, [0.5])
     return {c: found[c].get(0.5) for c in columns}
 
 
 def impute(df: DataFrame, fills: dict[str, float | None]) -> DataFrame:
-    """Fill missing values with fitted numbers; a column fitted on nothing is filled with 0."""
+    """Fill missing and infinite values with fitted numbers; a column fitted on nothing is filled with 0."""
     return df.withColumns({
-        c: F.coalesce(number(df, c), F.lit(float(v if v is not None else 0.0))) for c, v in fills.items()})
+        c: F.coalesce(finite(number(df, c)), F.lit(float(v if v is not None else 0.0))) for c, v in fills.items()})
 
 
 def fit_scaling(df: DataFrame, columns) -> dict[str, tuple[float, float]]:
@@ -61,7 +61,7 @@ class NormalBehaviourModel:
         value = F.lit(self.intercepts[sensor])
         for (name, median), weight in zip(self.medians.items(), self.weights[sensor]):
             given = number(df, name) if name in df.columns else F.lit(None).cast("double")
-            value = value + F.coalesce(given, F.lit(median)) * F.lit(weight)
+            value = value + F.coalesce(finite(given), F.lit(median)) * F.lit(weight)
         return value
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ class NormalBehaviourModel:
         rows = self._fitting_rows(df)
         aggs, entries = [], {}
         for i, s in enumerate(self.weights):
-            y = number(rows, s)
+            y = finite(number(rows, s))
             miss = y - self.expectation(rows, s)
             aggs += [F.count(y).alias(f"n_{i}"), F.avg(F.abs(miss)).alias(f"mae_{i}"),
                      F.avg(miss * miss).alias(f"mse_{i}"), F.var_pop(y).alias(f"var_{i}")]
@@ -119,18 +119,19 @@ def fit_normal_behaviour(df: DataFrame, spec: MeasurementSpec, alpha: float = 1.
     """Ridge regression of every sensor on the conditions, from rows of the negative class only.
 
     All sensors are fitted in one aggregation: means and covariances per sensor
-    come back as one row and the small normal equations are solved from it.
+    come back as one row and the small normal equations are solved from it. Infinite conditions count as missing,
+    as they do when the model is applied; rows with an infinite sensor take no part in that sensor's fit.
     """
     model = NormalBehaviourModel(spec, {})
     rows = model._fitting_rows(df)
     predictors = spec.present(df, spec.conditions)
     model.medians = {c: float(m or 0.0) for c, m in fit_medians(rows, predictors).items()}
-    x = [F.coalesce(number(rows, c), F.lit(model.medians[c])) for c in predictors]
+    x = [F.coalesce(finite(number(rows, c)), F.lit(model.medians[c])) for c in predictors]
     sensors = spec.present(df, spec.sensors)
     size = range(len(x))
     aggs = [F.count(F.lit(1)).alias("rows")]
     for s, name in enumerate(sensors):
-        y = number(rows, name)
+        y = finite(number(rows, name))
         seen = [F.when(y.isNotNull(), v) for v in x]
         aggs += [F.count(y).alias(f"n_{s}"), F.avg(y).alias(f"y_{s}")]
         aggs += [F.avg(seen[i]).alias(f"x_{s}_{i}") for i in size]

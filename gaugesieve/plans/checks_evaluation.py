@@ -384,7 +384,8 @@ MASKS = ("mk", f"""SELECT y, p AS score, p >= 4e-1 AS supervised, ({HARD}) AS qu
 
 def _hybrid(name: str, used) -> str:
     mask = " OR ".join(["supervised", *used])
-    has = ", ".join(f"{u in used} AS {u.capitalize()}_Evidence" for u in ("quality", "consistency", "anomaly"))
+    has = ", ".join([f"{bool(used)} AS Quality_Evidence",
+                     *[f"{u in used} AS {u.capitalize()}_Evidence" for u in ("consistency", "anomaly")]])
     return f"SELECT '{name}' AS Approach, {has}, {counts_sql(f'({mask})::INT')} FROM mk"
 
 

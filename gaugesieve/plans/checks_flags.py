@@ -64,6 +64,17 @@ def _written(df: DataFrame, fmt: str = "parquet") -> str:
     return path
 
 
+@checks.check("q_flagged_from_csv", sql_with(
+    query=f"""SELECT rid, Test_ID, ({V} IS NOT NULL AND try_cast({V} AS DOUBLE) IS NULL) AS malformed_numeric,
+ ({" OR ".join(f"{c} IS NULL" for c in FEATURES)}) AS missing_any, try_cast({V} AS DOUBLE) AS {V}, {I} FROM m""", variant="text"), [V, I])
+def flagged_from_csv(spark, sf_dir):
+    """A CSV file with its columns in another order and unreadable numbers in it."""
+    table = measurements(spark, sf_dir, "text")
+    path = _written(table.select(*reversed(table.columns)), "csv")
+    return io.load_flagged(spark, path, SPEC, fmt="csv", id_type=T.LongType()).select(
+        "rid", "Test_ID", "malformed_numeric", "missing_any", V, I)
+
+
 @checks.check("q_physical_matrix", sql_with(query=f"SELECT {', '.join(FEATURES)} FROM m"), FEATURES)
 def physical_matrix(spark, sf_dir):
     return io.physical_matrix(measurements(spark, sf_dir), SPEC)

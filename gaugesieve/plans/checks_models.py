@@ -19,10 +19,11 @@ from gaugesieve.plans.registry import Checks
 
 checks = Checks()
 FEATURES = list(SPEC.features)
-# Sizes that keep a check short; the library's own defaults are larger.
-FOREST = models.lighter(models.CLASSIFIERS["Random_Forest"], trees=20, depth=8)
-BOOSTING = models.lighter(models.CLASSIFIERS["Hist_Gradient_Boosting"], iterations=10)
-LOGISTIC = models.lighter(models.CLASSIFIERS["Logistic_Regression"], iterations=50)
+# The library's own settings; a fit sees at most about FIT_ROWS labelled rows, scoring sees all rows.
+FIT_ROWS = 2_000
+FOREST = models.lighter(models.CLASSIFIERS["Random_Forest"], max_rows=FIT_ROWS)
+BOOSTING = models.lighter(models.CLASSIFIERS["Hist_Gradient_Boosting"], max_rows=FIT_ROWS)
+LOGISTIC = models.lighter(models.CLASSIFIERS["Logistic_Regression"], max_rows=FIT_ROWS)
 
 
 def embeddings(spark, sf_dir, dims: int = 64):
@@ -80,7 +81,7 @@ def lof_measurements(spark, sf_dir):
 @checks.check("q_oof_anomaly")
 def oof_anomaly(spark, sf_dir):
     folds = models.stratified_folds(measurements(spark, sf_dir), SPEC)
-    return models.oof_anomaly_flags(folds, SPEC, trees=50).select("rid", "fold", "anomaly_score", "anomaly_flag")
+    return models.oof_anomaly_flags(folds, SPEC).select("rid", "fold", "anomaly_score", "anomaly_flag")
 
 
 def _fit_and_score(spark, sf_dir, config, feature_set):
@@ -159,7 +160,7 @@ def model_comparison(spark, sf_dir):
 
 @checks.check("q_oof_thresholds")
 def oof_thresholds(spark, sf_dir):
-    oof = models.cross_validate(measurements(spark, sf_dir), SPEC, [FOREST], ["Set_B_Raw_Quality"], k=2)
+    oof = models.cross_validate(measurements(spark, sf_dir), SPEC, [FOREST], ["Set_B_Raw_Quality"])
     return evaluate.threshold_sweep(oof, "oof_probability_invalid", F.col("true_invalid"))
 
 
@@ -167,7 +168,7 @@ def oof_thresholds(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     df = quality_flags(measurements(spark, sf_dir), SPEC)
     fitted = models.fit_classifier(df, SPEC, FEATURES + ["duplicate_measurement_pair", "sensor_zero_reading"], FOREST)
-    return models.permutation_importance(fitted, df, SPEC, repeats=3)
+    return models.permutation_importance(fitted, df, SPEC)
 
 
 @checks.check("q_final_validity")
@@ -178,7 +179,7 @@ def final_validity(spark, sf_dir):
 
 def detector(spark, sf_dir):
     df = measurements(spark, sf_dir)
-    return models.FinalHybridDetector(SPEC, FOREST, forest_trees=100).fit(fitting_rows(df)), scoring_rows(df)
+    return models.FinalHybridDetector(SPEC, FOREST).fit(fitting_rows(df)), scoring_rows(df)
 
 
 @checks.check("q_hybrid_predict")
@@ -196,14 +197,14 @@ def diagnostics(spark, sf_dir):
 @checks.check("q_baselines")
 def baselines(spark, sf_dir):
     """The six baseline detectors side by side."""
-    return run_baselines(measurements(spark, sf_dir), SPEC, forest_trees=100)["metrics"]
+    return run_baselines(measurements(spark, sf_dir), SPEC)["metrics"]
 
 
 @checks.check("q_hybrid_on_oof")
 def hybrid_on_oof(spark, sf_dir):
     """The hybrid comparison on flags and residuals fitted on this table and fold-isolated anomaly flags."""
     df = durable(models.stratified_folds(measurements(spark, sf_dir), SPEC))
-    flagged = models.oof_anomaly_flags(df, SPEC, trees=50).select("rid", "anomaly_flag")
+    flagged = models.oof_anomaly_flags(df, SPEC).select("rid", "anomaly_flag")
     features, _ = models.screening_features(df.drop("fold"), SPEC)
     joined = durable(features.join(flagged, "rid")).withColumn("p", F.expr(PROBABILITY))
     return evaluate.compare_hybrids(joined, SPEC, "p", F.col("anomaly_flag"))

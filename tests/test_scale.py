@@ -23,8 +23,29 @@ def test_exact_quantiles_match_numpy(spark, shape):
     # numpy interpolates between equal infinities and gets NaN at the two ends.
     want = {p: float(np.percentile(x, 100 * p)) for p in PROBS} | {0.0: float(x.min()), 1.0: float(x.max())}
     assert got == pytest.approx(want)
-    if shape != "infinite":
-        assert scale.collect_quantiles(df, {"x": F.col("x")}, PROBS)["x"] == pytest.approx(got)
+    assert scale.collect_quantiles(df, {"x": F.col("x")}, PROBS)["x"] == pytest.approx(got)
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_quantiles_do_not_depend_on_how_often_an_interval_is_cut(spark, monkeypatch, shape):
+    df = spark.createDataFrame([(float(v),) for v in SHAPES[shape]], "x double").repartition(3)
+    whole = scale.collect_quantiles(df, {"x": F.col("x")}, PROBS)
+    monkeypatch.setattr(scale, "GATHERED", 3)
+    monkeypatch.setattr(scale, "CUTS", 6)
+    assert scale.collect_quantiles(df, {"x": F.col("x")}, PROBS) == whole
+
+
+@pytest.mark.parametrize("shape", ["normal", "lognormal", "cauchy", "one_infinity"])
+def test_no_bucket_holds_more_than_a_hundredth(spark, shape):
+    r = np.random.default_rng(5)
+    x = {"normal": r.normal(size=40_000), "lognormal": r.lognormal(0, 4, 40_000), "cauchy": r.standard_cauchy(40_000),
+         "one_infinity": np.append(r.normal(size=40_000), np.inf)}[shape]
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    bucketed = scale.with_bucket(df, df, [], "x", "b")
+    assert bucketed.groupBy("b").count().agg(F.max("count")).first()[0] <= 0.01 * len(x)
+    ends = bucketed.groupBy("b").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
 
 
 def test_quantiles_by_group(spark):
