@@ -61,26 +61,41 @@ def percentiles(spark, sf_dir):
     return audit.percentile_table(measurements(spark, sf_dir), SPEC)
 
 
-@checks.check("q_outlier_candidates", sql_with(
-    ("f", flags_sql()),
-    ("st", union_all(
-        f"""SELECT '{c}' AS Variable, quantile_cont({c}, 0.01) AS p1, quantile_cont({c}, 0.25) AS q1,
- quantile_cont({c}, 0.75) AS q3, quantile_cont({c}, 0.99) AS p99, avg({c}) AS mu, stddev_samp({c}) AS sd FROM m""" for c in FEATURES)),
-    ("l", union_all(
+def outlier_sql(endless=()) -> tuple:
+    """CTEs and query; ``endless`` columns hold infinities beyond P1 and P99 and have no z-scores."""
+    def bounds(c):
+        ends = ("CAST('-Infinity' AS DOUBLE) AS p1, CAST('Infinity' AS DOUBLE) AS p99, 0 AS mu, 0 AS sd" if c in endless else
+                f"quantile_cont({c}, 0.01) AS p1, quantile_cont({c}, 0.99) AS p99, avg({c}) AS mu, stddev_samp({c}) AS sd")
+        return f"SELECT '{c}' AS Variable, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, {ends} FROM m"
+
+    long = union_all(
         f"""SELECT rid, Test_ID, '{c}' AS Variable, {c} AS Value, {V}, {I}, {T_}, data_quality_issue AS QualityIssueFlag,
  missing_any AS MissingAnyFlag, sensor_s2_negative AS SensorS2NegativeFlag, sensor_zero_reading AS SensorZeroFlag
- FROM f WHERE {c} IS NOT NULL""" for c in FEATURES)),
-    ("j", """SELECT l.*, p1 AS P1, p99 AS P99, q1 - 1.5 * (q3 - q1) AS IQR_Lower, q3 + 1.5 * (q3 - q1) AS IQR_Upper,
- CASE WHEN sd > 0 THEN (Value - mu) / sd ELSE 0 END AS ZScore FROM l JOIN st USING (Variable)"""),
-    query="""SELECT *, concat_ws('; ', CASE WHEN Value < IQR_Lower OR Value > IQR_Upper THEN 'IQR_Outlier' END,
+ FROM f WHERE {c} IS NOT NULL""" for c in FEATURES)
+    ctes = (("f", flags_sql()), ("st", union_all(bounds(c) for c in FEATURES)), ("l", long),
+            ("j", """SELECT l.*, p1 AS P1, p99 AS P99, q1 - 1.5 * (q3 - q1) AS IQR_Lower, q3 + 1.5 * (q3 - q1) AS IQR_Upper,
+ CASE WHEN sd > 0 THEN (Value - mu) / sd ELSE 0 END AS ZScore FROM l JOIN st USING (Variable)"""))
+    query = """SELECT *, concat_ws('; ', CASE WHEN Value < IQR_Lower OR Value > IQR_Upper THEN 'IQR_Outlier' END,
  CASE WHEN Value < P1 OR Value > P99 THEN 'Percentile_Extreme_<P1_or_>P99' END,
  CASE WHEN abs(ZScore) > 3 THEN 'ZScore_Extreme' END) AS TriggeringMethods
-FROM j WHERE Value < IQR_Lower OR Value > IQR_Upper OR Value < P1 OR Value > P99 OR abs(ZScore) > 3"""),
-    ["Value", V, I, T_, "P1", "P99", "IQR_Lower", "IQR_Upper", "ZScore"])
+FROM j WHERE Value < IQR_Lower OR Value > IQR_Upper OR Value < P1 OR Value > P99 OR abs(ZScore) > 3"""
+    return ctes, query
+
+
+OUTLIER_DOUBLES = ["Value", V, I, T_, "P1", "P99", "IQR_Lower", "IQR_Upper", "ZScore"]
+
+
+@checks.check("q_outlier_candidates", sql_with(*outlier_sql()[0], query=outlier_sql()[1]), OUTLIER_DOUBLES)
 def outlier_candidates(spark, sf_dir):
     return audit.outlier_candidates(measurements(spark, sf_dir), SPEC)
 
 
+@checks.check("q_outlier_candidates_inf", sql_with(*outlier_sql((V,))[0], query=outlier_sql((V,))[1], variant="inf"), OUTLIER_DOUBLES)
+def outlier_candidates_inf(spark, sf_dir):
+    """Voltages with infinities among them: more than a hundredth at either end."""
+    return audit.outlier_candidates(measurements(spark, sf_dir, "inf"), SPEC)
+
+
 @checks.check("q_sensor_corr", sql_with(query=union_all(
     f"SELECT '{a}' AS Sensor, " + ", ".join(f"corr({a}, {b}) AS {b}" for b in SPEC.sensors) + " FROM m"
     for a in SPEC.sensors)), SPEC.sensors)

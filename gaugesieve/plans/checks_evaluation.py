@@ -85,6 +85,18 @@ def zscore(spark, sf_dir):
     return detectors.zscore_detector(measurements(spark, sf_dir), SPEC).select("rid", "zscore_score", "zscore_pred")
 
 
+OTHERS = [c for c in FEATURES if c != V]
+OTHER_Z = "coalesce(greatest(" + ", ".join(f"abs(({c} - m_{c}) / s_{c})" for c in OTHERS) + "), 0)"
+
+
+@checks.check("q_zscore_inf", sql_with(("z", "SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, CASE WHEN stddev_samp({c}) = 0 THEN 1 ELSE stddev_samp({c}) END AS s_{c}" for c in OTHERS) + " FROM m"),
+    query=f"SELECT rid, {OTHER_Z} AS zscore_score, ({OTHER_Z} > 3)::INT AS zscore_pred FROM m, z", variant="inf"), ["zscore_score"])
+def zscore_inf(spark, sf_dir):
+    """A column with infinities decides nothing."""
+    return detectors.zscore_detector(measurements(spark, sf_dir, "inf"), SPEC).select("rid", "zscore_score", "zscore_pred")
+
+
 E_SQL = ", ".join(f"{e} AS {n}" for n, e in EVIDENCE.items())
 R = ("r", f"SELECT *, {E_SQL} FROM m")
 

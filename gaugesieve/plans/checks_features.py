@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugesieve.functions.rowwise import number
 from gaugesieve.operators import features, transforms
 from gaugesieve.plans.checks_flags import EVIDENCE_SQL, FEATURES, S1, S2, S3, S4, D, I, V, with_evidence
-from gaugesieve.plans.checks_audit import MEAN4, SPREAD
+from gaugesieve.plans.checks_audit import MEAN4, SPREAD, union_all
 from gaugesieve.plans.measurements import SPEC, fitting_rows, measurements, scored, scoring_rows, sql_with
 from gaugesieve.plans.measurements import PROBABILITY
 from gaugesieve.plans.registry import Checks
@@ -150,12 +150,62 @@ def consistency(spark, sf_dir):
     return df.select("rid", *[c.alias(n) for n, c in transforms.consistency(gaps).items()])
 
 
-@checks.check("q_normal_fit")
+def ridge_ctes(rows: str, alpha: float = 1.0) -> list[tuple[str, str]]:
+    """CTEs that fit every sensor on the conditions over the Valid rows of ``rows`` by elimination; last: ``ridge``."""
+    x, n = list(SPEC.conditions), len(SPEC.conditions)
+    fit = f"SELECT * FROM {rows} WHERE Validity_Label = 'Valid'"
+    medians = ", ".join(f"coalesce(median({c}), 0) AS d{i}" for i, c in enumerate(x))
+    filled = ", ".join(f"coalesce({c}, d{i}) AS x{i}" for i, c in enumerate(x))
+    cell = {(i, j): f"count(*) * covar_pop(x{i}, x{j})" + (f" + {alpha}" if i == j else "") for i in range(n) for j in range(n)}
+    cell |= {(i, n): f"count(*) * covar_pop(x{i}, y)" for i in range(n)}
+    sums = ", ".join(f"{e} AS a{i}{j}" for (i, j), e in cell.items())
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in range(n))
+    ctes = [("fit", fit), ("med", f"SELECT {medians} FROM fit"), ("fx", f"SELECT fit.*, {filled} FROM fit, med"),
+            ("g0", union_all(f"SELECT '{s}' AS sensor, avg(y) AS ym, {means}, {sums} FROM (SELECT *, {s} AS y FROM fx WHERE {s} IS NOT NULL)"
+                             for s in SPEC.sensors))]
+    for k in range(n):
+        kept = {(i, j): f"a{i}{j}" if i <= k else f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k}" for i, j in cell}
+        step = ", ".join(f"{e} AS a{i}{j}" for (i, j), e in kept.items())
+        ctes.append((f"g{k + 1}", f"SELECT sensor, ym, {', '.join(f'm{i}' for i in range(n))}, {step} FROM g{k}"))
+    source = f"g{n}"
+    for i in reversed(range(n)):
+        known = "".join(f" - a{i}{j} * w{j}" for j in range(i + 1, n))
+        ctes.append((f"h{i}", f"SELECT *, (a{i}{n}{known}) / a{i}{i} AS w{i} FROM {source}"))
+        source = f"h{i}"
+    line = "ym" + "".join(f" - w{i} * m{i}" for i in range(n))
+    return [*ctes, ("ridge", f"SELECT sensor, {line} AS c, {', '.join(f'w{i}' for i in range(n))} FROM {source}")]
+
+
+def expected_sql(sensor: str) -> str:
+    """The fitted expectation of a sensor over a row of a table with the conditions, and ``med``."""
+    terms = "".join(f" + coalesce({c}, d{i}) * r_{sensor}.w{i}" for i, c in enumerate(SPEC.conditions))
+    return f"r_{sensor}.c{terms}"
+
+
+RIDGE_JOIN = ", med, " + ", ".join(f"(SELECT * FROM ridge WHERE sensor = '{s}') AS r_{s}" for s in SPEC.sensors)
+PERFORMANCE = union_all(f"""SELECT '{s}' AS Target_Sensor, count({s}) AS Valid_Train_Count,
+ 1 - avg(({s} - e) * ({s} - e)) / var_pop({s}) AS R2_Score, avg(abs({s} - e)) AS MAE, sqrt(avg(({s} - e) * ({s} - e))) AS RMSE,
+ '{", ".join(SPEC.conditions)}' AS Predictors FROM (SELECT fit.*, {expected_sql(s)} AS e FROM fit{RIDGE_JOIN})""" for s in SPEC.sensors)
+
+
+@checks.check("q_normal_fit", sql_with(*ridge_ctes("m"), query=PERFORMANCE), ["R2_Score", "MAE", "RMSE"])
 def normal_fit(spark, sf_dir):
     return transforms.fit_normal_behaviour(measurements(spark, sf_dir), SPEC).performance(measurements(spark, sf_dir))
 
 
-@checks.check("q_residuals")
+ABSOLUTE = [f"abs({s} - e_{s})" for s in SPEC.sensors]
+RESIDUALS = ", ".join(f"e_{s} AS {s}_Expected, {s} - e_{s} AS {s}_Residual, abs({s} - e_{s}) AS {s}_AbsResidual" for s in SPEC.sensors)
+EXPECTED = ", ".join(f"{expected_sql(s)} AS e_{s}" for s in SPEC.sensors)
+RESIDUAL_NAMES = [f"{s}_{k}" for s in SPEC.sensors for k in ("Expected", "Residual", "AbsResidual")] + [
+    "p1_max_abs_residual", "p1_mean_abs_residual", "p1_residual_error", "p1_consistency_index", "p1_sensor_disagreement_index"]
+
+
+@checks.check("q_residuals", sql_with(
+    ("train", "SELECT * FROM m WHERE Test_ID % 4 <> 0"), *ridge_ctes("train"),
+    ("e", f"SELECT m.*, {EXPECTED} FROM m{RIDGE_JOIN} WHERE Test_ID % 4 = 0"), query=f"""
+SELECT rid, {RESIDUALS}, greatest({", ".join(ABSOLUTE)}) AS p1_max_abs_residual, list_avg([{", ".join(ABSOLUTE)}]) AS p1_mean_abs_residual,
+ greatest({", ".join(ABSOLUTE)}) AS p1_residual_error, 1e0 / (1e0 + coalesce(list_avg([{", ".join(ABSOLUTE)}]), 0)) AS p1_consistency_index,
+ ({SPREAD}) / (abs({MEAN4}) + 1e-5) AS p1_sensor_disagreement_index, {REGIME_CODE} AS p1_regime_cluster FROM e"""), RESIDUAL_NAMES)
 def residuals(spark, sf_dir):
     df = measurements(spark, sf_dir)
     model = transforms.fit_normal_behaviour(fitting_rows(df), SPEC)
@@ -163,6 +213,15 @@ def residuals(spark, sf_dir):
     return out.select("rid", *[c for c in out.columns if "Residual" in c or "Expected" in c or c.startswith("p1_")])
 
 
+@checks.check("q_median_impute_inf", sql_with(query="SELECT rid, " + ", ".join(
+    f"coalesce(CASE WHEN NOT isinf({c}) THEN {c} END, (SELECT median({c}) FROM m WHERE Test_ID % 4 <> 0 AND NOT isinf({c}))) AS {c}"
+    for c in FEATURES) + " FROM m WHERE Test_ID % 4 = 0", variant="inf"), FEATURES)
+def median_impute_inf(spark, sf_dir):
+    """Infinities are missing to the imputer, in the fit and in use."""
+    df = measurements(spark, sf_dir, "inf")
+    return transforms.impute(scoring_rows(df), transforms.fit_medians(fitting_rows(df), FEATURES)).select("rid", *FEATURES)
+
+
 @checks.check("q_context_adapter", sql_with(("r", EVIDENCE_SQL), query="""
 SELECT rid, p1_max_abs_residual, p1_consistency_index, p1_sensor_disagreement_index FROM r"""),
     ["p1_max_abs_residual", "p1_consistency_index", "p1_sensor_disagreement_index"])
