@@ -172,7 +172,10 @@ def fit_classifier(train: DataFrame, spec: MeasurementSpec, columns, config: Cla
         filled = train.select(*[v.alias(c) for c, v in zip(columns, _values(train, columns, fills, {}))])
         scaling = fit_scaling(filled, columns)
     data = _assembled(train, _values(train, columns, fills, scaling)).select(
-        "features", y.cast("double").alias("label"), weight.alias("weight")).persist()
+        "features", y.cast("double").alias("label"), weight.alias("weight"))
+    if config.max_rows is not None:  # few rows and many short jobs
+        data = data.repartition(max(1, config.max_rows // 20_000))
+    data = data.persist()
     model = _estimator(config, data, seed).fit(data)
     data.unpersist()
     return FittedClassifier(columns, fills, scaling, model, forest)
