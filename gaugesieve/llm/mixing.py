@@ -52,7 +52,7 @@ def water_filled(sources: DataFrame, share: float, max_epochs: float) -> DataFra
     # Level if exactly the sources up to this one clamp; the true level is the first that does not lift the next one.
     left = budget - F.sum("__cap").over(upto)
     weight_left = F.sum("__w").over(everything) - F.sum("__w").over(upto)
-    levels = caps.withColumns({"__all": budget / F.sum("__w").over(everything),
+    levels = caps.withColumns({"__all": F.try_divide(budget, F.sum("__w").over(everything)),
                                "__level": F.when(weight_left > 1e-9, left / weight_left)})
     # With k sources clamped the level is right for the smallest k at which source k + 1 does not clamp.
     levels = levels.withColumns({"__place": F.row_number().over(order), "__next": F.lead("__ratio").over(order)})

@@ -50,7 +50,7 @@ def test_licenses_of_awkward_texts(make_docs):
     notice = licenses.TEMPLATES["mit"][1][0]
     rows = [(1, None, "a"), (2, "", "a"), (3, "Under the MIT license. Under the MIT-license!", "a"),
             (4, "APACHE License, Version 2.0 and CC BY-NC", None), (5, "x " * 50_000 + notice.capitalize() + ". y", "b"),
-            (6, notice.replace("granted", "granted entirely"), "b"), (7, "the license of this software is free of charge", "b"),
+            (6, notice.replace("person", "single person"), "b"), (7, "the license of this software is free of charge", "b"),
             (8, "under the mit license under the mit license", "c"), (8, "under the mit license under the mit license", "c"),
             (9, "This work is licensed under the GNU General Public License, version 3.", "c"), (10, "Kelvin K İ mit", "c")]
     got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
