@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+ROWS = 1000
+SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ROWS: whole texts are far longer than the rows the default is for."""
+    if not 0 < int(spark.conf.get(SETTING)) <= ROWS:
+        spark.conf.set(SETTING, str(ROWS))
 
 
 def small_batches(batches, text: int, rows: int = 256):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.llm.batches import small_batches
+from gaugesieve.llm.batches import bounded_batches, small_batches
 
 # Phrases that are a notice by themselves, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -181,6 +181,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null without one. ``labels`` joins the labels of phrases and of notices; ``score`` is 1 where a phrase stands, else
     that of the best notice, else 0. Null and empty texts have no words. Repeated rows give a row each.
     """
+    bounded_batches(docs.sparkSession)
     total, counts = document_frequencies(docs, text_col)
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in Index().vocabulary}
 

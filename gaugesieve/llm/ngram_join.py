@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.storage import sized_broadcast, stored
-from gaugesieve.llm.batches import small_batches
+from gaugesieve.llm.batches import bounded_batches, small_batches
 from gaugesieve.llm.components import components
 from gaugesieve.llm.hashing import WordHasher, mixed, shingles
 
@@ -113,6 +113,7 @@ class JaccardJoin:
 
     def fit(self, docs: DataFrame, id_col: str, text_col: str) -> JaccardJoin:
         """Find ``sets`` (doc, class, n), ``links`` (a, b: classes, enough to connect) and ``linked`` (node, component)."""
+        bounded_batches(docs.sparkSession)
         sets = stored(shingle_sets(docs, id_col, text_col, self.width, self.pool_share), "sets")
         self.sets = sets.select("doc", "class", "n")
         wanted = stored(self._candidates(sets), "wanted")

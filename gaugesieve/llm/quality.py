@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugesieve.functions.storage import stored
-from gaugesieve.llm.batches import small_batches
+from gaugesieve.llm.batches import bounded_batches, small_batches
 from gaugesieve.llm.hashing import BLOCK, SPACES, WordHasher
 
 PASSAGE = 64
@@ -199,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null labels and ids are left out; an id with several labels has their majority, 1 on a tie. Of the labelled ids
     the ``max_documents`` first by a digest are used, which bounds what the driver collects.
     """
+    bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`").cast("long")
     known = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).filter(
         "id IS NOT NULL AND y IS NOT NULL")
@@ -222,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality_score(model: AttentionModel, text: Column) -> Column:
-    """Probability of label 1 for each text; null texts count as empty."""
+    """Probability of label 1 for each text; null texts count as empty. Call ``bounded_batches`` before it runs."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         encoder, out, bags, size = PassageEncoder(), [], [], 0
@@ -242,6 +243,7 @@ def quality_score(model: AttentionModel, text: Column) -> Column:
 def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows give a row each."""
+    bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`")
     found = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), quality_score(model, F.col(f"`{text_col}`")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window as W
 
-from gaugesieve.llm.batches import small_batches
+from gaugesieve.llm.batches import bounded_batches, small_batches
 from gaugesieve.llm.warc import file_system
 
 # Fixed value: the pattern that the public byte-level vocabularies expect texts to be split by.
@@ -46,6 +46,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, separator: int, id_
     bytes per id, little endian. Returns where each document went, (doc_id, part, place): the number of its file and
     its place in it, which hold for a source whose splits stay the same, such as files.
     """
+    bounded_batches(docs.sparkSession)
     kind = f"<u{width}"
 
     def run(batches):
