@@ -148,6 +148,7 @@ def patterns(df: DataFrame, spec: MeasurementSpec) -> dict[str, Column]:
     def above(name, limit):
         return (name, lambda: number(df, name) > limit)
 
+    # Pattern names and limits.
     rules = {
         "Missing Sensor S4": (spec.sensors[-1], lambda: absent(df, spec.sensors[-1])),
         "Missing Any Feature": ("missing_any", lambda: F.col("missing_any")),
@@ -209,6 +210,7 @@ def unusual_regimes(df: DataFrame, spec: MeasurementSpec, limit: int = 5) -> Dat
     df = enrich(df, spec)
     label, v, c, t = (F.col(spec.label_col), number(df, spec.voltage), number(df, spec.current),
                       number(df, spec.temperature))
+    # Case names and limits.
     cases = [
         ("Unusual Heavy-Load (Valid)", (c > 95) & (label == spec.negative), {}),
         ("High Voltage Regime (Valid)", (v > 28) & (label == spec.negative), {}),
@@ -260,6 +262,7 @@ def representatives(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     df = enrich(df, spec)
     label, v, c = F.col(spec.label_col), number(df, spec.voltage), number(df, spec.current)
     bad = label == spec.positive
+    # Case names and limits.
     cases = [
         ("Unusual Valid", (c > 95) & (label == spec.negative), {}),
         ("Quality Issue Invalid", F.col("data_quality_issue") & bad, {}),
@@ -361,6 +364,7 @@ def sensor_reliability(residual_stats: DataFrame, performance: DataFrame) -> Dat
 
 def unusual_residuals(df: DataFrame, spec: MeasurementSpec, limit: int = 5) -> DataFrame:
     label, v, c = F.col(spec.label_col), number(df, spec.voltage), number(df, spec.current)
+    # Case names and limits.
     cases = [
         ("Unusual Heavy Load (Valid)", (c > 95) & (label == spec.negative), {}),
         ("Normal Parameters (Invalid)", v.between(15, 25) & c.between(50, 80) & (label == spec.positive), {}),

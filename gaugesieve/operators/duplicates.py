@@ -22,7 +22,7 @@ def _cols(names):
 
 def duplicate_flags(df: DataFrame, spec: MeasurementSpec, salts: int = 256,
                     hot_fraction: float = 0.001, block: int = BLOCK) -> DataFrame:
-    """Add the three duplicate flags; rows and their multiplicity stay as they are.
+    """Add the three duplicate flags; rows and their multiplicity stay as they are, but for -0.0, which becomes 0.0.
 
     * full row: every copy but one of a group of identical rows;
     * id: the id occurs more than once;
