@@ -16,8 +16,10 @@ checks = Checks()
 DIFFS = [(a, b, f"{a[-2:]}_minus_{b[-2:]}") for i, a in enumerate(SPEC.sensors) for b in SPEC.sensors[i + 1:]]
 
 
-@checks.check("q_sensor_diffs", sql_with(
-    query="SELECT rid, " + ", ".join(f"{a} - {b} AS {n}" for a, b, n in DIFFS) + " FROM m"), [n for *_, n in DIFFS])
+DIFF_SQL = ", ".join(f"{a} - {b} AS {n}" for a, b, n in DIFFS)
+
+
+@checks.check("q_sensor_diffs", sql_with(query=f"SELECT rid, {DIFF_SQL} FROM m"), [n for *_, n in DIFFS])
 def sensor_diffs(spark, sf_dir):
     df = measurements(spark, sf_dir)
     return df.select("rid", *[c.alias(n) for n, c in features.sensor_differences(df, SPEC).items()])
@@ -29,12 +31,11 @@ def _row_aggregates(sensors, tail):
             f"list_stddev_samp({values}) AS sensor_std_{tail}")
 
 
+AGG_SQL = f"{_row_aggregates(SPEC.sensors[:3], 'S1_S2_S3')}, {_row_aggregates(SPEC.sensors, 'S1_S2_S3_S4')}"
 AGG_NAMES = [f"sensor_{s}_{t}" for t in ("S1_S2_S3", "S1_S2_S3_S4") for s in ("mean", "median", "std")]
 
 
-@checks.check("q_sensor_aggs", sql_with(
-    query=f"SELECT rid, {_row_aggregates(SPEC.sensors[:3], 'S1_S2_S3')}, {_row_aggregates(SPEC.sensors, 'S1_S2_S3_S4')} FROM m"),
-    AGG_NAMES)
+@checks.check("q_sensor_aggs", sql_with(query=f"SELECT rid, {AGG_SQL} FROM m"), AGG_NAMES)
 def sensor_aggs(spark, sf_dir):
     df = measurements(spark, sf_dir)
     return df.select("rid", *[c.alias(n) for n, c in features.sensor_aggregates(df, SPEC).items()])
@@ -43,9 +44,12 @@ def sensor_aggs(spark, sf_dir):
 GAPS = ", ".join(f"abs({a} - {b})" for a, b, _ in DIFFS)
 
 
-@checks.check("q_disagreement", sql_with(query=f"""
-SELECT rid, {SPREAD} AS max_minus_min_sensors, list_avg([{GAPS}]) AS pairwise_abs_diff_mean, greatest({GAPS}) AS pairwise_abs_diff_max,
- ({SPREAD}) / (abs({MEAN4}) + 1e-5) AS disagreement_index FROM m"""),
+DISAGREEMENT_SQL = f"""{SPREAD} AS max_minus_min_sensors, list_avg([{GAPS}]) AS pairwise_abs_diff_mean,
+ greatest({GAPS}) AS pairwise_abs_diff_max"""
+
+
+@checks.check("q_disagreement", sql_with(
+    query=f"SELECT rid, {DISAGREEMENT_SQL}, ({SPREAD}) / (abs({MEAN4}) + 1e-5) AS disagreement_index FROM m"),
     ["max_minus_min_sensors", "pairwise_abs_diff_mean", "pairwise_abs_diff_max", "disagreement_index"])
 def disagreement(spark, sf_dir):
     df = measurements(spark, sf_dir)
@@ -53,10 +57,12 @@ def disagreement(spark, sf_dir):
                      features.disagreement_index(df, SPEC).alias("disagreement_index"))
 
 
-@checks.check("q_interactions", sql_with(query=f"""
-SELECT rid, {V} * {I} AS Apparent_Power_kVA, {I} * {D} AS Thermal_Loading_Index,
- {V} * 1e3 / (abs({I}) + 1e-5) AS Apparent_Impedance_Proxy FROM m"""),
-    ["Apparent_Power_kVA", "Thermal_Loading_Index", "Apparent_Impedance_Proxy"])
+INTERACTION_SQL = f"""{V} * {I} AS Apparent_Power_kVA, {I} * {D} AS Thermal_Loading_Index,
+ {V} * 1e3 / (abs({I}) + 1e-5) AS Apparent_Impedance_Proxy"""
+INTERACTION_NAMES = ["Apparent_Power_kVA", "Thermal_Loading_Index", "Apparent_Impedance_Proxy"]
+
+
+@checks.check("q_interactions", sql_with(query=f"SELECT rid, {INTERACTION_SQL} FROM m"), INTERACTION_NAMES)
 def interactions(spark, sf_dir):
     df = measurements(spark, sf_dir)
     return df.select("rid", *[c.alias(n) for n, c in features.interactions(df, SPEC).items()])
@@ -200,12 +206,15 @@ RESIDUAL_NAMES = [f"{s}_{k}" for s in SPEC.sensors for k in ("Expected", "Residu
     "p1_max_abs_residual", "p1_mean_abs_residual", "p1_residual_error", "p1_consistency_index", "p1_sensor_disagreement_index"]
 
 
-@checks.check("q_residuals", sql_with(
-    ("train", "SELECT * FROM m WHERE Test_ID % 4 <> 0"), *ridge_ctes("train"),
-    ("e", f"SELECT m.*, {EXPECTED} FROM m{RIDGE_JOIN} WHERE Test_ID % 4 = 0"), query=f"""
-SELECT rid, {RESIDUALS}, greatest({", ".join(ABSOLUTE)}) AS p1_max_abs_residual, list_avg([{", ".join(ABSOLUTE)}]) AS p1_mean_abs_residual,
+RESIDUAL_SQL = f"""{RESIDUALS}, greatest({", ".join(ABSOLUTE)}) AS p1_max_abs_residual, list_avg([{", ".join(ABSOLUTE)}]) AS p1_mean_abs_residual,
  greatest({", ".join(ABSOLUTE)}) AS p1_residual_error, 1e0 / (1e0 + coalesce(list_avg([{", ".join(ABSOLUTE)}]), 0)) AS p1_consistency_index,
- ({SPREAD}) / (abs({MEAN4}) + 1e-5) AS p1_sensor_disagreement_index, {REGIME_CODE} AS p1_regime_cluster FROM e"""), RESIDUAL_NAMES)
+ ({SPREAD}) / (abs({MEAN4}) + 1e-5) AS p1_sensor_disagreement_index, {REGIME_CODE} AS p1_regime_cluster"""
+TRAIN = ("train", "SELECT * FROM m WHERE Test_ID % 4 <> 0")
+
+
+@checks.check("q_residuals", sql_with(
+    TRAIN, *ridge_ctes("train"), ("e", f"SELECT m.*, {EXPECTED} FROM m{RIDGE_JOIN} WHERE Test_ID % 4 = 0"),
+    query=f"SELECT rid, {RESIDUAL_SQL} FROM e"), RESIDUAL_NAMES)
 def residuals(spark, sf_dir):
     df = measurements(spark, sf_dir)
     model = transforms.fit_normal_behaviour(fitting_rows(df), SPEC)

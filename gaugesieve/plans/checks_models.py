@@ -13,8 +13,11 @@ from gaugesieve.operators import evaluate, models, submit
 from gaugesieve.operators.baselines import run_baselines
 from gaugesieve.operators.detectors import fit_detector
 from gaugesieve.operators.features import matrix_columns
-from gaugesieve.operators.flags import quality_flags
-from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows
+from gaugesieve.operators.flags import REPORTED_FLAGS, quality_flags
+from gaugesieve.plans import checks_features as rows
+from gaugesieve.plans.checks_audit import union_all
+from gaugesieve.plans.checks_flags import flags_sql
+from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows, sql_with
 from gaugesieve.plans.registry import Checks
 
 checks = Checks()
@@ -72,6 +75,14 @@ def lof(spark, sf_dir):
     return fit_detector(df, SPEC, "lof", columns=columns).detect(df).select("vec_id", "lof_score", "lof_pred")
 
 
+@checks.check("q_lof_cells", lof_sql(20), ["lof_score"])
+def lof_cells(spark, sf_dir):
+    """The same factors found through many small cells: neighbours across cells are not lost."""
+    df = embeddings(spark, sf_dir)
+    columns = [c for c in df.columns if c != "vec_id"]
+    return fit_detector(df, SPEC, "lof", columns=columns, points_per_cell=50).detect(df).select("vec_id", "lof_score", "lof_pred")
+
+
 @checks.check("q_lof_measurements")
 def lof_measurements(spark, sf_dir):
     df = measurements(spark, sf_dir)
@@ -117,7 +128,15 @@ def forest_with_anomaly(spark, sf_dir):
     return _fit_and_score(spark, sf_dir, config, "Set_B_Raw_Quality")
 
 
-@checks.check("q_stage5_features")
+GAPS = [n for *_, n in rows.DIFFS]
+ROW_NAMES = [*GAPS, *rows.AGG_NAMES, "max_minus_min_sensors", "pairwise_abs_diff_mean", "pairwise_abs_diff_max", *rows.INTERACTION_NAMES]
+
+
+@checks.check("q_stage5_features", sql_with(
+    rows.TRAIN, *rows.ridge_ctes("train"), ("t", "SELECT * FROM m WHERE Test_ID % 4 = 0"), ("f", flags_sql("t")),
+    ("e", f"SELECT f.*, {rows.EXPECTED} FROM f{rows.RIDGE_JOIN}"), query=f"""
+SELECT rid, {", ".join(FEATURES)}, {", ".join(REPORTED_FLAGS)}, data_quality_issue_count, {rows.DIFF_SQL}, {rows.AGG_SQL},
+ {rows.DISAGREEMENT_SQL}, {rows.INTERACTION_SQL}, {rows.RESIDUAL_SQL} FROM e"""), [*FEATURES, *ROW_NAMES, *rows.RESIDUAL_NAMES])
 def full_features(spark, sf_dir):
     df = measurements(spark, sf_dir)
     _, normal = models.screening_features(fitting_rows(df), SPEC)
@@ -140,12 +159,24 @@ def out_of_fold_matrix(spark, sf_dir):
     return oof.select("rid", "fold", "true_invalid", "oof_probability_invalid")
 
 
-@checks.check("q_contextual_sets")
+PARTS = {"raw": FEATURES, "context": list(rows.CONTEXT), "quality": list(REPORTED_FLAGS)}
+SETS = {"Anomaly_A": ["raw"], "Anomaly_B": ["raw", "context"], "Anomaly_C": ["raw", "quality"],
+        "Anomaly_D": ["raw", "context", "quality"], "Final_A": ["raw", "quality"], "Final_B": ["raw", "context"],
+        "Final_C": ["raw", "quality", "context"]}
+
+
+@checks.check("q_contextual_sets", sql_with(
+    ("f", flags_sql()), ("x", f"SELECT *, {rows.CONTEXT_SQL} FROM f"),
+    ("kept", union_all(f"SELECT '{c}' AS feature FROM x HAVING count(DISTINCT {c}) > 1" for part in PARTS.values() for c in part)),
+    ("listed", union_all(f"SELECT '{name}' AS set_name, {i} AS i, '{c}' AS feature" for name, parts in SETS.items()
+                         for i, c in enumerate(c for part in parts for c in PARTS[part]))), query="""
+SELECT set_name, CAST(row_number() OVER (PARTITION BY set_name ORDER BY i) - 1 AS INTEGER) AS place, feature
+FROM listed JOIN kept USING (feature)"""))
 def contextual_sets(spark, sf_dir):
     """Which features each contextual set keeps once constants are removed."""
     _, sets = models.contextual_sets(quality_flags(measurements(spark, sf_dir), SPEC), SPEC)
-    rows = [(name, i, c) for name, columns in sets.items() for i, c in enumerate(columns)]
-    return spark.createDataFrame(rows, "set_name string, place int, feature string")
+    placed = [(name, i, c) for name, columns in sets.items() for i, c in enumerate(columns)]
+    return spark.createDataFrame(placed, "set_name string, place int, feature string")
 
 
 @checks.check("q_model_comparison")
