@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from gaugesieve.operators import classstats, transforms
 from gaugesieve.operators.features import row_features
 from gaugesieve.plans.checks_audit import union_all
-from gaugesieve.plans.checks_features import CONTEXT, CONTEXT_SQL
+from gaugesieve.plans.checks_features import (
+    CONTEXT, CONTEXT_SQL, EXPECTED, PERFORMANCE, RESIDUAL_NAMES, RESIDUAL_SQL, RIDGE_JOIN, ridge_ctes)
+from gaugesieve.plans.checks_features import checks as feature_checks
 from gaugesieve.plans.checks_flags import EVIDENCE, EVIDENCE_SQL, FEATURES, I, T_, V, flags_sql, with_evidence
 from gaugesieve.plans.measurements import SPEC, measurements, sql_with
-from gaugesieve.plans.registry import Checks
+from gaugesieve.plans.registry import Checks, rounded_sql
 from gaugesieve.spec import MeasurementSpec
 
 checks = Checks()
@@ -211,7 +213,18 @@ def residual_stats(spark, sf_dir):
     return classstats.residual_statistics(with_evidence(measurements(spark, sf_dir)), SPEC)
 
 
-@checks.check("q_sensor_reliability")
+# Residuals of every row under the normal behaviour fitted on the Valid ones.
+RESIDUAL_CTES = [*ridge_ctes("m"), ("e", f"SELECT m.*, {EXPECTED} FROM m{RIDGE_JOIN}"), ("r", f"SELECT *, {RESIDUAL_SQL} FROM e")]
+RELIABILITY = f"""
+SELECT Target_Sensor AS Sensor, R2_Score AS Normal_Model_R2, RMSE AS Normal_Model_RMSE, AbsResidual_EffectSize,
+ CASE WHEN R2_Score > 0.5 AND abs(AbsResidual_EffectSize) > 0.5 THEN 'High' WHEN R2_Score > 0.2 THEN 'Moderate' ELSE 'Low' END
+ AS Reliability_Rank FROM ({PERFORMANCE}) JOIN ({union_all(
+    f"SELECT '{s}' AS Target_Sensor, {_effect(f'{s}_AbsResidual')} AS AbsResidual_EffectSize FROM r" for s in SPEC.sensors)})
+ USING (Target_Sensor)"""
+RELIABILITY_DOUBLES = ["Normal_Model_R2", "Normal_Model_RMSE", "AbsResidual_EffectSize"]
+
+
+@checks.check("q_sensor_reliability", sql_with(*RESIDUAL_CTES, query=RELIABILITY), RELIABILITY_DOUBLES)
 def sensor_reliability(spark, sf_dir):
     df = measurements(spark, sf_dir)
     model = transforms.fit_normal_behaviour(df, SPEC)
@@ -238,22 +251,43 @@ def sensor_investigation(spark, sf_dir):
     return classstats.sensor_investigation(measurements(spark, sf_dir), SPEC)
 
 
-@checks.check("q_history_run")
+def tagged(results):
+    """All rows of several reports in one table, columns by name."""
+    parts = [df.select(F.lit(name).alias("report"), "*") for name, df in results.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def tagged_sql(texts) -> str:
+    return "\nUNION ALL BY NAME\n".join(f"SELECT '{name}' AS report, * FROM ({text})" for name, text in texts.items())
+
+
+@checks.check("q_history_run", tagged_sql({
+    "class_balance": checks.sql["q_class_balance"], "class_statistics": checks.sql["q_class_stats"],
+    "associations": checks.sql["q_associations"], "patterns": checks.sql["q_pattern_lift"],
+    "regimes": checks.sql["q_unusual_regimes"], "shortlist": checks.sql["q_shortlist"],
+    "representatives": checks.sql["q_representatives"]}))
 def history_run(spark, sf_dir):
-    """All history analyses, each reduced to its number of result rows."""
-    results = classstats.run_history(measurements(spark, sf_dir), SPEC)
-    return _sizes(results)
+    """The rows of all history analyses, p-values aside."""
+    return tagged(classstats.run_history(measurements(spark, sf_dir), SPEC)).drop("PointBiserial_PValue", "Spearman_PValue")
 
 
-@checks.check("q_behaviour_run")
-def behaviour_run(spark, sf_dir):
-    results = classstats.run_behaviour(measurements(spark, sf_dir), SPEC)
-    return _sizes({k: v for k, v in results.items() if hasattr(v, "groupBy")})
+REPORTED = [*[n for n in RESIDUAL_NAMES if "Expected" not in n], "p1_regime_cluster"]
+RESIDUAL_STATS = ["Valid_Mean", "Valid_Median", "Valid_Std", "Invalid_Mean", "Invalid_Median", "Invalid_Std", "Cohens_D_EffectSize",
+                  "Invalid_Extreme_Residual_Rate_Pct"]
 
 
-def _sizes(results):
-    parts = [df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("rows")) for name, df in results.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+@checks.check("q_behaviour_run", tagged_sql({
+    "relationships": checks.sql["q_relationships"],
+    "regimes": feature_checks.sql["q_regime_summary"].replace("FROM h ", "FROM m "), "performance": feature_checks.sql["q_normal_fit"],
+    "residual_statistics": rounded_sql(sql_with(*RESIDUAL_CTES, query=union_all(map(_residual, REPORTED))), RESIDUAL_STATS),
+    "reliability": checks.sql["q_sensor_reliability"],
+    "representatives": checks.sql["q_unusual_residuals"].replace(f"r AS ({EVIDENCE_SQL})", ",\n".join(
+        f"{name} AS ({text})" for name, text in RESIDUAL_CTES))}))
+def behaviour_run(spark, sf_dir):
+    """The rows of all behaviour reports, p-values aside; q_regimes and q_residuals return the row frames."""
+    results = classstats.run_behaviour(measurements(spark, sf_dir), SPEC)
+    reports = ("relationships", "regimes", "performance", "residual_statistics", "reliability", "representatives")
+    return tagged({k: results[k] for k in reports}).drop("Pearson_p", "Spearman_p")
