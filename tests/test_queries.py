@@ -11,7 +11,7 @@ NAMES = [
     "q_missing_profile", "q_percentiles", "q_outlier_candidates", "q_quality_summary", "q_histogram", "q_class_stats",
     "q_associations", "q_pattern_lift", "q_relationships", "q_residual_stats", "q_sensor_aggs", "q_current_band",
     "q_iqr", "q_zscore", "q_detector_metrics", "q_roc_curve", "q_threshold_select", "q_folds", "q_fold_stability",
-    "q_error_patterns", "q_hybrid_comparison", "q_final_submission", "q_submission_check",
+    "q_error_patterns", "q_sensor_reliability", "q_stage5_features", "q_contextual_sets", "q_hybrid_comparison", "q_final_submission", "q_submission_check",
 ]
 
 
