@@ -15,6 +15,9 @@ reaches the threshold. Per step, with ``t`` the threshold and ``n`` the size of
 5. Not all pairs are compared. First each class of a posting list is compared with the list's leader. What these
    links connect is one component; then the pairs of a list that lie in different components, and only those, are
    compared. No link between components is lost, and a group of copies costs a row per member, not per pair.
+6. All links: both ends of a link lie in one component. The whole sets of a component are dealt into chunks, and each
+   pair of chunks is compared by lists of the shingles, which count the overlap of every pair that shares one. Each
+   pair is met in one pair of chunks only.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ from gaugesieve.llm.hashing import WordHasher, mixed, shingles
 
 SETS = "doc long, class long, n long, pool array<long>"
 MEMBERS = "class long, n long, shingles array<long>"
+LINKS = "a long, b long"
+COUNTS = "class long, n_links long"
+CHUNK_SHINGLES = 200_000  # about the shingles of a chunk of a large component
 
 
 def _batches(batches, width: int, pool_of):
@@ -84,6 +90,42 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return found.mapInArrow(run, MEMBERS)
 
 
+def linked_pairs(sets: list[np.ndarray], chunks: np.ndarray, up: int, down: int):
+    """Places (x, others) of the sets that link with set x and come after it, for each x that has such.
+
+    ``chunks`` has the chunk of each set; where there are two, only pairs across them are compared.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    across = len(np.unique(chunks)) > 1
+    left = np.flatnonzero(chunks == chunks.min()) if across else np.arange(len(sets))
+    right = np.flatnonzero(chunks == chunks.max()) if across else left
+    values = np.concatenate([sets[i] for i in right])
+    owners = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    for x in left:
+        lo, hi = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+        count = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        shared = np.bincount(owners[at], minlength=len(right))
+        linked = shared * down >= (sizes[x] + sizes[right] - shared) * up
+        if not across:
+            linked &= right > x
+        if linked.any():
+            yield x, right[linked]
+
+
+def compared(group: pa.Table, up: int, down: int):
+    """Classes of a pair of chunks, and its linked pairs as places (x, others)."""
+    shingled = group.column("shingles").combine_chunks()
+    values, first = shingled.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shingled.value_lengths().to_numpy())])
+    chunks = group.column("chunk").to_numpy()
+    classes = group.column("class").to_numpy()
+    if group.column("i")[0].as_py() != group.column("j")[0].as_py() and chunks.min() == chunks.max():
+        return classes, iter(())  # the other chunk is empty; this one is compared in its own group
+    return classes, linked_pairs([values[a:b] for a, b in zip(first[:-1], first[1:])], chunks, up, down)
+
+
 class JaccardJoin:
     """Links and classes of ``docs`` at Jaccard similarity ``threshold`` on shingles of ``width`` words.
 
@@ -112,7 +154,7 @@ class JaccardJoin:
             F.least(n1, n2) * down >= F.greatest(n1, n2) * up)
 
     def fit(self, docs: DataFrame, id_col: str, text_col: str) -> JaccardJoin:
-        """Find ``sets`` (doc, class, n), ``links`` (a, b: classes, enough to connect) and ``linked`` (node, component)."""
+        """Find ``sets`` (doc, class, n), ``joining`` (a, b: links enough to connect) and ``linked`` (node, component)."""
         bounded_batches(docs.sparkSession)
         sets = stored(shingle_sets(docs, id_col, text_col, self.width, self.pool_share), "sets")
         self.sets = sets.select("doc", "class", "n")
@@ -121,12 +163,13 @@ class JaccardJoin:
         whole = stored(whole_sets(docs, sized_broadcast(wanted, classes), id_col, text_col, self.width), "whole")
         if whole.count() > classes:  # rows that repeat both id and text
             whole = stored(whole.dropDuplicates(["class"]), "whole")
+        self.whole = whole
         postings, members = self._postings(whole)
         star = stored(self._verified(self._star_pairs(postings, members), whole), "links")
         joined = stored(components(star), "joined")
         rest = self._verified(self._open_pairs(postings, members, joined), whole)
-        self.links = stored(star.unionByName(rest), "links")
-        self.linked = stored(components(self.links), "linked")
+        self.joining = stored(star.unionByName(rest), "links")
+        self.linked = stored(components(self.joining), "linked")
         return self
 
     def _candidates(self, sets: DataFrame) -> DataFrame:
@@ -198,8 +241,50 @@ class JaccardJoin:
         union = F.size("x") + F.size("y") - F.col("i")
         return both.filter(F.col("i") * self.t.denominator >= union * self.t.numerator).select("a", "b")
 
-    def result(self) -> DataFrame:
-        """(doc, n_shingles, component_id) per row of ``docs``; component_id is the smallest id that links reach."""
+    def _blocks(self):
+        """The whole sets of all linked classes, a group for each pair of chunks of each component."""
+        sets = self.whole.join(self.linked, F.col("class") == F.col("node"))
+        totals = self.linked.join(self.whole, F.col("class") == F.col("node")).groupBy("component").agg(
+            F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)).cast("int").alias("of"))
+        large = stored(totals.filter("of > 1"), "large")
+        chunked = sets.join(sized_broadcast(large), "component", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn(
+            "chunk", F.pmod(F.xxhash64("class"), F.col("of")).cast("int"))
+        other = F.sequence(F.lit(0), F.col("of") - 1)
+        met = chunked.withColumn("other", F.explode(other)).select(
+            "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "shingles")
+        return met.groupBy("component", "i", "j")
+
+    def links(self) -> DataFrame:
+        """(a, b) with a < b: every pair of different classes that reaches the threshold, once."""
+        up, down = self.t.numerator, self.t.denominator
+
+        def run(group: pa.Table) -> pa.Table:
+            classes, pairs = compared(group, up, down)
+            found = [np.sort(np.stack([np.full(len(others), classes[x]), classes[others]]), axis=0) for x, others in pairs]
+            a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        return self._blocks().applyInArrow(run, LINKS)
+
+    def link_counts(self) -> DataFrame:
+        """(class, n_links): with how many other classes each linked class links; counted where the pairs are compared."""
+        up, down = self.t.numerator, self.t.denominator
+
+        def run(group: pa.Table) -> pa.Table:
+            classes, pairs = compared(group, up, down)
+            counts = np.zeros(len(classes), np.int64)
+            for x, others in pairs:
+                counts[x] += len(others)
+                counts[others] += 1
+            some = np.flatnonzero(counts)
+            return pa.table({"class": pa.array(classes[some]), "n_links": pa.array(counts[some])})
+        return self._blocks().applyInArrow(run, COUNTS).groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+    def result(self, counted: bool = False) -> DataFrame:
+        """(doc, n_shingles, component_id) per row of ``docs``; component_id is the smallest id that links reach.
+
+        If ``counted``, also n_links: the links of the row's class with other classes. Copies are one class, so a link
+        with a text counts once however many copies that has, and the row's own copies do not count.
+        """
         classes = self.sets.filter("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.count("*").alias("rows"))
         linked = classes.join(self.linked, F.col("class") == F.col("node"))
         reached = linked.groupBy("component").agg(F.min("least").alias("reached"))
@@ -207,8 +292,11 @@ class JaccardJoin:
         # Only classes with several rows or links need an id other than the row's own.
         placed = classes.join(ids, F.col("class") == F.col("of"), "left").filter("rows > 1 OR of IS NOT NULL").select(
             "class", F.coalesce("reached", "least").alias("component_id"))
-        return self.sets.join(sized_broadcast(stored(placed, "placed")), "class", "left").select(
-            "doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+        columns = ["doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")]
+        if counted:
+            placed = placed.join(self.link_counts(), "class", "left")
+            columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        return self.sets.join(sized_broadcast(stored(placed, "placed")), "class", "left").select(*columns)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -216,6 +304,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return JaccardJoin(**settings).fit(docs, id_col, text_col).result()
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(doc, n_shingles, component_id, n_links) per row of ``docs``; see ``JaccardJoin.result``."""
+    return JaccardJoin(**settings).fit(docs, id_col, text_col).result(counted=True)
+
+
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; all columns stay as they are.
 

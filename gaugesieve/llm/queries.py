@@ -112,8 +112,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each document's shingle set and the class that links put it in."""
-    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+    """Size of each document's shingle set, the class that links put it in, and its number of links."""
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (

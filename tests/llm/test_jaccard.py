@@ -67,3 +67,21 @@ def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(3, 3), (60, 7), (7, 60), (None, 4)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in range(7, 61)}}
+
+
+@pytest.mark.parametrize("chunk", [ngram_join.CHUNK_SHINGLES, 300])
+def test_links_equal_all_pairs_within_components_too(make_docs, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+    rows = near_copies(3)
+    rows += [(1000 + i, t) for i, t in rows[:9]] + [(2000, None), (2001, "")]
+    sets = {i: plain.shingle_set(t) for i, t in rows}
+    kinds = list({s for s in sets.values() if s})
+    pairs = [(x, y) for a, x in enumerate(kinds) for y in kinds[:a] if 5 * len(x & y) >= 4 * len(x | y)]
+    docs = make_docs([(i, t, "s") for i, t in rows])
+    join = ngram_join.JaccardJoin().fit(docs, "doc_id", "text")
+    of = {r["class"]: sets[r.doc] for r in join.sets.collect()}
+    links = [frozenset((of[r.a], of[r.b])) for r in join.links().collect()]
+    assert len(links) == len(set(links)) and set(links) == {frozenset(p) for p in pairs}
+    assert join.joining.count() < len(pairs)
+    got = {r.doc: (r.n_shingles, r.component_id, r.n_links) for r in join.result(counted=True).collect()}
+    assert got == {i: (*c, sum(sets[i] in p for p in pairs)) for i, c in plain.jaccard_classes(rows).items()}
