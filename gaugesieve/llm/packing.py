@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugesieve.functions.storage import sized_broadcast, stored
 from gaugesieve.llm.mixing import word_count
+from gaugesieve.llm.ngram_join import jaccard_classes
 
 PIECES = ("doc_id long, part int, first_word long, n_words long, source string, cluster long, shard int, "
           "bin int, bin_words long")
@@ -122,3 +124,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return packed_shard(capacity, group)
     return pieces.groupBy("shard").applyInPandas(run, PIECES)
+
+
+def pack_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              **settings) -> DataFrame:
+    """``pack`` with the classes of the Jaccard join, at five words and 0.8, as clusters: near copies never meet.
+
+    Texts that are equal up to case and runs of spaces are one class, as in ``pack``; rows are told apart by id and text.
+    """
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, source_col))], key.alias("__key"))
+    found = jaccard_classes(source.withColumn("__low", F.lower(F.col(f"`{text_col}`").cast("string"))), "__key", "__low")
+    # Most rows are a class of their own; only the others need to be looked up.
+    moved = stored(found.filter("doc <> component_id").select(F.col("doc").alias("__of"), "component_id").distinct(), "moved")
+    clustered = source.join(sized_broadcast(moved), F.col("__key") == F.col("__of"), "left").withColumn(
+        "__cluster", F.coalesce("component_id", "__key"))
+    return pack(clustered, id_col, text_col, source_col, "__cluster", **settings)

@@ -80,3 +80,15 @@ def test_packing_of_nothing_repeats_and_a_named_cluster(make_docs):
     assert len({(r.shard, r.bin) for r in rows}) == 3 and len(rows) == 4
     named = packing.pack(make_docs([(1, "a", "x"), (2, "b", "y")]).withColumn("g", F.lit(1)), cluster_col="g").collect()
     assert len({(r.shard, r.bin) for r in named}) == 2
+
+
+def test_near_copies_from_other_sources_are_in_other_bins(make_docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text + " more", "b"), (3, text.upper(), "c"), (4, "other words", "d"), (4, text + " last", "e"),
+            (5, None, "f"), (6, "", "g"), (7, "É è", "h"), (8, "é  È", "i")]
+    got = packing.pack_near(make_docs(rows), capacity=200).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault((r.shard, r.bin), []).append(r.source)
+    assert sorted(r.source for r in got) == list("abcdehi") and len({r.cluster for r in got}) == 3
+    assert all(len(set("abce") & set(b)) <= 1 and len(set("hi") & set(b)) <= 1 for b in bins.values())
