@@ -1,10 +1,10 @@
 """License notices in whole texts: a positional index of rare template words.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. The vocabulary of the templates is
-counted over all documents. For a document, the words of that vocabulary that it has are taken by falling inverse document
-frequency, the ``rare`` first of them. Each place of such a word is looked up in the template postings; a place in the
-text minus the place in the template is an alignment, and alignments that several rare words agree on, give or take
-``slack`` words, are candidates. A candidate counts if the template's mandatory key phrases stand within it, and scores
+counted over all documents. For each template whose key phrases a document has, its words that the document has are taken
+by falling inverse document frequency, the ``rare`` first of them. Each place of such a word is looked up in the template
+postings; a place in the text minus the place in the template is an alignment, and alignments that several rare words of
+the template agree on, give or take ``slack`` words, are candidates. A candidate counts if the template's mandatory key phrases stand within it, and scores
 the share of the template's words found in order of their place.
 """
 
@@ -109,17 +109,18 @@ class Index:
         possible = {t for t, keys in enumerate(self.keys) if all(k in joined for k in keys)}
         if not possible:
             return []
-        chosen = set(sorted(present, key=lambda w: (-idf[w], w))[:rare])
+        chosen = {t: set(sorted(present.intersection(self.texts[t]), key=lambda w: (-idf[w], w))[:rare]) for t in possible}
+        voting = set().union(*chosen.values())
         votes = defaultdict(Counter)
         for place, word in enumerate(words):
-            if word in chosen:
+            if word in voting:
                 for t, at in self.postings[word]:
-                    if t in possible:
+                    if t in possible and word in chosen[t]:
                         votes[t][place - at] += 1
         found = []
         for t, offsets in votes.items():
             text = self.texts[t]
-            needed = min(2, len(chosen & set(text)))
+            needed = min(2, len(chosen[t]))
             known = sorted(offsets)
             taken = -1
             for i, offset in enumerate(known):

@@ -141,3 +141,10 @@ def test_quality_without_labels_or_documents(spark, make_docs):
     assert quality.score_quality(make_docs([]), quality.train(docs, none)).count() == 0
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.score_quality(docs, quality.train(docs, one)).first().predicted == 1
+
+
+def test_every_notice_of_a_long_text_has_its_votes(make_docs):
+    mit, bsd, gpl = (licenses.TEMPLATES[k][i][0] for k, i in (("mit", 1), ("bsd", 0), ("gpl", 0)))
+    rows = [(i, gpl, "s") for i in range(30)] + [(100, f"{mit} {'x ' * 50} {bsd} {'y ' * 50} {gpl}", "s")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    assert got[100].labels == "bsd,gpl,mit" and [s.label for s in got[100].spans] == ["mit", "bsd", "gpl"]
