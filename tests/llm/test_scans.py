@@ -143,6 +143,26 @@ def test_quality_without_labels_or_documents(spark, make_docs):
     assert quality.score_quality(docs, quality.train(docs, one)).first().predicted == 1
 
 
+def test_secrets_beside_names_paths_and_patterns(make_docs):
+    short = "q7Xr2LmZ9vTb4KwN"
+    url = KEY[:20] + "-" + KEY[20:]
+    texts = [f"AWS_SECRET_ACCESS_KEY={KEY}", f"GITHUB_PAT=ghp_{KEY[:36]}", f"x?key=AIza{KEY[:35]}&y", f"host/path/ghp_{KEY[:36]}",
+             f"é {short} é", f"{'0123456789abcdef' * 2}/{KEY}", f"AKIA{'A1' * 8}/{KEY}==", f"é a/b={url}= x", "a=b=c/d-e_f+g ==="]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: set(r.spans.split(",")) for r in secret_scan.scan_secrets(docs).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    for i, key in enumerate([KEY, f"ghp_{KEY[:36]}", f"AIza{KEY[:35]}", f"ghp_{KEY[:36]}", short, KEY, KEY, url]):
+        assert key[4:] not in clean[i] and "[SECRET]" in clean[i], (i, clean[i])
+    assert "random:22:62" in got[0] and "random:11:51" in got[1] and "random:2:18" in got[4] and "random:6:48" in got[7]
+    assert got[8] == {""} and clean[8] == texts[8]
+
+
+def test_pieces_are_the_longest_that_an_alphabet_covers():
+    assert secret_scan.pieces_of("a/b-c/d=e==") == [(0, 3), (2, 5), (4, 7), (8, 11)]
+    assert secret_scan.pieces_of("===") == [] and secret_scan.pieces_of("=ab-c") == [(1, 5)]
+    assert secret_scan.beside(0, 10, [(-2, 1), (3, 5), (4, 6), (9, 12)]) == [(1, 3), (6, 9)]
+
+
 def test_every_notice_of_a_long_text_has_its_votes(make_docs):
     mit, bsd, gpl = (licenses.TEMPLATES[k][i][0] for k, i in (("mit", 1), ("bsd", 0), ("gpl", 0)))
     rows = [(i, gpl, "s") for i in range(30)] + [(100, f"{mit} {'x ' * 50} {bsd} {'y ' * 50} {gpl}", "s")]
