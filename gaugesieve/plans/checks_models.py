@@ -16,6 +16,7 @@ from gaugesieve.operators.features import matrix_columns
 from gaugesieve.operators.flags import REPORTED_FLAGS, quality_flags
 from gaugesieve.plans import checks_features as rows
 from gaugesieve.plans.checks_audit import union_all
+from gaugesieve.plans.checks_classes import tagged
 from gaugesieve.plans.checks_flags import flags_sql
 from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows, sql_with
 from gaugesieve.plans.registry import Checks
@@ -25,6 +26,7 @@ FEATURES = list(SPEC.features)
 # The library's own settings; a fit sees at most about FIT_ROWS labelled rows, scoring sees all rows.
 FIT_ROWS = 2_000
 FOREST = models.lighter(models.CLASSIFIERS["Random_Forest"], max_rows=FIT_ROWS)
+FINAL_FOREST = models.lighter(models.CLASSIFIERS["random_forest"], max_rows=FIT_ROWS)
 BOOSTING = models.lighter(models.CLASSIFIERS["Hist_Gradient_Boosting"], max_rows=FIT_ROWS)
 LOGISTIC = models.lighter(models.CLASSIFIERS["Logistic_Regression"], max_rows=FIT_ROWS)
 
@@ -205,7 +207,7 @@ def permutation_importance(spark, sf_dir):
 @checks.check("q_final_validity")
 def final_validity(spark, sf_dir):
     df = measurements(spark, sf_dir)
-    return models.FinalValidityClassifier(SPEC, FOREST).fit(fitting_rows(df)).predict_dataset(scoring_rows(df))
+    return models.FinalValidityClassifier(SPEC, FINAL_FOREST).fit(fitting_rows(df)).predict_dataset(scoring_rows(df))
 
 
 def detector(spark, sf_dir):
@@ -227,8 +229,8 @@ def diagnostics(spark, sf_dir):
 
 @checks.check("q_baselines")
 def baselines(spark, sf_dir):
-    """The six baseline detectors side by side."""
-    return run_baselines(measurements(spark, sf_dir), SPEC)["metrics"]
+    """The six baseline detectors side by side: predictions, metrics, error examples and regimes."""
+    return tagged(run_baselines(measurements(spark, sf_dir), SPEC))
 
 
 @checks.check("q_hybrid_on_oof")

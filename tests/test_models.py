@@ -76,3 +76,15 @@ def test_bad_arguments(spark):
         models.FinalHybridDetector(SPEC).predict(measurements(spark, SF))
     with pytest.raises(ValueError):
         models.fit_classifier(measurements(spark, SF), SPEC, ["Test_ID"], SMALL)
+
+
+def test_baseline_query_returns_all_reports(spark):
+    from gaugesieve.plans import catalog
+    got = catalog.queries()["q_baselines"](spark, "/root/testdata/sf0.001")
+    assert {r.report for r in got.select("report").distinct().collect()} == {"predictions", "metrics", "errors", "regimes"}
+
+
+def test_final_validity_query_uses_the_default_forest():
+    from gaugesieve.plans import checks_models
+    default = models.FinalValidityClassifier.__dataclass_fields__["config"].default
+    assert checks_models.FINAL_FOREST == models.lighter(default, max_rows=checks_models.FIT_ROWS)
