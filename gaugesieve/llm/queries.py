@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugesieve.functions.storage import new_path
-from gaugesieve.llm import imatch, licenses, mixing, ngram_join, packing, quality, secret_scan, token_scan, topk, warc
+from gaugesieve.llm import (
+    conversation_repair, filter_audit, imatch, licenses, mixing, ngram_join, packing, quality, secret_scan, token_scan, topk,
+    warc,
+)
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
@@ -116,7 +119,52 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove under all their orders, per language."""
+    return filter_audit.audit_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+d AS (SELECT w.doc_id, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+  (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+  + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN known ON known.doc_id = w.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter,
+  1 << (ascii(substr(filter_order, step, 1)) - 65) AS own,
+  coalesce(list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''),
+    lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)), 0)::INTEGER AS earlier
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+r AS (SELECT part, filter_order, step, letter,
+  sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & earlier > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN g ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN b ELSE 0 END) AS toxic_lost
+  FROM cells, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a seed, with their faults, cheapest repair and its digest."""
+    damage = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_conversations(damage).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_top_k, op3_token_counts, op4_mixing, op5_quality, op6_imatch, op7_secrets, op8_licenses, op9_best_fit,
-    op10_jaccard_join)}
-ORACLE_SQL = {"op1_warc": ORACLE_OP1, "op2_top_k": ORACLE_OP2}
+    op10_jaccard_join, op11_filter_audit, op12_conversation_repair)}
+ORACLE_SQL = {"op1_warc": ORACLE_OP1, "op2_top_k": ORACLE_OP2, "op11_filter_audit": ORACLE_OP11}

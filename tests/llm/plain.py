@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
+import zlib
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -116,3 +118,103 @@ def best_fit(pieces, capacity: int) -> list[int]:
         bins[n]["clusters"].add(cluster)
         out.append(n)
     return out
+
+
+def order_audit(rows, labels) -> dict:
+    """(part, order, step) to (kept, removed, redundant, unique, good, toxic, shapley), document by document.
+
+    ``rows`` are (id, text, part), ``labels`` (id, quality, toxic).
+    """
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, t in labels if t == 1} - {None}
+    least = {}
+    for i, text, _ in rows:
+        if i is not None:
+            least[text or ""] = min(least.get(text or "", i), i)
+    docs = []
+    for i, text, part in rows:
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w),
+                 "C": 100 * sum("A" <= c <= "Z" for c in text) > 10 * len(text), "D": any(c in "#$%&*|" for c in text),
+                 "E": i is not None and i > least[text]}
+        docs.append((part or "", {f for f, x in fails.items() if x}, i in good, i in toxic))
+    out, total = {}, {}
+    for part in {d[0] for d in docs}:
+        for order in itertools.permutations("ABCDE"):
+            left = [d for d in docs if d[0] == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                removed = [d for d in left if f in d[1]]
+                unique = sum(d[0] == part and d[1] == {f} for d in docs)
+                left = [d for d in left if f not in d[1]]
+                out[part, "".join(order), step] = [len(left), len(removed), sum(f in d[1] for d in gone), unique,
+                                                   sum(d[2] for d in removed), sum(d[3] for d in removed)]
+                gone += removed
+                total[part, f] = total.get((part, f), 0) + len(removed)
+    return {k: (*v, total[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def damaged_rows(rows) -> list:
+    """(conv, turn, role, text) rows after the damage; rows that are dropped are left out."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        out += [(conv, turn, role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def cheapest_edits(rows) -> tuple[int, str]:
+    """Least (cost, letters) of ``rows``, pairs (initial, fault), by costs from every place to the end."""
+    after = {"": "u", "s": "u", "u": "a", "a": "u"}
+    best = None
+    for i in range(len(rows), -1, -1):
+        here = {q: (0, "") if i == len(rows) and q in ("", "a") else (10**9, "") for q in after}
+        for _ in range(4):  # inserts lead to states of the same place
+            for q, wanted in after.items():
+                options = [(2, "I", here[wanted])]
+                if i < len(rows):
+                    initial, fault = rows[i]
+                    options.append((3, "D", best[q]))
+                    if fault not in ("blank", "duplicate"):
+                        more = fault == "truncated"
+                        options.append((2 + more, "R", best[wanted]))
+                        if initial == wanted or (initial == "s" and q == ""):
+                            options.append((more, "K", best[initial]))
+                here[q] = min([here[q], *[(c + t[0], letter + t[1]) for c, letter, t in options]])
+        best = here
+    return best[""]
+
+
+def repaired_conversations(rows) -> dict:
+    """conv to (gaps, blank, duplicate, truncated, illegal, cost, audit, digest) of (conv, turn, role, text) rows."""
+    after = damaged_rows(rows)
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in after if r[0] == conv), key=lambda r: (
+            r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).hexdigest()))
+        faults, seen = [], set()
+        for _, _, role, text in mine:
+            last = re.findall(r"[^\x20\x09-\x0D]", text)[-1:]
+            faults.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last[0] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {r[1] for r in mine if r[1] is not None}
+        initials = [r[2][:1] for r in mine]
+        cost, audit = cheapest_edits(list(zip(initials, faults)))
+        kept, left, state = [], iter(mine), ""
+        for letter in audit:
+            wanted = {"": "user", "s": "user", "u": "assistant", "a": "user"}[state]
+            role, text = (wanted, "") if letter == "I" else next(left)[2:]
+            if letter != "D":
+                kept.append(f"{role if letter == 'K' else wanted}:{text}")
+                state = kept[-1][0]
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, faults.count("blank"), faults.count("duplicate"),
+                     faults.count("truncated"), sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
+                     cost, audit, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
