@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugesieve.functions.storage import new_path
 from gaugesieve.llm import (
     conversation_repair, filter_audit, imatch, licenses, mixing, ngram_join, packing, quality, secret_scan, token_scan, topk,
-    warc,
+    toxicity, warc,
 )
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -164,7 +164,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(damage).withColumnRenamed("conv", "conv_id")
 
 
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the factorization machine; held-out rows never trained it."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_top_k, op3_token_counts, op4_mixing, op5_quality, op6_imatch, op7_secrets, op8_licenses, op9_best_fit,
-    op10_jaccard_join, op11_filter_audit, op12_conversation_repair)}
+    op10_jaccard_join, op11_filter_audit, op12_conversation_repair, op13_toxicity)}
 ORACLE_SQL = {"op1_warc": ORACLE_OP1, "op2_top_k": ORACLE_OP2, "op11_filter_audit": ORACLE_OP11}

@@ -218,3 +218,11 @@ def repaired_conversations(rows) -> dict:
                      faults.count("truncated"), sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
                      cost, audit, hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out
+
+
+def terms(text: str) -> set:
+    """Words of letters, digits and characters beyond ASCII, and the first 4 and 5 characters of longer words."""
+    found = set()
+    for w in re.findall("[0-9A-Za-z\x80-\U0010FFFF]+", ascii_lower(text)):
+        found |= {w} | {(n, w[:n]) for n in (4, 5) if len(w) > n}
+    return found
