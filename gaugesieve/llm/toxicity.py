@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                              ["y", "bits"])
 
     rows = sorted((r["y"], bytes(r["bits"])) for r in sample.select("y", "text").mapInArrow(bits, "y int, bits binary").collect())
-    packed = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1)
+    packed = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -(-len(terms) // 8))
     y = np.array([y for y, _ in rows], int)
     return fit_machine(terms, packed, x, y, np.array([weights[i] for i in y.tolist()]), **settings)
 
