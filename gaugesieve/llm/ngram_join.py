@@ -28,22 +28,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.storage import sized_broadcast, stored
 from gaugesieve.llm.batches import bounded_batches, small_batches
 from gaugesieve.llm.components import components
 from gaugesieve.llm.hashing import WordHasher, mixed, shingles
 
-SETS = "doc long, class long, n long, pool array<long>"
+SETS = "doc long, class long, n long, words long, pool array<long>"
 MEMBERS = "class long, n long, shingles array<long>"
 LINKS = "a long, b long"
 COUNTS = "class long, n_links long"
 CHUNK_SHINGLES = 200_000  # about the shingles of a chunk of a large component
+PAIRS_PER_COPY = 256  # a set that is in more pairs is repeated under a salt
 
 
 def _batches(batches, width: int, pool_of):
-    """For each small batch: the batch, class hashes and sizes of the shingle sets, and the kept part of each set."""
+    """For each small batch: the batch, word counts, class hashes and sizes of the shingle sets, and the kept part of each set."""
     hasher = WordHasher()
     for batch, texts in small_batches(batches, 1):
         words, first = hasher.texts(texts)
@@ -53,7 +53,7 @@ def _batches(batches, width: int, pool_of):
             # Equal sets have equal sums of mixed members; the size is part of the class.
             sums = np.array([int(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))) for s in sets], np.uint64)
             classes = mixed(sums + sizes.astype(np.uint64)).view(np.int64)
-        yield batch, classes, sizes, [pool_of(s) for s in sets]
+        yield batch, np.diff(first), classes, sizes, [pool_of(s) for s in sets]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -62,25 +62,34 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pool_share: float) -> DataFrame:
-    """(doc, class, n, pool): size and class of every shingle set, and its hashes below the bound."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, pool_share: float, carry: str | None = None) -> DataFrame:
+    """(doc, class, n, words, pool): size and class of every shingle set, words of the text, and its hashes below the bound.
+
+    ``carry`` names a column that is passed on as the string ``carried``.
+    """
     def run(batches):
         bound = np.uint64(int(pool_share * 2**64))
 
         def pool(s):
             return s[:np.searchsorted(s, bound)]
-        for batch, classes, sizes, kept in _batches(batches, width, pool):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(classes), pa.array(sizes), _lists(kept)], ["doc", "class", "n", "pool"])
+        for batch, words, classes, sizes, kept in _batches(batches, width, pool):
+            found = [batch.column(0), pa.array(classes), pa.array(sizes), pa.array(words.astype(np.int64)), _lists(kept)]
+            names = ["doc", "class", "n", "words", "pool"]
+            if carry is not None:
+                found.append(batch.column(2))
+                names.append("carried")
+            yield pa.RecordBatch.from_arrays(found, names)
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, SETS)
+    columns = [F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if carry is None:
+        return docs.select(*columns).mapInArrow(run, SETS)
+    return docs.select(*columns, F.col(f"`{carry}`").cast("string").alias("carried")).mapInArrow(run, SETS + ", carried string")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(class, n, shingles): the whole set of each wanted class, from the text of one document (class, doc) of it."""
     def run(batches):
-        for batch, classes, sizes, sets in _batches(batches, width, lambda s: s):
+        for batch, _, classes, sizes, sets in _batches(batches, width, lambda s: s):
             keep = np.flatnonzero(classes == batch.column(2).to_numpy())  # other rows with the same id have another class
             yield pa.RecordBatch.from_arrays(
                 [pa.array(classes[keep]), pa.array(sizes[keep]), _lists([sets[i] for i in keep])], ["class", "n", "shingles"])
@@ -126,6 +135,21 @@ def compared(group: pa.Table, up: int, down: int):
     return classes, linked_pairs([values[a:b] for a, b in zip(first[:-1], first[1:])], chunks, up, down)
 
 
+def _with_set(rows: DataFrame, pairs: DataFrame, whole: DataFrame, key: str, other: str, out: str) -> DataFrame:
+    """``rows`` with the shingles of the class ``key`` as ``out``; the set of a class in many pairs is repeated under a salt.
+
+    A leader of a large posting list is in a pair with each of its groups. One copy of its set goes to every
+    PAIRS_PER_COPY of them, so there are never more copies than pairs.
+    """
+    many = stored(pairs.groupBy(key).agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_COPY)).cast("int").alias("of")).filter("of > 1"), "many")
+    many = sized_broadcast(many)
+    salted = rows.join(many, key, "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("of")), F.lit(0)).cast("int")).drop("of")
+    sets = whole.select(F.col("class").alias(key), F.col("shingles").alias(out)).join(many, key, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
+    return salted.join(sets, [key, "salt"]).drop("salt")
+
+
 class JaccardJoin:
     """Links and classes of ``docs`` at Jaccard similarity ``threshold`` on shingles of ``width`` words.
 
@@ -153,11 +177,14 @@ class JaccardJoin:
         return (F.least(rest1, rest2) * (up + down) >= (n1 + n2) * up) & (
             F.least(n1, n2) * down >= F.greatest(n1, n2) * up)
 
-    def fit(self, docs: DataFrame, id_col: str, text_col: str) -> JaccardJoin:
-        """Find ``sets`` (doc, class, n), ``joining`` (a, b: links enough to connect) and ``linked`` (node, component)."""
+    def fit(self, docs: DataFrame, id_col: str, text_col: str, carry: str | None = None) -> JaccardJoin:
+        """Find ``sets`` (doc, class, n, words), ``joining`` (a, b: links enough to connect) and ``linked`` (node, component).
+
+        A column named by ``carry`` is passed on in ``sets`` as ``carried``.
+        """
         bounded_batches(docs.sparkSession)
-        sets = stored(shingle_sets(docs, id_col, text_col, self.width, self.pool_share), "sets")
-        self.sets = sets.select("doc", "class", "n")
+        sets = stored(shingle_sets(docs, id_col, text_col, self.width, self.pool_share, carry), "sets")
+        self.sets = sets.drop("pool")
         wanted = stored(self._candidates(sets), "wanted")
         classes = wanted.count()
         whole = stored(whole_sets(docs, sized_broadcast(wanted, classes), id_col, text_col, self.width), "whole")
@@ -234,10 +261,9 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold."""
         pair = F.array_sort(F.array("a", "b"))
-        pairs = pairs.select(pair[0].alias("a"), pair[1].alias("b")).distinct()
-        left = whole.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-        right = whole.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        pairs = stored(pairs.select(pair[0].alias("a"), pair[1].alias("b")).distinct(), "pairs")
+        both = _with_set(_with_set(pairs, pairs, whole, "a", "b", "x"), pairs, whole, "b", "a", "y")
+        both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
         union = F.size("x") + F.size("y") - F.col("i")
         return both.filter(F.col("i") * self.t.denominator >= union * self.t.numerator).select("a", "b")
 
@@ -316,14 +342,17 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that share id and text one stays.
     """
     found = stored(jaccard_classes(docs, id_col, text_col, **settings), "found")
-    per_id = found.groupBy(F.col("doc").alias("__doc")).agg(
-        F.min(~F.col("doc").eqNullSafe(F.col("component_id"))).alias("__goes"), F.count("*").alias("__rows"))
-    marked = stored(per_id.filter("__goes OR __rows > 1"), "marked")
-    key = F.col(f"`{id_col}`").cast("long")
-    goes = marked.filter("__goes")
-    kept = docs.join(sized_broadcast(goes), key.eqNullSafe(F.col("__doc")), "left_anti")
-    again = marked.filter("NOT __goes")
+    per_id = found.groupBy(F.col("doc").alias("of")).agg(
+        F.min(~F.col("doc").eqNullSafe(F.col("component_id"))).alias("goes"), F.count("*").alias("rows"))
+    marked = stored(per_id.filter("goes OR rows > 1"), "marked")
+    # The rows travel in a struct, so that no column of theirs can clash with the helper's.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
+
+    def met(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        return rows.join(sized_broadcast(table.select("of")), F.col("key").eqNullSafe(F.col("of")), how)
+
+    kept, again = met(held, marked.filter("goes"), "left_anti"), marked.filter("NOT goes")
     if again.isEmpty():
-        return kept
-    once = docs.join(sized_broadcast(again), key.eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(sized_broadcast(again), key.eqNullSafe(F.col("__doc")), "left_anti").unionByName(once)
+        return kept.select("row.*")
+    once = met(held, again, "left_semi").withColumn("text", F.col("row").getField(text_col)).dropDuplicates(["key", "text"]).drop("text")
+    return met(kept, again, "left_anti").unionByName(once).select("row.*")

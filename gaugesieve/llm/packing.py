@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.storage import sized_broadcast, stored
+from gaugesieve.functions.storage import sized_broadcast
 from gaugesieve.llm.mixing import word_count
-from gaugesieve.llm.ngram_join import jaccard_classes
+from gaugesieve.llm.ngram_join import JaccardJoin
 
 PIECES = ("doc_id long, part int, first_word long, n_words long, source string, cluster long, shard int, "
           "bin int, bin_words long")
@@ -107,19 +107,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     texts, have nothing to pack and give no row. Null sources are one source. Repeated rows are packed each.
     An empty table gives an empty result; other columns, whatever their names, are not read.
     """
-    if capacity < 1 or shard_rows < 1:
-        raise ValueError("capacity and shard_rows must be positive")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     cluster = F.xxhash64(plain) if cluster_col is None else F.xxhash64(F.col(f"`{cluster_col}`"))
     light = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
-                        cluster.alias("cluster"), word_count(text).alias("words")).filter("words > 0")
-    shards = max(1, -(-docs.count() // shard_rows))
+                        cluster.alias("cluster"), word_count(text).alias("words"))
+    return _packed(light, docs.count(), capacity, shard_rows)
+
+
+def _packed(light: DataFrame, rows: int, capacity: int, shard_rows: int) -> DataFrame:
+    """PIECES of the ``rows`` rows (doc_id, source, cluster, words); a long document's pieces are spread over the shards too."""
+    if capacity < 1 or shard_rows < 1:
+        raise ValueError("capacity and shard_rows must be positive")
+    shards = max(1, -(-rows // shard_rows))
     parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.lit(capacity)))
-    pieces = light.withColumn("p", F.explode(parts)).select(
+    pieces = light.filter("words > 0").withColumn("p", F.explode(parts)).select(
         "doc_id", F.col("p").cast("int").alias("part"), (F.col("p") * capacity).alias("first_word"),
         F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("p") * capacity).alias("n_words"), "source", "cluster",
-        F.pmod(F.xxhash64(F.col("doc_id"), F.col("cluster")), F.lit(shards)).cast("int").alias("shard"))
+        F.pmod(F.xxhash64("doc_id", "cluster", "p"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return packed_shard(capacity, group)
@@ -127,16 +132,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def pack_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-              **settings) -> DataFrame:
+              capacity: int = 2048, shard_rows: int = 4096) -> DataFrame:
     """``pack`` with the classes of the Jaccard join, at five words and 0.8, as clusters: near copies never meet.
 
-    Texts that are equal up to case and runs of spaces are one class, as in ``pack``; rows are told apart by id and text.
+    Texts that are equal up to case and runs of spaces are one class, as in ``pack``. The join's pass over the texts counts
+    their words too, so packing reads the stored sets and no text again.
     """
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, source_col))], key.alias("__key"))
-    found = jaccard_classes(source.withColumn("__low", F.lower(F.col(f"`{text_col}`").cast("string"))), "__key", "__low")
-    # Most rows are a class of their own; only the others need to be looked up.
-    moved = stored(found.filter("doc <> component_id").select(F.col("doc").alias("__of"), "component_id").distinct(), "moved")
-    clustered = source.join(sized_broadcast(moved), F.col("__key") == F.col("__of"), "left").withColumn(
-        "__cluster", F.coalesce("component_id", "__key"))
-    return pack(clustered, id_col, text_col, source_col, "__cluster", **settings)
+    low = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
+                      F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
+    join = JaccardJoin().fit(low, "id", "text", carry="source")
+    linked = join.linked.select("node", "component")
+    rows = join.sets.select(F.col("doc").alias("doc_id"), F.col("carried").alias("source"), "class", "words")
+    clustered = rows.join(sized_broadcast(linked), F.col("class") == F.col("node"), "left").select(
+        "doc_id", "source", F.coalesce("component", "class").alias("cluster"), "words")
+    return _packed(clustered, join.sets.count(), capacity, shard_rows)
