@@ -7,13 +7,17 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from gaugesieve.functions.storage import sized_broadcast, stored
+
 CUTS = 256
-ROWS_PER_BUCKET = 100_000
 GATHERED = 4096
 SPANS_AT_ONCE = 200
 MAX_HOT_KEYS = 1000
@@ -71,27 +75,6 @@ def _grid(parts: int) -> Column:
     return F.array(*[F.lit(i / parts) for i in range(1, parts)])
 
 
-def with_bucket(df: DataFrame, values: DataFrame, by, value: str, out: str) -> DataFrame:
-    """Add a bucket number that, within a group, never decreases as ``value`` grows.
-
-    The cuts between buckets are quantiles of ``values``, so a bucket holds about an equal share of the rows whatever
-    their distribution: one in CUTS, or one per ROWS_PER_BUCKET rows where there are more. Infinities and NaN have
-    buckets of their own. ``by`` must come from a small domain; the cuts are read when this is called, one list per group.
-    """
-    by, v = list(by), F.col(value).cast("double")
-    most = values.groupBy(*by).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(CUTS, -(-most // ROWS_PER_BUCKET))
-    found = values.groupBy(*by).agg(F.percentile_approx(_finite(v), _grid(parts), F.lit(8 * parts)).alias("cuts")).collect()
-    bucket = F.lit(None).cast("int")
-    for row in found:
-        cuts = sorted(set(row["cuts"] or []))
-        here = (F.when(F.isnan(v), len(cuts) + 3).when(v == float("inf"), len(cuts) + 2)
-                .when(v == float("-inf"), 0).otherwise(_place(v, cuts) + 1))
-        same = reduce(and_, [F.col(c).eqNullSafe(F.lit(row[c])) for c in by], F.lit(True))
-        bucket = F.when(same, here).otherwise(bucket)
-    return df.withColumn(out, bucket)
-
-
 def melt(df: DataFrame, columns: dict[str, Column], keep=(), name: str = "feature",
          value: str = "value") -> DataFrame:
     """Long form (``keep`` columns, name, value) of the given expressions, NULL values dropped."""
@@ -126,8 +109,13 @@ def order_statistics(df: DataFrame, units: list[Column], wanted) -> list[tuple[i
     are left, which are sorted. Each round narrows an interval some CUTS times; counts and cuts combine
     before they move, so equal values, heavy tails and infinities put no more on one task than other values do.
     """
+    # The values are stored once, each as a narrow column; rounds read the columns that they still search.
+    df = stored(df.select(*[v.cast("double").alias(f"u{i}") for i, v in enumerate(units)]), "values")
+    units = [F.col(f"u{i}") for i in range(len(units))]
+    grid = _grid(CUTS)
     counts = df.agg(*[c for i, v in enumerate(units) for c in (
-        F.count(v).alias(f"n{i}"), F.count_if(v == float("-inf")).alias(f"low{i}"), F.count(_finite(v)).alias(f"m{i}"))]).first()
+        F.count(v).alias(f"n{i}"), F.count_if(v == float("-inf")).alias(f"low{i}"), F.count(_finite(v)).alias(f"m{i}"),
+        F.percentile_approx(_finite(v), grid, F.lit(8 * CUTS)).alias(f"c{i}"))]).first()
     found, pending = [], []
     for i in range(len(units)):
         n, low, m = counts[f"n{i}"], counts[f"low{i}"], counts[f"m{i}"]
@@ -151,7 +139,8 @@ def order_statistics(df: DataFrame, units: list[Column], wanted) -> list[tuple[i
             for r in span.ranks:
                 settle(span, r, values[r - span.before])
         pending = []
-        for span, cuts, sizes in _histograms(df, units, many):
+        known = {s.unit: sorted(set(counts[f"c{s.unit}"])) for s in many if s.low is None and s.high is None}
+        for span, cuts, sizes in _histograms(df, units, many, known):
             # Segment 2k + 1 holds what equals cut k, the even ones what lies between.
             upto = span.before
             for segment, size in enumerate(sizes):
@@ -175,13 +164,14 @@ def _gathered(df: DataFrame, units: list[Column], spans: list[_Span]):
         yield from ((s, row[k]) for k, s in enumerate(part))
 
 
-def _histograms(df: DataFrame, units: list[Column], spans: list[_Span]):
-    """(interval, cuts, counts of the segments between and at the cuts)."""
+def _histograms(df: DataFrame, units: list[Column], spans: list[_Span], known: dict[int, list[float]]):
+    """(interval, cuts, counts of the segments between and at the cuts). ``known`` has the cuts of whole units."""
     if not spans:
         return
-    grid = _grid(CUTS)
-    row = df.agg(*[F.percentile_approx(s.member(units[s.unit]), grid, F.lit(8 * CUTS)).alias(f"c{k}") for k, s in enumerate(spans)]).first()
-    cuts = [sorted(set(row[k])) for k in range(len(spans))]
+    open_ = [(k, s) for k, s in enumerate(spans) if s.unit not in known or s.low is not None or s.high is not None]
+    found = df.agg(*[F.percentile_approx(s.member(units[s.unit]), _grid(CUTS), F.lit(8 * CUTS)).alias(f"c{k}") for k, s in open_]).first() if open_ else {}
+    later = {k for k, _ in open_}
+    cuts = [sorted(set(found[f"c{k}"])) if k in later else known[s.unit] for k, s in enumerate(spans)]
     segments = []
     for k, s in enumerate(spans):
         v = s.member(units[s.unit])
@@ -247,26 +237,62 @@ def collect_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[
 
 
 def sums_below(df: DataFrame, by, value: str, sums: dict[str, Column]) -> DataFrame:
-    """Per distinct ``value``: each sum, and ``below_<name>``, its total over all smaller values.
+    """Per distinct ``value``: each sum, and ``below_<name>``, its total over all smaller values; null values are left out.
 
-    The values are spread over ordered buckets, running sums stay within a bucket
-    and the bucket totals, a few hundred rows per group or one per ROWS_PER_BUCKET rows, supply the offsets.
-    ``by`` must come from a small domain such as a method or feature name.
+    Rows are counted per value first, so a hot value is one row. The values are dealt into ranges of equal numbers of
+    values by Spark's range partitioning, whose number of cuts is that of the partitions whatever the number of rows or groups; each
+    partition sums in one ordered pass, and the totals of a group's partitions supply the offsets. The sums must be whole numbers.
+    The work runs when this is called and its result is stored.
     """
-    by = list(by)
-    data = df if by else df.withColumn("__all", F.lit(1))
+    by, names = list(by), list(sums)
+    per_value = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(c).cast("long").alias(n) for n, c in sums.items()])
+    ordered = per_value.repartitionByRange(*by, value).sortWithinPartitions(*by, value)
+    fields = [*per_value.schema.fields, *[T.StructField(f"below_{n}", T.LongType()) for n in names], T.StructField("__part", T.IntegerType())]
+    local = stored(ordered.mapInArrow(_running(len(by), names), T.StructType(fields)), "ranks")
+    if not by:
+        local = local.withColumn("__all", F.lit(1))
     group = by or ["__all"]
-    per_value = data.groupBy(*group, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    bucketed = with_bucket(per_value, data, group, value, "__bucket")
-    totals = bucketed.groupBy(*group, "__bucket").agg(*[F.sum(n).alias(f"__sum_{n}") for n in sums])
-    before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*group, "__bucket", *[
-        F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in sums])
-    within = W.partitionBy(*group, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = [F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"__loc_{n}") for n in sums]
-    ranked = bucketed.select(*group, "__bucket", value, *sums, *local)
-    return ranked.join(F.broadcast(offsets), [*group, "__bucket"]).select(
-        *by, value, *sums, *[(F.col(f"__off_{n}") + F.col(f"__loc_{n}")).alias(f"below_{n}") for n in sums])
+    totals = local.groupBy(*group, "__part").agg(*[F.sum(n).alias(f"__sum_{n}") for n in names])
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = stored(totals.select(*[F.col(c).alias(f"__by_{i}") for i, c in enumerate(group)], F.col("__part").alias("__of"), *[
+        F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in names]), "offsets")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{i}")) for i, c in enumerate(group)], F.col("__part") == F.col("__of"))
+    return local.join(sized_broadcast(offsets), same).select(
+        *by, value, *names, *[(F.col(f"__off_{n}") + F.col(f"below_{n}")).alias(f"below_{n}") for n in names])
+
+
+def _running(keys: int, names: list[str]):
+    """Running sums over a sorted partition; they start anew with every combination of the first ``keys`` columns."""
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        last, carried = None, [0] * len(names)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            coded = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for i in range(keys)]
+            turns = np.zeros(n, bool)
+            for c in coded:
+                turns[1:] |= c[1:] != c[:-1]
+            turns[0] = tuple(batch.column(i)[0].as_py() for i in range(keys)) != last
+            starts = np.flatnonzero(turns).tolist()
+            below = []
+            for k in range(len(names)):
+                own = batch.column(keys + 1 + k).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.cumsum(own) - own
+                # Subtract what was summed before a group's first row; before the first start the carried sum goes on.
+                base = np.zeros(n, np.int64)
+                for s, e in zip(starts, [*starts[1:], n]):
+                    base[s:e] = upto[s]
+                found = upto - base
+                found[:starts[0] if starts else n] += carried[k]
+                carried[k] = int(found[-1] + own[-1])
+                below.append(pa.array(found))
+            last = tuple(batch.column(i)[n - 1].as_py() for i in range(keys))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *below, pa.array(np.full(n, part, np.int32))],
+                [*batch.schema.names, *[f"below_{n}" for n in names], "__part"])
+    return run
 
 
 def row_digest(keys, seed=None) -> Column:
@@ -275,29 +301,20 @@ def row_digest(keys, seed=None) -> Column:
     return F.md5(F.concat_ws("-", *parts, *([F.lit(str(seed))] if seed is not None else [])))
 
 
-def rank_by_digest(df: DataFrame, by, digest: Column, out: str) -> DataFrame:
-    """``row_number() OVER (PARTITION BY by ORDER BY digest)`` without one task per group.
+def rank_by_digest(df: DataFrame, by, keys, seed, out: str) -> DataFrame:
+    """``row_number() OVER (PARTITION BY by ORDER BY row_digest(keys, seed))`` without one task per group; rows of one
+    digest share the number of the first.
 
-    The first hex digits of the digest cut a group into ordered slices of about ROWS_PER_BUCKET rows at most; slices are
-    numbered on their own and shifted by the sizes of the slices before them.
+    Only the digests are ranked: they are counted per value, ordered in ranges (``sums_below``) and joined back to the rows.
     """
-    by = list(by)
-    keep = df.columns
-    rows, digits = df.count(), 2
-    while 16 ** digits * ROWS_PER_BUCKET < rows:
-        digits += 1
-    sliced = df.withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, digits))
-    sizes = sliced.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    if not by:
-        sizes = sizes.withColumn("__all", F.lit(1))
-    before = W.partitionBy(*(by or ["__all"])).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__slice").alias("__s"),
-                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by],
-                   F.col("__slice") == F.col("__s"))
-    local = F.row_number().over(W.partitionBy(*by, "__slice").orderBy("__digest"))
-    return sliced.withColumn("__local", local).join(F.broadcast(offsets), match).select(
-        *keep, (F.col("__before") + F.col("__local")).alias(out))
+    by, columns = list(by), df.columns
+    digest = row_digest(keys, seed)
+    narrow = df.select(*[F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(by)], digest.alias("digest"))
+    groups = [f"b{i}" for i in range(len(by))]
+    ranks = sums_below(narrow, groups, "digest", {"n": F.lit(1).cast("long")}).select(
+        *[F.col(g).alias(f"__{g}") for g in groups], F.col("digest").alias("__of"), (F.col("below_n") + 1).alias("__rank"))
+    match = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__{g}")) for c, g in zip(by, groups)], F.col("__digest") == F.col("__of"))
+    return df.withColumn("__digest", digest).join(ranks, match).select(*[F.col(f"`{c}`") for c in columns], F.col("__rank").alias(out))
 
 
 def lookup_by_key(left: DataFrame, table: DataFrame, keys, weight: str, salts: int = 64) -> DataFrame:

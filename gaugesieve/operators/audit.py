@@ -11,6 +11,7 @@ from gaugesieve.functions.rowwise import (
     INF, any_of, correlation, joined_names, mean_of, number, pairs_of, spread_of, true_or_false,
 )
 from gaugesieve.functions.scale import exact_quantiles, melt, quantile_columns
+from gaugesieve.functions.storage import stored
 from gaugesieve.operators.duplicates import duplicate_group_sizes, duplicate_report, repeated_ids
 from gaugesieve.operators.flags import (
     DIAGNOSTIC_FLAGS, REPORTED_FLAGS, absent, quality_flags, suspicious_records,
@@ -19,6 +20,7 @@ from gaugesieve.spec import MeasurementSpec
 
 # Reported percentiles.
 PERCENTILES = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9)
+OUTLIER_ENDS = (0.01, 0.25, 0.75, 0.99)
 # End of fixed values.
 
 
@@ -95,7 +97,8 @@ def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def numeric_statistics(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
+def numeric_statistics(df: DataFrame, spec: MeasurementSpec, quantiles: DataFrame | None = None) -> DataFrame:
+    """Counts, ends, mean, median and deviation per feature; ``quantiles``, if given, holds the medians."""
     columns = spec.present(df)
     rows = {
         c: {"TotalCount": F.col("rows"), "ValidCount": F.col(f"n_{i}"),
@@ -104,7 +107,9 @@ def numeric_statistics(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
         for i, c in enumerate(columns)
     }
     stats = tall(_moments(df, columns), rows, "Feature")
-    medians = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5]).select(
+    if quantiles is None:
+        quantiles = exact_quantiles(df, {c: number(df, c) for c in columns}, [0.5])
+    medians = quantiles.filter(F.col("prob") == 0.5).select(
         F.col("feature").alias("Feature"), F.col("quantile").alias("Median"))
     return stats.join(F.broadcast(medians), "Feature", "left")
 
@@ -113,21 +118,25 @@ def percentile_name(p: float) -> str:
     return f"P{str(float(p)).replace('.', '_')}"
 
 
-def percentile_table(df: DataFrame, spec: MeasurementSpec, percentiles=PERCENTILES) -> DataFrame:
+def percentile_table(df: DataFrame, spec: MeasurementSpec, percentiles=PERCENTILES, quantiles: DataFrame | None = None) -> DataFrame:
     """Exact percentiles per feature, linear between ranks; features without values are left out."""
-    quantiles = exact_quantiles(df, {c: number(df, c) for c in spec.present(df)},
-                                [p / 100 for p in percentiles])
+    if quantiles is None:
+        quantiles = exact_quantiles(df, {c: number(df, c) for c in spec.present(df)}, [p / 100 for p in percentiles])
     names = {p / 100: percentile_name(p) for p in percentiles}
     return quantile_columns(quantiles, names).withColumnRenamed("feature", "Feature")
 
 
-def outlier_candidates(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
-    """One row per record and feature that trips the IQR, percentile or z-score rule."""
-    flagged = quality_flags(df, spec)
+def outlier_candidates(df: DataFrame, spec: MeasurementSpec, flagged: DataFrame | None = None,
+                       quantiles: DataFrame | None = None) -> DataFrame:
+    """One row per record and feature that trips the IQR, percentile or z-score rule.
+
+    ``flagged`` and ``quantiles`` may hand in the flags and quantiles of ``df``.
+    """
+    flagged = quality_flags(df, spec) if flagged is None else flagged
     columns = spec.present(df)
-    values = {c: number(df, c) for c in columns}
-    quartiles = quantile_columns(exact_quantiles(df, values, [0.01, 0.25, 0.75, 0.99]),
-                                 {0.01: "p1", 0.25: "q1", 0.75: "q3", 0.99: "p99"})
+    if quantiles is None:
+        quantiles = exact_quantiles(df, {c: number(df, c) for c in columns}, OUTLIER_ENDS)
+    quartiles = quantile_columns(quantiles, dict(zip(OUTLIER_ENDS, ("p1", "q1", "q3", "p99"))))
     moments = tall(_moments(df, columns), {
         c: {"mean": F.col(f"avg_{i}"), "std": F.col(f"std_{i}")} for i, c in enumerate(columns)}, "feature")
     bounds = quartiles.join(F.broadcast(moments), "feature")
@@ -291,8 +300,8 @@ def distribution_check(train: DataFrame, test: DataFrame, spec: MeasurementSpec,
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.sum("n").over(W.partitionBy(F.lit(1)))
-    return counts.select(column, "n", percent(F.col("n"), whole).alias("pct"))
+    whole = df.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("__whole", whole).select(column, "n", percent(F.col("n"), F.col("__whole")).alias("pct"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -319,24 +328,31 @@ def crosstab(df: DataFrame, rows: str, columns: str, values) -> DataFrame:
 
 
 def run_audit(train: DataFrame, test: DataFrame, spec: MeasurementSpec) -> dict[str, DataFrame]:
-    """Every audit for both splits, all lazy."""
-    results = {}
-    flagged = {"train": quality_flags(train, spec), "test": quality_flags(test, spec)}
-    for split, df in (("train", train), ("test", test)):
+    """Every audit for both splits.
+
+    A split's rows and flags are stored once, and one search finds all the quantiles that its reports need; the reports
+    are lazy plans over these tables.
+    """
+    results, flagged = {}, {}
+    probs = sorted({0.5, *OUTLIER_ENDS, *[p / 100 for p in PERCENTILES]})
+    for split, given in (("train", train), ("test", test)):
+        df = stored(given, "audited")
+        flags = flagged[split] = stored(quality_flags(df, spec), "flagged")
+        quantiles = exact_quantiles(df, {c: number(df, c) for c in spec.present(df)}, probs)
         results |= {
             f"missing_{split}": missing_profile(df, spec),
             f"non_finite_{split}": nonfinite_profile(df, spec),
             f"duplicates_{split}": duplicate_report(df, spec),
             f"duplicate_sizes_{split}": duplicate_group_sizes(df, spec),
             f"repeated_ids_{split}": repeated_ids(df, spec),
-            f"statistics_{split}": numeric_statistics(df, spec),
-            f"percentiles_{split}": percentile_table(df, spec),
+            f"statistics_{split}": numeric_statistics(df, spec, quantiles),
+            f"percentiles_{split}": percentile_table(df, spec, quantiles=quantiles),
             f"suspicious_{split}": suspicious_records(df, spec),
-            f"outliers_{split}": outlier_candidates(df, spec),
+            f"outliers_{split}": outlier_candidates(df, spec, flags, quantiles),
             f"sensor_correlations_{split}": sensor_correlations(df, spec),
             f"sensor_summary_{split}": sensor_summary(df, spec),
             f"sensor_metrics_{split}": sensor_metrics(df, spec),
-            f"flags_{split}": flagged[split],
+            f"flags_{split}": flags,
         }
     results["summary"] = quality_summary(flagged["train"], spec, flagged["test"])
     return results

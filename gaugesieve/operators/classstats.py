@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.rowwise import correlation, number, pairs_of, true_or_false
 from gaugesieve.functions.scale import exact_quantiles, lookup_by_key, melt, quantile_columns, sums_below
 from gaugesieve.functions.stats import correlation_p_value
+from gaugesieve.functions.storage import BROADCAST_ROWS, stored
 from gaugesieve.operators.audit import percent, tall
 from gaugesieve.operators.features import regime_summary, with_context, with_regimes
 from gaugesieve.operators.flags import absent, encode_label, quality_flags
@@ -193,13 +193,15 @@ def pattern_lift(df: DataFrame, spec: MeasurementSpec, predicates: dict[str, Col
 
 
 def _first_of_each(df: DataFrame, cases, order, columns, limit: int, name: str) -> DataFrame:
-    """The first ``limit`` rows, in id order, of each (tag columns, condition) case."""
-    parts = [
-        df.filter(true_or_false(condition)).orderBy(*order).limit(limit).select(
-            F.lit(tag).alias(name), *columns, *[F.lit(t).alias(n) for n, t in extra.items()])
-        for tag, condition, extra in cases
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The first ``limit`` rows, in id order, of each (tag, condition) case.
+
+    Each row is read once and carries the cases it belongs to; per case only the first rows of every partition move.
+    """
+    tags = F.array(*[F.when(true_or_false(condition), F.lit(tag)) for tag, condition in cases])
+    shown = df.select(F.struct(*columns).alias("shown"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)],
+                      F.explode(F.array_compact(tags)).alias("case"))
+    place = F.row_number().over(W.partitionBy("case").orderBy(*[f"o{i}" for i in range(len(order))]))
+    return shown.withColumn("place", place).filter(F.col("place") <= limit).select(F.col("case").alias(name), "shown.*")
 
 
 def _order(spec: MeasurementSpec) -> list[str]:
@@ -212,11 +214,11 @@ def unusual_regimes(df: DataFrame, spec: MeasurementSpec, limit: int = 5) -> Dat
                       number(df, spec.temperature))
     # Case names and limits.
     cases = [
-        ("Unusual Heavy-Load (Valid)", (c > 95) & (label == spec.negative), {}),
-        ("High Voltage Regime (Valid)", (v > 28) & (label == spec.negative), {}),
+        ("Unusual Heavy-Load (Valid)", (c > 95) & (label == spec.negative)),
+        ("High Voltage Regime (Valid)", (v > 28) & (label == spec.negative)),
         ("Normal Operating Range (Invalid)",
          v.between(15, 25) & c.between(50, 80) & t.between(20, 35) & ~F.col("missing_any")
-         & (label == spec.positive), {}),
+         & (label == spec.positive)),
     ]
     columns = [*_order(spec), spec.voltage, spec.current, spec.temperature, "Sensor_Spread", spec.label_col]
     return _first_of_each(df, cases, _order(spec), columns, limit, "Regime_Category")
@@ -264,12 +266,12 @@ def representatives(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     bad = label == spec.positive
     # Case names and limits.
     cases = [
-        ("Unusual Valid", (c > 95) & (label == spec.negative), {}),
-        ("Quality Issue Invalid", F.col("data_quality_issue") & bad, {}),
-        ("Missing S4 Invalid", number(df, spec.sensors[-1]).isNull() & bad, {}),
-        ("Sensor Disagreement Invalid", (F.col("Sensor_Spread") > 50) & bad, {}),
+        ("Unusual Valid", (c > 95) & (label == spec.negative)),
+        ("Quality Issue Invalid", F.col("data_quality_issue") & bad),
+        ("Missing S4 Invalid", number(df, spec.sensors[-1]).isNull() & bad),
+        ("Sensor Disagreement Invalid", (F.col("Sensor_Spread") > 50) & bad),
         ("Normal-Looking Invalid",
-         v.between(18, 22) & c.between(50, 70) & ~F.col("missing_any") & bad, {}),
+         v.between(18, 22) & c.between(50, 70) & ~F.col("missing_any") & bad),
     ]
     columns = [*_order(spec), spec.voltage, spec.current, spec.temperature, *spec.sensors,
                "Sensor_Spread", F.col("data_quality_issue").alias("DataQualityIssue"), spec.label_col]
@@ -279,25 +281,44 @@ def representatives(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 def relationships(df: DataFrame, spec: MeasurementSpec, min_values: int = 10) -> DataFrame:
     """Pearson and Spearman for every condition-sensor pair and every sensor pair.
 
-    Ranks are taken among the rows complete for the pair, from per-value counts;
-    they are then looked up per row, with heavy values salted.
+    Ranks are taken among the rows complete for the pair. Each column is ordered once, whatever its number of pairs: per
+    distinct value it has its rows and those below that have each of the other columns, which give the rank in any pair. The
+    ranks of a column with few values are broadcast, others are looked up with heavy values salted, once per column.
     """
     sensors = spec.present(df, spec.sensors)
     operating = spec.present(df, (spec.current, spec.voltage, spec.temperature, spec.duration))
     pairs = [("Operating_vs_Sensor", a, b) for a in operating for b in sensors]
     pairs += [("Cross_Sensor_Pair", a, b) for a, b in pairs_of(sensors)]
-    values = df.select(*[number(df, c).alias(c) for c in dict.fromkeys([*operating, *sensors])])
-    entries = [F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-               for k, (_, a, b) in enumerate(pairs)]
-    complete = values.select(F.inline(F.array(*entries))).filter("x IS NOT NULL AND y IS NOT NULL")
-
-    ranked = complete
-    for side in ("x", "y"):
-        table = sums_below(complete.select("pair", side), ["pair"], side, {f"n_{side}": F.lit(1).cast("long")})
-        ranks = table.select("pair", side, f"n_{side}", (
-            F.col(f"below_n_{side}") + (F.col(f"n_{side}") + 1) / 2).alias(f"rank_{side}"))
-        ranked = lookup_by_key(ranked, ranks, ["pair", side], f"n_{side}").drop(f"n_{side}")
-    stats = ranked.groupBy("pair").agg(
+    columns = list(dict.fromkeys([*operating, *sensors]))
+    partners = {c: [b if a == c else a for _, a, b in pairs if c in (a, b)] for c in columns}
+    values = stored(df.select(*[number(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "numbers")
+    has = [F.col(f"v{i}").isNotNull() for i in range(len(columns))]
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("value"), F.array(*has).alias("has"))
+                                            for i in range(len(columns))])))
+    table = sums_below(long, ["k"], "value", {f"n{j}": F.when(F.col("has")[j], 1).otherwise(0) for j in range(len(columns))})
+    ranks = {j: F.col(f"below_n{j}") + (F.col(f"n{j}") + 1) / 2 for j in range(len(columns))}
+
+    ranked = values
+    for i, c in enumerate(columns):
+        side = table.filter(F.col("k") == i).select(
+            F.lit(False).alias("none"), F.col("value").alias("of"), F.col(f"n{i}").alias("rows"),
+            F.array(*[ranks[columns.index(b)] for b in partners[c]]).alias(f"r{i}"))
+        count = side.count()
+        nothing = values.filter(~has[i]).agg(F.lit(True).alias("none"), F.lit(0.0).alias("of"), F.count("*").alias("rows"),
+                                             F.lit(None).cast("array<double>").alias(f"r{i}"))
+        side = side.unionByName(nothing)
+        keyed = ranked.withColumns({"none": F.col(f"v{i}").isNull(), "of": F.coalesce(f"v{i}", F.lit(0.0))})
+        if count <= BROADCAST_ROWS:
+            ranked = keyed.join(F.broadcast(side.drop("rows")), ["none", "of"]).drop("none", "of")
+        else:
+            ranked = lookup_by_key(keyed, side, ["none", "of"], "rows").drop("none", "of", "rows")
+
+    def rank_in(c: str, partner: str) -> Column:
+        return F.col(f"r{columns.index(c)}")[partners[c].index(partner)]
+
+    entries = [F.struct(F.lit(k).alias("pair"), F.col(f"v{columns.index(a)}").alias("x"), F.col(f"v{columns.index(b)}").alias("y"),
+                        rank_in(a, b).alias("rank_x"), rank_in(b, a).alias("rank_y")) for k, (_, a, b) in enumerate(pairs)]
+    stats = ranked.select(F.inline(F.array(*entries))).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("pair").agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"), correlation(F.col("rank_x"), F.col("rank_y")).alias("rho"))
 
     names = df.sparkSession.createDataFrame(
@@ -366,8 +387,8 @@ def unusual_residuals(df: DataFrame, spec: MeasurementSpec, limit: int = 5) -> D
     label, v, c = F.col(spec.label_col), number(df, spec.voltage), number(df, spec.current)
     # Case names and limits.
     cases = [
-        ("Unusual Heavy Load (Valid)", (c > 95) & (label == spec.negative), {}),
-        ("Normal Parameters (Invalid)", v.between(15, 25) & c.between(50, 80) & (label == spec.positive), {}),
+        ("Unusual Heavy Load (Valid)", (c > 95) & (label == spec.negative)),
+        ("Normal Parameters (Invalid)", v.between(15, 25) & c.between(50, 80) & (label == spec.positive)),
     ]
     columns = [*_order(spec), spec.current, F.col("p1_max_abs_residual").alias("Max_Abs_Residual"),
                F.col("p1_consistency_index").alias("Consistency_Index"), spec.label_col]

@@ -77,13 +77,18 @@ def residual_detector(df: DataFrame, max_residual: float = 3.0, min_consistency:
     return with_prediction(df, (largest > max_residual) | (index < min_consistency), largest, name)
 
 
+def present_keys(df: DataFrame, spec: MeasurementSpec) -> list[str]:
+    """The row key, if the frame has all of it."""
+    return list(spec.row_key) if set(spec.row_key) <= set(df.columns) else []
+
+
 def fit_detector(train: DataFrame, spec: MeasurementSpec, method: str = "isolation_forest",
                  columns=None, **options):
     """Fit an unsupervised detector; the result has ``score(df)`` and ``detect(df, name)``."""
     columns = spec.present(train) if columns is None else list(columns)
     if method == "isolation_forest":
         from gaugesieve.operators.iforest import fit_isolation_forest
-        return fit_isolation_forest(train, columns, **options)
+        return fit_isolation_forest(train, columns, **{"keys": present_keys(train, spec)} | options)
     if method == "lof":
         from gaugesieve.operators.lof import fit_lof
         return fit_lof(train, columns, **options)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.scale import hot_keys, mark_hot, spread_salt
+from gaugesieve.functions.storage import sized_broadcast, stored
 from gaugesieve.spec import MeasurementSpec
 
 # Flag names.
@@ -64,6 +66,42 @@ def duplicate_flags(df: DataFrame, spec: MeasurementSpec, salts: int = 256,
         "duplicate_test_id", "duplicate_measurement_pair")
 
 
+def duplicate_flags_by_fold(folds: DataFrame, spec: MeasurementSpec, k: int, fold: str = "fold") -> DataFrame:
+    """The duplicate flags of every row in each of k splits, from one count per key and fold.
+
+    In split i the rows of fold i are one part and all others the other, and a flag tells whether the row is a duplicate within its part. The
+    count of a key outside a fold is its total less the count inside, so nothing is counted again per split. Adds
+    ``duplicate_full_row`` and two arrays with an entry per split. Identical rows must share a fold. Only keys that
+    repeat are joined back.
+    """
+    columns = folds.columns
+    row_key, id_key, vector = ([F.col(f"`{c}`") for c in names] for names in (
+        [c for c in columns if c != fold], spec.present(folds, [spec.id_col]), spec.present(folds)))
+
+    def key(cols) -> Column:
+        plain = [F.when(c.isNotNull(), c + F.lit(0.0)) if isinstance(folds.select(c).schema[0].dataType, T.DoubleType) else c for c in cols]
+        return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]), {"ignoreNullFields": "false"}), 256)
+
+    keyed = stored(folds.withColumns({"__row": key(row_key), "__id": key(id_key), "__vector": key(vector)}), "keys")
+    flagged = keyed
+    per_fold = [F.count_if(F.col(fold) == i + 1).alias(f"n{i}") for i in range(k)]
+    for name, out in (("__id", "duplicate_test_id"), ("__vector", "duplicate_measurement_pair")):
+        repeated = keyed.groupBy(F.col(name).alias("of")).agg(*per_fold, F.count("*").alias("n")).filter("n > 1").select(
+            "of", F.array(*[F.col(f"n{i}") for i in range(k)]).alias("in_fold"), "n")
+        repeated = sized_broadcast(stored(repeated, "repeated"))
+        in_part = F.transform("in_fold", lambda c, i: F.when(F.col(fold) == i + 1, c).otherwise(F.col("n") - c) > 1)
+        never = F.array_repeat(F.lit(False), k)
+        flagged = flagged.join(repeated, F.col(name) == F.col("of"), "left").withColumn(
+            out, F.coalesce(in_part, never) if spec.present(folds, [spec.id_col]) or name != "__id" else never).drop("of", "in_fold", "n")
+    # Which copy of an identical row a row is does not matter; the copies are numbered where there are any.
+    copies = stored(keyed.groupBy(F.col("__row").alias("of")).agg(F.count("*").alias("n")).filter("n > 1").select("of"), "copies")
+    marked = flagged.join(sized_broadcast(copies), F.col("__row") == F.col("of"), "left")
+    place = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))
+    alone = marked.filter("of IS NULL").withColumn("duplicate_full_row", F.lit(False))
+    several = marked.filter("of IS NOT NULL").withColumn("duplicate_full_row", place > 1)
+    return alone.unionByName(several).drop("__row", "__id", "__vector", "of")
+
+
 def duplicate_groups(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     """One row per group of identical rows: the row and how often it occurs."""
     return (df.groupBy(*_cols(df.columns)).agg(F.count(F.lit(1)).alias("GroupSize"))

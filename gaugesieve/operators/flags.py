@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugesieve.functions.rowwise import INF, any_of, count_true, joined_names, number, true_or_false
-from gaugesieve.operators.duplicates import DUPLICATE_FLAGS, duplicate_flags
+from gaugesieve.functions.storage import stored
+from gaugesieve.operators.duplicates import DUPLICATE_FLAGS, duplicate_flags, duplicate_flags_by_fold
 from gaugesieve.spec import MeasurementSpec
 
 ABSOLUTE_ZERO_C = -273.15
@@ -100,9 +101,13 @@ def quality_flags(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 
     Duplicate flags are relative to the frame given: another batch, another answer.
     """
-    flagged = row_flags(duplicate_flags(df, spec), spec)
+    return definite_issues(df.columns, row_flags(duplicate_flags(df, spec), spec))
+
+
+def definite_issues(columns, flagged: DataFrame) -> DataFrame:
+    """``columns``, the flags in their order, and the definite-issue count of a frame that has all flags."""
     issues = count_true([F.col(f) for f in DEFINITE_FLAGS])
-    order = [*df.columns, "missing_any", "missing_columns", "missing_critical_measurement",
+    order = [*columns, "missing_any", "missing_columns", "missing_critical_measurement",
              "non_finite_value", *DUPLICATE_FLAGS, "malformed_numeric", "invalid_voltage",
              "invalid_current", "invalid_duration", "invalid_ambient_temp",
              "sensor_s2_negative", "sensor_zero_reading"]
@@ -113,6 +118,20 @@ def quality_flags(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     )
 
 
+def quality_flags_by_fold(folds: DataFrame, spec: MeasurementSpec, k: int):
+    """A function of the split (1 to k) that gives the training and the validation rows with their quality flags.
+
+    Duplicates are counted once for all splits; what a split needs is a projection and a filter.
+    """
+    columns = [c for c in folds.columns if c != "fold"]
+    every = stored(row_flags(duplicate_flags_by_fold(folds, spec, k), spec), "fold_flags")
+
+    def split(i: int) -> tuple[DataFrame, DataFrame]:
+        here = every.withColumns({f: F.col(f)[i - 1] for f in ("duplicate_test_id", "duplicate_measurement_pair")})
+        return tuple(definite_issues(columns, here.filter(c)) for c in (F.col("fold") != i, F.col("fold") == i))
+    return split
+
+
 def suspicious_records(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
     """Rows with at least one implausible value, and which. All four sensors count as zero here."""
     value = {c: number(df, c) for c in spec.present(df)}

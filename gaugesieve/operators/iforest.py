@@ -1,7 +1,12 @@
-"""Isolation Forest (Liu, Ting and Zhou, 2008); a higher score is more anomalous."""
+"""Isolation Forest (Liu, Ting and Zhou, 2008); a higher score is more anomalous.
+
+Nothing is drawn from a generator: which rows a tree sees is a digest of the row and the tree, and which feature a node
+splits on, and where, a digest of (seed, tree, node). The same rows give the same trees under any layout and in any engine.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -12,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.rowwise import finite, number
+from gaugesieve.functions.scale import row_digest
 from gaugesieve.operators.transforms import fit_medians
 
+PRIME = 17592186044399  # the largest below 2^44
 NODES = "tree int, node int, feature int, cut double, path double"
 
 
@@ -24,19 +31,25 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(points: np.ndarray, rng, limit: int) -> list[tuple[int, int, float, float]]:
+def _drawn(seed: int, tree: int, node: int) -> tuple[int, float]:
+    """A whole number and a number in [0, 1) that belong to the node."""
+    digest = hashlib.md5(f"{seed}-{tree}-{node}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:21], 16) / 16 ** 13
+
+
+def _grow(points: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple[int, int, float, float]]:
     """(node, feature, cut, path) rows, children of node i being 2i+1 and 2i+2; leaves cut nothing."""
     rows, pending = [], [(0, 0, points)]
     while pending:
         node, depth, part = pending.pop()
-        ranges = np.ptp(part, axis=0) if len(part) else np.zeros(points.shape[1])
-        splittable = np.flatnonzero(ranges > 0)
+        low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(points.shape[1]),) * 2
+        splittable = np.flatnonzero(high > low)
         if depth >= limit or len(part) <= 1 or not len(splittable):
             rows.append((node, -1, 0.0, depth + float(average_path(len(part)))))
             continue
-        feature = int(rng.choice(splittable))
-        low, high = part[:, feature].min(), part[:, feature].max()
-        cut = float(rng.uniform(low, high))
+        pick, share = _drawn(seed, tree, node)
+        feature = int(splittable[pick % len(splittable)])
+        cut = float(low[feature] + share * (high[feature] - low[feature]))
         left = part[:, feature] <= cut
         rows.append((node, feature, cut, 0.0))
         pending += [(2 * node + 1, depth + 1, part[left]), (2 * node + 2, depth + 1, part[~left])]
@@ -53,6 +66,17 @@ class IsolationForestModel:
     sample_size: int
     threshold: float = 0.5
 
+    @property
+    def reached(self) -> np.ndarray:
+        """Which places of the arrays are nodes: the root, and the children of every node that cuts."""
+        found = np.zeros(self.feature.shape, bool)
+        found[:, 0] = True
+        inner = (self.feature.shape[1] - 1) // 2
+        for node in range(inner):
+            cuts = found[:, node] & (self.feature[:, node] >= 0)
+            found[:, 2 * node + 1] = found[:, 2 * node + 2] = cuts
+        return found
+
     def score(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
         """Add the score 2^(-E[path] / c(sample size))."""
         feature, cut, path = self.feature, self.cut, self.path
@@ -89,12 +113,13 @@ def _filled(df: DataFrame, columns, fills):
 
 
 def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size: int = 256,
-                         seed: int = 42, missing: str = "median") -> IsolationForestModel:
+                         seed: int = 42, missing: str = "median", keys=()) -> IsolationForestModel:
     """Grow ``trees`` trees, each from its own draw of ``sample_size`` rows without replacement.
 
-    A row's draw for a tree is a digest of the row, so the trees are the same under any file layout and at any size.
+    A row's draw for a tree comes from a digest of its ``keys``, or of all its columns where none are named: two numbers h
+    and k of the digest give (h + tree * k) mod PRIME, so that one digest serves all trees.
     Rows below a tree's threshold, about half more than it needs, are its candidates and those with the smallest
-    draws its sample; only candidates leave the scan. Rows equal in all columns share their draws. Neither the candidates nor the
+    draws its sample; only candidates leave the scan. Rows equal in what is digested share their draws. Neither the candidates nor the
     trees (at most ``2 * sample_size`` nodes each) grow with the data. ``missing`` is ``median`` or ``zero``.
     """
     columns = list(columns)
@@ -105,14 +130,15 @@ def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size:
     if rows == 0:
         raise ValueError("no rows to fit")
     size = min(sample_size, rows)
-    share = min(1.0, (1.5 * size + 64) / rows)
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed))
-    points = df.select(F.array(*_filled(df, columns, fills)).alias("x"), row.alias("row"))
+    below = math.ceil(min(1.0, (1.5 * size + 64) / rows) * PRIME)
+    row = row_digest(keys or [c for c in df.columns], seed)
+    points = df.select(F.array(*_filled(df, columns, fills)).alias("x"), row.alias("row")).withColumns(
+        {"h": F.conv(F.substring("row", 1, 11), 16, 10).cast("long"), "k": F.conv(F.substring("row", 12, 11), 16, 10).cast("long")})
 
     def draw(tree):
-        return F.pmod(F.xxhash64("row", tree), F.lit(2 ** 52)) / float(2 ** 52)
+        return F.pmod(F.col("h") + tree * F.col("k"), F.lit(PRIME))
 
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)
+    chosen = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda t: draw(t) < below)
     drawn = (
         points.withColumn("tree", F.explode(chosen)).withColumn("draw", draw(F.col("tree")))
         .withColumn("place", F.row_number().over(W.partitionBy("tree").orderBy("draw", "row", "x")))
@@ -123,7 +149,7 @@ def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size:
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         tree = int(part["tree"].iloc[0])
         part = part.sort_values("place")
-        nodes = _grow(np.stack(part["x"].to_numpy()), np.random.default_rng([seed, tree]), limit)
+        nodes = _grow(np.stack(part["x"].to_numpy()), seed, tree, limit)
         return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "cut", "path"])
 
     nodes = drawn.select("tree", "place", "x").groupBy("tree").applyInPandas(grow, NODES).toPandas()
@@ -136,7 +162,7 @@ def fit_isolation_forest(df: DataFrame, columns, trees: int = 200, sample_size:
 
 
 def with_fold_anomaly(train: DataFrame, other: DataFrame, columns, out: str = "isolation_forest_score",
-                      trees: int = 200, missing: str = "zero", seed: int = 42):
+                      trees: int = 200, missing: str = "zero", seed: int = 42, keys=()):
     """Score both frames with a forest that has seen the first one only."""
-    model = fit_isolation_forest(train, columns, trees=trees, missing=missing, seed=seed)
+    model = fit_isolation_forest(train, columns, trees=trees, missing=missing, seed=seed, keys=keys)
     return model.score(train, out), model.score(other, out)

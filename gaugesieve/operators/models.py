@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
+from pyspark.util import inheritable_thread_target
 
 from gaugesieve.functions import metrics as M
 from gaugesieve.functions.rowwise import finite, number
-from gaugesieve.functions.scale import rank_by_digest, row_digest
-from gaugesieve.functions.storage import durable
+from gaugesieve.functions.scale import collect_quantiles, rank_by_digest
+from gaugesieve.functions.storage import durable, stored
 from gaugesieve.operators.audit import active_features
-from gaugesieve.operators.detectors import rule_detector
+from gaugesieve.operators.detectors import present_keys, rule_detector
 from gaugesieve.operators.evaluate import check_oof, evaluate_detectors
 from gaugesieve.operators.features import row_features, with_context
 from gaugesieve.operators.flags import (
-    HARD_FLAGS, REPORTED_FLAGS, SCORED_FLAGS, decode_label, encode_label, hard_mask, quality_flags,
+    HARD_FLAGS, REPORTED_FLAGS, SCORED_FLAGS, decode_label, encode_label, hard_mask, quality_flags, quality_flags_by_fold,
 )
 from gaugesieve.operators.iforest import IsolationForestModel, fit_isolation_forest, with_fold_anomaly
-from gaugesieve.operators.transforms import NormalBehaviourModel, fit_medians, fit_normal_behaviour, fit_scaling
+from gaugesieve.operators.importance import permuted_f1
+from gaugesieve.operators.transforms import NormalBehaviourModel, fit_medians, fit_normal_behaviour, fit_normal_by_fold, fit_scaling
 from gaugesieve.spec import MeasurementSpec
 
 ANOMALY_COLUMN = "isolation_forest_score"
@@ -80,6 +85,7 @@ GRIDS = {
     "baseline": (("logistic_regression", "random_forest_100", "gradient_boosting"), ("Anomaly_A", "Final_A")),
     "final": (("logistic_regression", "random_forest", "random_forest_anomaly", "gradient_boosting"),
               ("Final_A", "Final_B", "Final_C")),
+    "rules": ((), ()),
 }
 # End of fixed values.
 
@@ -141,24 +147,52 @@ def nullable_columns(df: DataFrame, columns) -> list[str]:
     return [c for c in columns if not isinstance(df.schema[c].dataType, never)]
 
 
+def fitting_sample(train: DataFrame, spec: MeasurementSpec, config: ClassifierConfig, seed: int) -> DataFrame:
+    """The rows a fit sees: all, or about ``config.max_rows`` of them by a digest of the row key."""
+    if config.max_rows is None:
+        return train
+    rows = train.count()
+    if rows <= config.max_rows:
+        return train
+    digest = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spec.row_key], F.lit(seed)), F.lit(2 ** 52)) / float(2 ** 52)
+    return train.filter(digest < config.max_rows / rows)
+
+
+def logistic_gradient(fitted: FittedClassifier, train: DataFrame, spec: MeasurementSpec, config: ClassifierConfig,
+                      seed: int = 42) -> DataFrame:
+    """(feature, coefficient, gradient): the penalised loss's slope at the fitted weights, per unit of row weight.
+
+    One aggregation over the fitted rows. The loss is convex, so slopes of zero prove that no other weights fit better.
+    The intercept is not penalised.
+    """
+    rows = fitting_sample(train, spec, config, seed)
+    y = encode_label(spec)
+    weights = class_weights(rows, y) if config.balanced else {0: 1.0, 1: 1.0}
+    weight = F.when(y == 1, F.lit(weights.get(1, 1.0))).otherwise(F.lit(weights.get(0, 1.0)))
+    names, slopes = ["(intercept)", *fitted.columns], [float(fitted.model.intercept), *map(float, fitted.model.coefficients)]
+    data = rows.select(F.array(F.lit(1.0), *fitted.values(rows)).alias("x"), y.cast("double").alias("y"), weight.alias("w"))
+    margin = F.aggregate(F.zip_with("x", F.array(*[F.lit(s) for s in slopes]), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    error = data.select("x", "w", (F.col("w") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("y"))).alias("e"))
+    sums = error.agg(F.sum("w").alias("w"), *[F.sum(F.col("e") * F.col("x")[j]).alias(f"g{j}") for j in range(len(names))])
+    penalty = [0.0, *slopes[1:]]
+    entries = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(s).alias("coefficient"), (
+        (F.col(f"g{j}") + F.lit(q)) / F.col("w")).alias("gradient")) for j, (n, s, q) in enumerate(zip(names, slopes, penalty))])
+    return sums.select(F.inline(entries))
+
+
 def fit_classifier(train: DataFrame, spec: MeasurementSpec, columns, config: ClassifierConfig,
                    seed: int = 42, fills: dict | None = None) -> FittedClassifier:
     """Median imputation, scaling for the logistic model, class weights, then the estimator.
 
     With ``config.max_rows`` the fit uses at most about that many labelled rows, those first by a digest of the row key.
     """
-    columns = list(columns)
-    if config.max_rows is not None:
-        rows = train.count()
-        if rows > config.max_rows:
-            digest = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spec.row_key], F.lit(seed)), F.lit(2 ** 52)) / float(2 ** 52)
-            train = train.filter(digest < config.max_rows / rows)
+    columns, train = list(columns), fitting_sample(train, spec, config, seed)
     leaked = [c for c in columns if c in spec.never_features]
     if leaked:
         raise ValueError(f"id or target columns cannot be features: {leaked}")
     forest = None
     if config.anomaly_feature:
-        forest = fit_isolation_forest(train, columns, trees=100, seed=seed)
+        forest = fit_isolation_forest(train, columns, trees=100, seed=seed, keys=present_keys(train, spec))
         train, columns = forest.score(train, ANOMALY_COLUMN), [*columns, ANOMALY_COLUMN]
     needed = nullable_columns(train, columns)
     known = fills or {}
@@ -253,55 +287,82 @@ def contextual_sets(flagged: DataFrame, spec: MeasurementSpec) -> tuple[DataFram
 def stratified_folds(df: DataFrame, spec: MeasurementSpec, k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
     """Fold 1..k per row, class shares kept to the row; the same under any partitioning."""
-    ranked = rank_by_digest(df, [spec.label_col], row_digest(spec.row_key, seed), "__rank")
+    ranked = rank_by_digest(df, [spec.label_col], spec.row_key, seed, "__rank")
     return ranked.withColumn(out, (F.pmod(F.col("__rank") - 1, F.lit(k)) + 1).cast("int")).drop("__rank")
 
 
 def cross_validate(df: DataFrame, spec: MeasurementSpec, configs, feature_sets, k: int = 5, seed: int = 42,
-                   forest_trees: int = 200, keep_features: bool = False) -> DataFrame:
+                   forest_trees: int = 200, keep_features: bool = False, parallel: int = 4) -> DataFrame:
     """Out-of-fold probabilities of every model and feature set, fitted inside each fold only.
 
     Flags, normal models, medians, anomaly forests and classifiers see the training
-    part alone; duplicate flags are computed within each part. One row per record,
-    model and feature set. Each fold's result is stored before the next begins.
+    part alone; duplicate flags are those within each part. What the parts of all folds need of the rows, key counts and sums of
+    products, is taken once per fold and subtracted from the total. One row per record, model and feature set.
+    ``parallel`` fits of a fold run at a time, and each fold's result is stored before the next begins.
     """
     configs, feature_sets = list(configs), list(feature_sets)
     folds = durable(stratified_folds(df, spec, k, seed))
+    split, normals = quality_flags_by_fold(folds, spec, k), fit_normal_by_fold(folds, spec, k)
+    rows = folds.drop("fold")
     results = []
     for i in range(1, k + 1):
-        train_rows, val_rows = (folds.filter(c).drop("fold") for c in (F.col("fold") != i, F.col("fold") == i))
-        train, normal = screening_features(train_rows, spec)
-        val, _ = screening_features(val_rows, spec, normal)
+        train, val = (normals[i - 1].transform(row_features(part, spec)) for part in split(i))
         held = [train.persist(), val.persist()]
         if "Set_E_Stage5_AnomalyScore" in feature_sets:
-            train, val = with_fold_anomaly(train, val, spec.present(df), ANOMALY_COLUMN, forest_trees, seed=seed)
-        columns = {s: set_columns(s, train_rows, train, spec) for s in feature_sets}
+            train, val = with_fold_anomaly(train, val, spec.present(df), ANOMALY_COLUMN, forest_trees, seed=seed, keys=spec.row_key)
+        columns = {s: set_columns(s, rows, train, spec) for s in feature_sets}
         every = list(dict.fromkeys(c for cs in columns.values() for c in cs))
         fills = fit_medians(train, nullable_columns(train, every))
-        scored = []
         kept = val.columns if keep_features else list(dict.fromkeys([*spec.row_key, spec.id_col, spec.label_col]))
-        for name, cols in columns.items():
-            for config in configs:
-                fitted = fit_classifier(train, spec, cols, config, seed, fills)
-                scored.append(fitted.probability(val, "oof_probability_invalid").select(
-                    *[F.col(f"`{c}`") for c in kept], F.lit(i).alias("fold"), F.lit(config.name).alias("model_name"),
-                    F.lit(name).alias("feature_set_name"), encode_label(spec).alias("true_invalid"),
-                    "oof_probability_invalid"))
+
+        def fitted(case):
+            name, config = case
+            return fit_classifier(train, spec, columns[name], config, seed, fills)
+
+        cases = [(name, config) for name in columns for config in configs]
+        scored = [model.probability(val, "oof_probability_invalid").select(
+            *[F.col(f"`{c}`") for c in kept], F.lit(i).alias("fold"), F.lit(config.name).alias("model_name"),
+            F.lit(name).alias("feature_set_name"), encode_label(spec).alias("true_invalid"), "oof_probability_invalid")
+            for (name, config), model in zip(cases, in_parallel(fitted, cases, parallel))]
         results.append(durable(reduce(DataFrame.unionByName, scored)))
         for frame in held:
             frame.unpersist()
     return reduce(DataFrame.unionByName, results)
 
 
+def in_parallel(work, cases, parallel: int) -> list:
+    """``work`` of every case, in order; independent Spark jobs of a few at a time keep the cluster busy."""
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return list(pool.map(inheritable_thread_target(work), cases))
+
+
 def cross_validate_matrix(df: DataFrame, spec: MeasurementSpec, columns, config: ClassifierConfig,
-                          k: int = 5, seed: int = 42) -> DataFrame:
+                          k: int = 5, seed: int = 42, parallel: int = 4) -> DataFrame:
     """Out-of-fold probabilities on a ready feature matrix: only imputer and model are per fold."""
     folds = durable(stratified_folds(df, spec, k, seed))
-    parts = []
-    for i in range(1, k + 1):
-        fitted = fit_classifier(folds.filter(F.col("fold") != i), spec, columns, config, seed)
-        parts.append(fitted.probability(folds.filter(F.col("fold") == i), "oof_probability_invalid"))
-    return durable(reduce(DataFrame.unionByName, parts)).withColumn("true_invalid", encode_label(spec))
+    return matrix_oof(folds, spec, [("matrix", list(columns), config)], k, seed, parallel, keep=folds.columns).drop(
+        "model_name", "feature_set_name")
+
+
+def matrix_oof(folds: DataFrame, spec: MeasurementSpec, cases, k: int, seed: int, parallel: int, keep) -> DataFrame:
+    """Out-of-fold probabilities of (set name, columns, config) cases on a table with folds.
+
+    The medians of all columns and training parts are searched together; the fits of all cases and folds run a few at a time.
+    """
+    needed = nullable_columns(folds, dict.fromkeys(c for _, columns, _ in cases for c in columns))
+    found = collect_quantiles(folds, {f"{i}:{c}": F.when(F.col("fold") != i, finite(number(folds, c)))
+                                      for i in range(1, k + 1) for c in needed}, [0.5])
+
+    def scored(case):
+        (name, columns, config), i = case
+        fills = {c: found[f"{i}:{c}"].get(0.5) for c in needed if c in columns}
+        model = fit_classifier(folds.filter(F.col("fold") != i), spec, columns, config, seed, fills)
+        return stored(model.probability(folds.filter(F.col("fold") == i), "oof_probability_invalid").select(
+            *[F.col(f"`{c}`") for c in keep], "oof_probability_invalid", encode_label(spec).alias("true_invalid"),
+            F.lit(config.name).alias("model_name"), F.lit(name).alias("feature_set_name")), "oof")
+
+    pairs = [(case, i) for case in cases for i in range(1, k + 1)]
+    return reduce(DataFrame.unionByName, in_parallel(scored, pairs, parallel))
 
 
 def out_of_fold(df: DataFrame, spec: MeasurementSpec, config: ClassifierConfig,
@@ -309,7 +370,7 @@ def out_of_fold(df: DataFrame, spec: MeasurementSpec, config: ClassifierConfig,
     """The validated out-of-fold table with all features, ranked in a stable order of the rows."""
     oof = cross_validate(df, spec, [config], [feature_set], k, seed, keep_features=True)
     check_oof(oof, spec)
-    return rank_by_digest(oof, [], row_digest(spec.row_key), "OOF_Rank")
+    return rank_by_digest(oof, [], spec.row_key, None, "OOF_Rank")
 
 
 def compare_models(oof: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -328,44 +389,71 @@ def compare_models(oof: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate_grid(df: DataFrame, spec: MeasurementSpec, grid: str = "screening", k: int = 5, seed: int = 42,
-                  configs: dict[str, ClassifierConfig] | None = None) -> DataFrame:
+                  configs: dict[str, ClassifierConfig] | None = None, parallel: int = 4) -> DataFrame:
     """The sorted comparison of a whole grid of models and feature sets under cross-validation.
 
     ``screening``: three models on five fold-isolated feature sets. ``baseline``: three models on raw features and on
-    raw features with flags, and the two rules. ``final``: four models on the three contextual sets. ``configs`` may replace
-    configurations by name.
+    raw features with flags, and the two rules. ``final``: four models on the three contextual sets. ``rules``: the two rules
+    alone. ``configs`` may replace configurations by name.
     """
     known = CLASSIFIERS | (configs or {})
     if grid == "screening":
         names = GRIDS[grid][0]
-        return compare_models(cross_validate(df, spec, [known[n] for n in names], GRIDS[grid][1], k, seed))
+        return compare_models(cross_validate(df, spec, [known[n] for n in names], GRIDS[grid][1], k, seed, parallel=parallel))
     if grid not in GRIDS:
         raise ValueError(f"unknown grid {grid!r}")
     frame, sets = contextual_sets(quality_flags(df, spec), spec)
-    frame = durable(frame)
-    keep = [*spec.row_key, "fold", "true_invalid", "oof_probability_invalid"]
-    parts = []
-    for set_name in GRIDS[grid][1]:
-        for name in GRIDS[grid][0]:
-            oof = cross_validate_matrix(frame, spec, sets[set_name], known[name], k, seed)
-            parts.append(oof.select(*keep, F.lit(name).alias("model_name"), F.lit(set_name).alias("feature_set_name")))
-    if grid == "baseline":
-        folds = stratified_folds(frame, spec, k, seed)
+    folds = durable(stratified_folds(frame, spec, k, seed))
+    keep = [*spec.row_key, "fold"]
+    cases = [(name, sets[name], known[model]) for name in GRIDS[grid][1] for model in GRIDS[grid][0]]
+    parts = [matrix_oof(folds, spec, cases, k, seed, parallel, keep)] if cases else []
+    if grid in ("baseline", "rules"):
         for rule in ("definite_issue", "definite_plus_duplicate"):
-            hit = rule_detector(folds, rule).withColumn("true_invalid", encode_label(spec)).withColumn(
-                "oof_probability_invalid", F.col("rule_score"))
-            parts.append(hit.select(*keep, F.lit(f"rule_{rule}").alias("model_name"), F.lit("flags").alias("feature_set_name")))
+            hit = rule_detector(folds, rule)
+            parts.append(hit.select(*keep, F.col("rule_score").cast("double").alias("oof_probability_invalid"), encode_label(spec).alias("true_invalid"),
+                                    F.lit(f"rule_{rule}").alias("model_name"), F.lit("flags").alias("feature_set_name")))
     return compare_models(reduce(DataFrame.unionByName, parts))
 
 
-def resolve_best(df: DataFrame, spec: MeasurementSpec, saved: DataFrame | None = None, **settings) -> DataFrame:
-    """The best configuration of a saved comparison if one is given, else of a new run of the screening grid."""
-    if saved is None:
-        return best_configuration(evaluate_grid(df, spec, **settings))
-    missing = {"model_name", "feature_set_name", "Invalid_F1", "Invalid_Recall", "Invalid_Precision", "Accuracy"} - set(saved.columns)
-    if missing:
-        raise ValueError(f"the saved comparison lacks columns: {sorted(missing)}")
-    return best_configuration(saved)
+COMPARED = ("model_name", "feature_set_name", "Invalid_F1", "Invalid_Recall", "Invalid_Precision", "Accuracy")
+
+
+def comparison_key(df: DataFrame, spec: MeasurementSpec, grid: str, settings: dict) -> dict[str, str]:
+    """What a saved comparison depends on: digests of the rows, of the columns and of the settings."""
+    columns = sorted(df.columns)
+    rows = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    found = df.agg(F.count(F.lit(1)), F.bit_xor(rows), F.sum(F.shiftright(rows, 16))).first()
+    parts = {"data": str(tuple(found)), "columns": str([(c, df.schema[c].dataType.simpleString()) for c in columns]),
+             "settings": str((grid, spec, sorted((k, str(v)) for k, v in settings.items())))}
+    return {k: hashlib.sha256(v.encode()).hexdigest() for k, v in parts.items()}
+
+
+def resolve_best(df: DataFrame, spec: MeasurementSpec, folder: str, grid: str = "screening", **settings) -> tuple[DataFrame, str]:
+    """The best configuration of a grid, from ``folder`` if a comparison was saved there for the same data, columns and settings.
+
+    Returns it and how it came about: ``hit`` (saved before), ``miss`` (the folder knows no run of this grid) or ``stale`` (it
+    has one, but of other data, columns or settings). A new run is saved under its key and entered in the manifest last, so
+    an interrupted run is never taken for a result.
+    """
+    spark = df.sparkSession
+    key = comparison_key(df, spec, grid, settings)
+    manifest = "grid string, data string, columns string, settings string, path string"
+    try:
+        entries = spark.read.schema(manifest).json(f"{folder}/manifest").filter(F.col("grid") == grid).collect()
+    except AnalysisException:  # no manifest yet
+        entries = []
+    same = [e for e in entries if all(e[k] == v for k, v in key.items())]
+    if same:
+        saved = spark.read.parquet(same[0]["path"])
+        missing = set(COMPARED) - set(saved.columns)
+        if missing:
+            raise ValueError(f"the saved comparison lacks columns: {sorted(missing)}")
+        return best_configuration(saved), "hit"
+    path = f"{folder}/{grid}-{uuid.uuid4().hex}"
+    evaluate_grid(df, spec, grid, **settings).write.parquet(path)
+    spark.createDataFrame([(grid, key["data"], key["columns"], key["settings"], path)], manifest).coalesce(1).write.mode(
+        "append").json(f"{folder}/manifest")
+    return best_configuration(spark.read.parquet(path)), "stale" if entries else "miss"
 
 
 def best_configuration(comparison: DataFrame) -> DataFrame:
@@ -378,13 +466,12 @@ def best_configuration(comparison: DataFrame) -> DataFrame:
 def oof_anomaly_flags(folds: DataFrame, spec: MeasurementSpec, trees: int = 200, seed: int = 42,
                       level: float = 0.95) -> DataFrame:
     """Per fold, a forest of the other folds flags what reaches their 95th percentile score."""
-    from gaugesieve.functions.scale import collect_quantiles
     columns = spec.present(folds)
     numbers = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
     parts = []
     for i in numbers:
         train, val = folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i)
-        forest = fit_isolation_forest(train, columns, trees=trees, seed=seed, missing="zero")
+        forest = fit_isolation_forest(train, columns, trees=trees, seed=seed, missing="zero", keys=present_keys(train, spec))
         scores = durable(forest.score(train, "anomaly_score").select("anomaly_score"))
         cut = collect_quantiles(scores, {"s": F.col("anomaly_score")}, [level])["s"][level]
         parts.append(forest.score(val, "anomaly_score").withColumn("anomaly_flag", F.col("anomaly_score") >= cut))
@@ -392,40 +479,11 @@ def oof_anomaly_flags(folds: DataFrame, spec: MeasurementSpec, trees: int = 200,
 
 
 def permutation_importance(fitted: FittedClassifier, df: DataFrame, spec: MeasurementSpec, repeats: int = 10,
-                           threshold: float = 0.5, seed: int = 42, block_rows: int = 50_000) -> DataFrame:
-    """F1 lost when one feature is shuffled, mean and population deviation over the repeats.
-
-    Rows are dealt into random blocks; within a block every row takes the value of
-    its successor in a random order, which is a permutation of the whole column.
-    """
-    blocks = max(1, -(-df.count() // block_rows))
-    key = [F.col(f"`{k}`") for k in spec.row_key]
-    base = df.select(
-        *key, encode_label(spec).alias("y"), F.array(*fitted.values(df)).alias("x"),
-        F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(blocks)).alias("block"))
-    donors = {}
-    for r in range(repeats):
-        order = W.partitionBy("block").orderBy(F.xxhash64(*key, F.lit(seed), F.lit(r)), *key)
-        around = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        donors[f"d{r}"] = F.coalesce(F.lead("x").over(order), F.first("x").over(around))
-    base = durable(base.withColumns(donors))
-    names = fitted.columns
-    shuffled = base.select("y", "x", F.posexplode(F.array(*donors)).alias("repeat", "donor")).select(
-        "y", "x", "donor", "repeat", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("j"))
-    replaced = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("donor", i)).otherwise(v))
-    cases = shuffled.select("y", "repeat", "j", replaced.alias("x")).unionByName(
-        base.select("y", F.lit(-1).alias("repeat"), F.lit(-1).alias("j"), "x"))
-    scored = fitted.model.transform(cases.select("y", "repeat", "j", array_to_vector("x").alias("features")))
-    pred = (vector_to_array("probability")[1] >= threshold).cast("int")
-    f1 = scored.groupBy("repeat", "j").agg(*[
-        c.alias(n) for n, c in M.counts(F.col("y"), pred).items()]).withColumn("f1", M.f1())
-    f1 = durable(f1.select("repeat", "j", "f1"))
-    reference = f1.filter("j = -1").agg(F.max("f1")).scalar()
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
-    lost = f1.filter("j >= 0").withColumn("reference", reference).withColumn("lost", F.col("reference") - F.col("f1"))
-    return lost.groupBy(named.alias("feature_name")).agg(
-        F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std")).orderBy(
-        F.desc("importance_mean"), "feature_name")
+                           threshold: float = 0.5, seed: int = 42, block_rows: int = 8192) -> DataFrame:
+    """F1 lost when one feature is shuffled, mean and population deviation over the repeats; see ``importance``."""
+    data = fitted.forest.score(df, ANOMALY_COLUMN) if fitted.forest else df
+    return permuted_f1(fitted.model, data, [F.col(f"`{k}`") for k in spec.row_key], encode_label(spec), fitted.values(data),
+                       fitted.columns, repeats, threshold, seed, block_rows)
 
 
 @dataclass
@@ -490,7 +548,7 @@ class FinalHybridDetector:
             if needed not in df.columns:
                 raise ValueError(f"training data lacks {needed}")
         self.forest = fit_isolation_forest(
-            df, self.spec.present(df), trees=self.forest_trees, seed=self.seed, missing="zero")
+            df, self.spec.present(df), trees=self.forest_trees, seed=self.seed, missing="zero", keys=self.spec.row_key)
         features, self.normal = screening_features(df, self.spec)
         if self.feature_set == "Set_E_Stage5_AnomalyScore":
             features = self.forest.score(features, ANOMALY_COLUMN)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.sources.io import write_table
+from gaugesieve.functions.storage import stored
+from gaugesieve.sources.io import read_result, write_table
 from gaugesieve.spec import MeasurementSpec
 
 
@@ -55,14 +56,32 @@ def check_submission(predictions: DataFrame, expected: DataFrame, spec: Measurem
 
 def build_submission(detector, test: DataFrame, spec: MeasurementSpec, path: str | None = None,
                      fmt: str = "csv") -> DataFrame:
-    """Predict with a fitted detector, validate, and optionally write."""
-    predictions = detector.predict(test).select(spec.row_key[0], spec.label_col)
+    """Predict with a fitted detector, validate, and publish to ``path`` if one is given.
+
+    The predictions are staged first, as files in the shared folder, and what is checked, written and returned are those files:
+    a detector that is not quite repeatable cannot publish other rows than were checked.
+    """
+    predictions = stored(detector.predict(test).select(spec.row_key[0], spec.label_col), "staged")
     check_submission(predictions, test, spec)
     if path is not None:
-        write_table(predictions, path, fmt)
+        publish(predictions, path, fmt)
     return predictions
 
 
+def publish(staged: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """Write staged rows to ``path``, read them back and raise if a row got lost or changed; the published rows."""
+    write_table(staged, path, fmt)
+    published = read_result(staged.sparkSession, path, staged.schema, fmt)
+
+    def digest(df: DataFrame):
+        rows = F.xxhash64(*[F.col(f"`{c}`") for c in staged.columns])
+        return df.agg(F.count(F.lit(1)), F.bit_xor(rows), F.sum(F.shiftright(rows, 20))).first()
+
+    if digest(staged) != digest(published):
+        raise ValueError(f"what {path} holds is not what was checked")
+    return published
+
+
 def final_submission(expected: DataFrame, values: DataFrame, labels: DataFrame, spec: MeasurementSpec,
                      value_name: str = "Predicted_Reference_Parameter") -> DataFrame:
     """Expected keys joined one to one with predicted values and labels, columns in fixed order.

@@ -150,3 +150,55 @@ def fit_normal_behaviour(df: DataFrame, spec: MeasurementSpec, alpha: float = 1.
         model.weights[name] = [float(w) for w in weight]
         model.intercepts[name] = float(sums[f"y_{s}"] - weight @ [sums[f"x_{s}_{i}"] for i in size])
     return model
+
+
+def fit_normal_by_fold(folds: DataFrame, spec: MeasurementSpec, k: int, alpha: float = 1.0, min_rows: int = 10,
+                       fold: str = "fold") -> list[NormalBehaviourModel]:
+    """For each fold the model of ``fit_normal_behaviour`` on all other folds.
+
+    One pass sums the products of (1, conditions with missing ones as 0, whether they are missing, sensor) per
+    fold and sensor; a fold's training sums are the total less its own. As a missing condition counts as the median of the
+    training rows, the sums with the indicators put it in afterwards. The medians of all splits are searched together.
+    """
+    rows = NormalBehaviourModel(spec, {})._fitting_rows(folds)
+    predictors, sensors = spec.present(folds, spec.conditions), spec.present(folds, spec.sensors)
+    found = collect_quantiles(rows, {f"{i}:{c}": F.when(F.col(fold) != i, finite(number(rows, c)))
+                                     for i in range(1, k + 1) for c in predictors}, [0.5])
+    given = [finite(number(rows, c)) for c in predictors]
+    terms = [F.lit(1.0), *[F.coalesce(v, F.lit(0.0)) for v in given], *[F.when(v.isNull(), 1.0).otherwise(0.0) for v in given]]
+    p, size = len(predictors), len(terms)
+    narrow = rows.select(F.col(fold).alias("f"), *[t.alias(f"t{i}") for i, t in enumerate(terms)],
+                         *[finite(number(rows, s)).alias(f"y{j}") for j, s in enumerate(sensors)])
+    aggs = []
+    for j in range(len(sensors)):
+        y = F.col(f"y{j}")
+        seen = [F.when(y.isNotNull(), F.col(f"t{i}")) for i in range(size)]
+        aggs += [F.sum(seen[a] * seen[b]).alias(f"xx_{j}_{a}_{b}") for a in range(size) for b in range(a, size)]
+        aggs += [F.sum(seen[a] * y).alias(f"xy_{j}_{a}") for a in range(size)]
+    sums = {r["f"]: r for r in narrow.groupBy("f").agg(*aggs, F.count(F.lit(1)).alias("rows")).collect()}
+    models = []
+    for i in range(1, k + 1):
+        others = [r for f, r in sums.items() if f != i]
+        if sum(r["rows"] for r in others) < min_rows:
+            raise ValueError(f"at least {min_rows} fitting rows are needed")
+        medians = {c: float(found[f"{i}:{c}"].get(0.5) or 0.0) for c in predictors}
+        model = NormalBehaviourModel(spec, medians)
+        # Row r of ``fill`` makes condition r of the terms: its value plus the median where it is missing.
+        fill = np.hstack([np.zeros((p, 1)), np.eye(p), np.diag(list(medians.values()))]) if p else np.zeros((0, size))
+        for j, name in enumerate(sensors):
+            def total(prefix, *at):
+                return sum(r[f"{prefix}_{j}_" + "_".join(map(str, at))] or 0.0 for r in others)
+
+            products = np.array([[total("xx", min(a, b), max(a, b)) for b in range(size)] for a in range(size)])
+            with_y = np.array([total("xy", a) for a in range(size)])
+            n = products[0, 0]
+            if n < min_rows:
+                continue
+            means = fill @ products[:, 0] / n
+            gram = fill @ products @ fill.T - n * np.outer(means, means)
+            moment = fill @ with_y - means * with_y[0]
+            weight = np.linalg.solve(gram + alpha * np.eye(p), moment)
+            model.weights[name] = [float(w) for w in weight]
+            model.intercepts[name] = float(with_y[0] / n - weight @ means)
+        models.append(model)
+    return models

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gaugesieve.operators import audit, flags
 from gaugesieve.operators.features import row_features
+from gaugesieve.plans.checks_flags import checks as flag_checks
 from gaugesieve.plans.checks_flags import FEATURES, NUMERIC, S1, S2, S3, S4, I, T_, V, flags_sql
 from gaugesieve.plans.measurements import COLUMNS, SPEC, fitting_rows, measurements, scored, scoring_rows, sql_with
 from gaugesieve.plans.measurements import PROBABILITY
-from gaugesieve.plans.registry import Checks
+from gaugesieve.plans.registry import Checks, tagged, tagged_sql
 
 checks = Checks()
 TYPES = {"rid": "string", "Test_ID": "bigint", "Validity_Label": "string"}
@@ -238,13 +241,39 @@ def crosstab(spark, sf_dir):
     return audit.crosstab(df, SPEC.label_col, "flag", [0, 1])
 
 
-@checks.check("q_audit_run", sql_with(query="""
-SELECT CAST((SELECT count(*) FROM m WHERE Test_ID % 4 <> 0) AS BIGINT) AS train_rows,
- CAST((SELECT count(*) FROM m WHERE Test_ID % 4 = 0) AS BIGINT) AS test_rows"""))
+def _non_finite_sql() -> str:
+    return union_all(f"""SELECT '{c}' AS "Column", 0::BIGINT AS PosInfCount, 0::BIGINT AS NegInfCount, 0::BIGINT AS TotalNonFiniteCount,
+ 0e0 AS NonFinitePct, 'None' AS AffectedSampleIDs""" for c in ["Test_ID", *FEATURES])
+
+
+def _audit_sql() -> str:
+    """The texts of all reports, each on the rows of its split."""
+    texts = {}
+    for split, where, labels in (("train", "Test_ID % 4 <> 0", True), ("test", "Test_ID % 4 = 0", False)):
+        # Every text has its table m on a line of its own, whichever variant it is of.
+        known = {n: re.sub(r"^m AS \(.*\)(?=,?$)", f"m AS (SELECT * FROM m0 WHERE {where})", t, flags=re.MULTILINE)
+                 for n, t in (checks.sql | flag_checks.sql).items()}
+        extra = f"UNION ALL SELECT '{SPEC.target_col}', 0, 0, 0, 0e0, 'None'" if labels else ""
+        absent = "" if labels else f""" WHERE "Column" NOT IN ('{SPEC.label_col}', '{SPEC.target_col}')"""
+        named = {
+            "missing": f"SELECT * FROM ({known['q_missing_profile']}){absent}", "non_finite": f"{_non_finite_sql()} {extra}",
+            "duplicates": known["q_duplicate_report_clean"], "duplicate_sizes": known["q_duplicate_group_sizes"],
+            "repeated_ids": known["q_repeated_ids"],
+            "statistics": known["q_numeric_stats"], "percentiles": known["q_percentiles"], "suspicious": known["q_suspicious"],
+            "outliers": known["q_outlier_candidates"], "sensor_correlations": known["q_sensor_corr"],
+            "sensor_summary": known["q_sensor_summary"], "sensor_metrics": known["q_sensor_metrics"],
+            "flags": known["q_quality_flags"] if labels else f"SELECT * EXCLUDE ({SPEC.label_col}, {SPEC.target_col}) FROM ({known['q_quality_flags']})",
+        }
+        texts |= {f"{name}_{split}": text for name, text in named.items()}
+    with_id = {n: f"SELECT * REPLACE (CAST(Test_ID AS VARCHAR) AS Test_ID) FROM ({t})" for n, t in texts.items()
+               if n.startswith(("suspicious", "outliers", "flags", "repeated_ids"))}
+    return tagged_sql(texts | with_id | {"summary": checks.sql["q_quality_summary"]})
+
+
+@checks.check("q_audit_run", _audit_sql())
 def audit_run(spark, sf_dir):
-    """The whole audit on both splits; its flag frames keep every row."""
+    """The rows of all reports of the whole audit on both splits; ids as text, as some reports have them."""
     df = measurements(spark, sf_dir)
-    results = audit.run_audit(fitting_rows(df), scoring_rows(df), SPEC)
-    train = results["flags_train"].agg(F.count(F.lit(1)).alias("train_rows"))
-    test = results["flags_test"].agg(F.count(F.lit(1)).alias("test_rows"))
-    return train.withColumn("test_rows", test.scalar())
+    reports = audit.run_audit(fitting_rows(df), scoring_rows(df), SPEC)
+    return tagged({name: report.withColumn(SPEC.id_col, F.col(SPEC.id_col).cast("string")) if SPEC.id_col in report.columns else report
+                   for name, report in reports.items()})

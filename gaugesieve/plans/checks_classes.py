@@ -12,7 +12,7 @@ from gaugesieve.plans.checks_features import (
 from gaugesieve.plans.checks_features import checks as feature_checks
 from gaugesieve.plans.checks_flags import EVIDENCE, EVIDENCE_SQL, FEATURES, I, T_, V, flags_sql, with_evidence
 from gaugesieve.plans.measurements import SPEC, measurements, sql_with
-from gaugesieve.plans.registry import Checks, rounded_sql
+from gaugesieve.plans.registry import Checks, rounded_sql, tagged, tagged_sql
 from gaugesieve.spec import MeasurementSpec
 
 checks = Checks()
@@ -79,6 +79,20 @@ def _effect(c: str, f: str = "d") -> str:
 Y = f"CASE WHEN {BAD} THEN 1e0 ELSE 0e0 END"
 
 
+def with_p_values(query: str, names: dict[str, str], n: str) -> str:
+    """``query`` with a p-value column for each correlation column, by the power series of the incomplete beta function.
+
+    Where its argument is large the p-value is below 1e-26 and stands as 0.
+    """
+    def p(r: str) -> str:
+        x, a = f"least({r} * {r}, 1e0)", f"(({n} - 2) / 2e0)"
+        front = f"2 * exp(0.5 * ln({x}) + {a} * ln(1 - {x}) + lgamma({a} + 0.5) - lgamma({a}) - lgamma(0.5))"
+        term = f"exp(lgamma({a} + 0.5 + k) - lgamma({a} + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln({x}))"
+        return (f"CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN {x} * {a} > 60 THEN 0e0 WHEN {x} <= 0 THEN 1e0"
+                f" ELSE 1 - {front} * list_sum(list_transform(range(400), lambda k: {term})) END")
+    return f"SELECT *, {', '.join(f'{p(r)} AS {out}' for r, out in names.items())} FROM ({query})"
+
+
 def _rho(c: str, source: str) -> str:
     return f"""(SELECT corr(r, y) FROM (SELECT {Y} AS y, rank() OVER (ORDER BY {c})
  + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 AS r FROM {source} WHERE {c} IS NOT NULL))"""
@@ -98,7 +112,16 @@ def associations(spark, sf_dir):
     return table.drop("PointBiserial_PValue", "Spearman_PValue")
 
 
-@checks.check("q_association_p_values")
+ASSOCIATION_P = {"PointBiserial_Corr": "PointBiserial_PValue", "Spearman_Corr": "Spearman_PValue"}
+ASSOCIATIONS_SQL = with_p_values(union_all(
+    f"SELECT *, (SELECT count({c}) FROM x) AS n FROM ({_association(c)})"
+    for c in COMPARED), ASSOCIATION_P, "n")
+ASSOCIATION_DOUBLES = ["PointBiserial_Corr", "Spearman_Corr", "Cohens_D_EffectSize", "Valid_Missing_Rate_Pct", "Invalid_Missing_Rate_Pct",
+                       *ASSOCIATION_P.values()]
+
+
+@checks.check("q_association_p_values", sql_with(X, query=f"SELECT Feature, {', '.join(ASSOCIATION_P.values())} FROM ({ASSOCIATIONS_SQL})"),
+              list(ASSOCIATION_P.values()))
 def association_p_values(spark, sf_dir):
     return classstats.label_associations(measurements(spark, sf_dir), SPEC).select(
         "Feature", "PointBiserial_PValue", "Spearman_PValue")
@@ -156,12 +179,14 @@ EVALUATED = {**{c: c for c in FEATURES}, "S1_minus_S2": "Sensor_S1 - Sensor_S2",
 
 @checks.check("q_feature_evaluation", sql_with(
     ("x", "SELECT Validity_Label, " + ", ".join(f"{e} AS {n}" for n, e in EVALUATED.items()) + " FROM m"),
-    query=union_all(f"""SELECT '{c}' AS feature_name, avg({c}) FILTER (WHERE {GOOD}) AS valid_mean, avg({c}) FILTER (WHERE {BAD}) AS invalid_mean,
+    query="SELECT * EXCLUDE (n) FROM (" + with_p_values(union_all(
+        f"""SELECT '{c}' AS feature_name, avg({c}) FILTER (WHERE {GOOD}) AS valid_mean, avg({c}) FILTER (WHERE {BAD}) AS invalid_mean,
  corr({c}, {Y}) AS pearson_r, CASE WHEN abs(corr({c}, {Y})) > 0.3 THEN 'Strong' WHEN abs(corr({c}, {Y})) > 0.1 THEN 'Moderate' ELSE 'Weak' END
- AS separation FROM x HAVING count({c}) > 10 AND count(DISTINCT {c}) > 1""" for c in EVALUATED)), ["valid_mean", "invalid_mean", "pearson_r"])
+ AS separation, count({c}) AS n FROM x HAVING count({c}) > 10 AND count(DISTINCT {c}) > 1""" for c in EVALUATED), {"pearson_r": "p_value"}, "n") + ")"),
+    ["valid_mean", "invalid_mean", "pearson_r", "p_value"])
 def feature_evaluation(spark, sf_dir):
     df = row_features(measurements(spark, sf_dir), SPEC)
-    return classstats.feature_evaluation(df, SPEC, list(EVALUATED)).drop("p_value")
+    return classstats.feature_evaluation(df, SPEC, list(EVALUATED))
 
 
 SHOWN = f"Test_ID, rid, {V}, {I}, {T_}, Sensor_S1, Sensor_S2, Sensor_S3, Sensor_S4, Sensor_Spread, data_quality_issue AS DataQualityIssue, Validity_Label"
@@ -193,9 +218,13 @@ RELATED = [("Operating_vs_Sensor", a, b) for a in CONDITIONS for b in SPEC.senso
     ("Cross_Sensor_Pair", a, b) for k, a in enumerate(SPEC.sensors) for b in SPEC.sensors[k + 1:]]
 
 
-@checks.check("q_relationships", sql_with(query=union_all(_relationship(*r) for r in RELATED)), ["Pearson_r", "Spearman_rho"])
+RELATIONSHIP_P = {"Pearson_r": "Pearson_p", "Spearman_rho": "Spearman_p"}
+
+
+@checks.check("q_relationships", sql_with(query=with_p_values(union_all(_relationship(*r) for r in RELATED), RELATIONSHIP_P, "Sample_Count")),
+              [*RELATIONSHIP_P, *RELATIONSHIP_P.values()])
 def relationships(spark, sf_dir):
-    return classstats.relationships(measurements(spark, sf_dir), SPEC).drop("Pearson_p", "Spearman_p")
+    return classstats.relationships(measurements(spark, sf_dir), SPEC)
 
 
 def _residual(c: str) -> str:
@@ -251,27 +280,14 @@ def sensor_investigation(spark, sf_dir):
     return classstats.sensor_investigation(measurements(spark, sf_dir), SPEC)
 
 
-def tagged(results):
-    """All rows of several reports in one table, columns by name."""
-    parts = [df.select(F.lit(name).alias("report"), "*") for name, df in results.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def tagged_sql(texts) -> str:
-    return "\nUNION ALL BY NAME\n".join(f"SELECT '{name}' AS report, * FROM ({text})" for name, text in texts.items())
-
-
 @checks.check("q_history_run", tagged_sql({
     "class_balance": checks.sql["q_class_balance"], "class_statistics": checks.sql["q_class_stats"],
-    "associations": checks.sql["q_associations"], "patterns": checks.sql["q_pattern_lift"],
+    "associations": rounded_sql(sql_with(X, query=f"SELECT * EXCLUDE (n) FROM ({ASSOCIATIONS_SQL})"), ASSOCIATION_DOUBLES), "patterns": checks.sql["q_pattern_lift"],
     "regimes": checks.sql["q_unusual_regimes"], "shortlist": checks.sql["q_shortlist"],
     "representatives": checks.sql["q_representatives"]}))
 def history_run(spark, sf_dir):
-    """The rows of all history analyses, p-values aside."""
-    return tagged(classstats.run_history(measurements(spark, sf_dir), SPEC)).drop("PointBiserial_PValue", "Spearman_PValue")
+    """The rows of all history analyses."""
+    return tagged(classstats.run_history(measurements(spark, sf_dir), SPEC))
 
 
 REPORTED = [*[n for n in RESIDUAL_NAMES if "Expected" not in n], "p1_regime_cluster"]
@@ -287,7 +303,7 @@ RESIDUAL_STATS = ["Valid_Mean", "Valid_Median", "Valid_Std", "Invalid_Mean", "In
     "representatives": checks.sql["q_unusual_residuals"].replace(f"r AS ({EVIDENCE_SQL})", ",\n".join(
         f"{name} AS ({text})" for name, text in RESIDUAL_CTES))}))
 def behaviour_run(spark, sf_dir):
-    """The rows of all behaviour reports, p-values aside; q_regimes and q_residuals return the row frames."""
+    """The rows of all behaviour reports; q_regimes and q_residuals return the row frames."""
     results = classstats.run_behaviour(measurements(spark, sf_dir), SPEC)
     reports = ("relationships", "regimes", "performance", "residual_statistics", "reliability", "representatives")
-    return tagged({k: results[k] for k in reports}).drop("Pearson_p", "Spearman_p")
+    return tagged({k: results[k] for k in reports})

@@ -1,25 +1,30 @@
 """Checks of anomaly detectors, classifiers, validation and the final detectors.
 
-Forests and boosting are random, so most of these have no SQL counterpart; they
-run over whole tables and the tests assert their properties. LOF has one.
+Isolation forests and LOF have SQL. The classifiers draw random numbers of Spark's own; what is exact about them has SQL.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.storage import durable
+from gaugesieve.functions.storage import durable, new_path
 from gaugesieve.operators import evaluate, models, submit
 from gaugesieve.operators.baselines import run_baselines
 from gaugesieve.operators.detectors import fit_detector
 from gaugesieve.operators.features import matrix_columns
-from gaugesieve.operators.flags import REPORTED_FLAGS, quality_flags
+from gaugesieve.operators.flags import REPORTED_FLAGS, SCORED_FLAGS, decode_label, hard_mask, quality_flags
+from gaugesieve.operators.persist import DetectorEstimator, DetectorModel
 from gaugesieve.plans import checks_features as rows
 from gaugesieve.plans.checks_audit import union_all
-from gaugesieve.plans.checks_classes import tagged
-from gaugesieve.plans.checks_flags import flags_sql
-from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows, sql_with
-from gaugesieve.plans.registry import Checks
+from gaugesieve.plans.checks_evaluation import BAD, FOLDS, RULES, counts_sql, metrics_sql
+from gaugesieve.plans.checks_flags import HARD_SQL, flags_sql
+from gaugesieve.plans.forest_sql import forest_ctes, score_ctes
+from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows, sql_with, with_sql
+from gaugesieve.plans.registry import Checks, tagged
+from gaugesieve.sources.io import read_result
 
 checks = Checks()
 FEATURES = list(SPEC.features)
@@ -36,22 +41,42 @@ def embeddings(spark, sf_dir, dims: int = 64):
     return table.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
 
 
-@checks.check("q_iforest")
+def _values_sql(fills: dict[str, str]) -> str:
+    return "[" + ", ".join(f"coalesce({c}, {fill})" for c, fill in fills.items()) + "]"
+
+
+MEDIANS = {c: f"(SELECT median({c}) FROM m WHERE Test_ID % 4 <> 0)" for c in FEATURES}
+IFOREST_SQL = sql_with(
+    ("a", f"SELECT rid AS k, {_values_sql(MEDIANS)} AS x, Test_ID % 4 = 0 AS scored FROM m", True),
+    ("fitted", "SELECT k, x FROM a WHERE NOT scored"), ("asked", "SELECT k, x FROM a WHERE scored"),
+    *forest_ctes("fitted", len(FEATURES)), *score_ctes("asked", "found", fitted="fitted"),
+    query="SELECT k AS rid, score AS iforest_score, (score > 0.5)::INT AS iforest_pred FROM found")
+
+
+@checks.check("q_iforest", IFOREST_SQL, ["iforest_score"])
 def isolation_forest(spark, sf_dir):
     df = measurements(spark, sf_dir)
     return fit_detector(fitting_rows(df), SPEC).detect(scoring_rows(df)).select("rid", "iforest_score", "iforest_pred")
 
 
-@checks.check("q_iforest_zero_fill")
+ZEROS = ("a", f"SELECT rid AS k, {_values_sql(dict.fromkeys(FEATURES, '0e0'))} AS x FROM m", True)
+
+
+@checks.check("q_iforest_zero_fill", sql_with(
+    ZEROS, *forest_ctes("a", len(FEATURES)), *score_ctes("a", "found"),
+    query="SELECT k AS rid, score AS anomaly_score FROM found"), ["anomaly_score"])
 def isolation_forest_zero(spark, sf_dir):
     df = measurements(spark, sf_dir)
     return fit_detector(df, SPEC, missing="zero").score(df).select("rid", "anomaly_score")
 
 
-@checks.check("q_iforest_embeddings")
+@checks.check("q_iforest_embeddings", with_sql(
+    ("a", "SELECT vec_id AS k, [" + ", ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(64)) + "] AS x FROM embeddings", True),
+    *forest_ctes("a", 64), *score_ctes("a", "found"),
+    query="SELECT k AS vec_id, score AS iforest_score, (score > 0.5)::INT AS iforest_pred FROM found"), ["iforest_score"])
 def isolation_forest_embeddings(spark, sf_dir):
     df = embeddings(spark, sf_dir)
-    return fit_detector(df, SPEC, columns=[c for c in df.columns if c != "vec_id"]).detect(df).select(
+    return fit_detector(df, SPEC, columns=[c for c in df.columns if c != "vec_id"], keys=["vec_id"]).detect(df).select(
         "vec_id", "iforest_score", "iforest_pred")
 
 
@@ -91,7 +116,19 @@ def lof_measurements(spark, sf_dir):
     return fit_detector(fitting_rows(df), SPEC, "lof").detect(scoring_rows(df)).select("rid", "lof_score", "lof_pred")
 
 
-@checks.check("q_oof_anomaly")
+def _fold_forest(i: int) -> list[tuple]:
+    """CTEs up to ``o<i>``: the rows of fold i flagged by a forest of the other folds."""
+    return [(f"t{i}", f"SELECT k, x FROM a WHERE fold <> {i}"), *forest_ctes(f"t{i}", len(FEATURES), tag=f"_{i}_"),
+            *[(n, t) for n, t in score_ctes("a", f"all{i}", fitted=f"t{i}", tag=f"_{i}_")][:-1],
+            (f"all{i}", score_ctes("a", f"all{i}", fitted=f"t{i}", tag=f"_{i}_")[-1][1], True),
+            (f"o{i}", f"""SELECT k AS rid, fold, score AS anomaly_score, score >= (SELECT quantile_cont(score, 0.95) FROM all{i} JOIN a USING (k)
+ WHERE fold <> {i}) AS anomaly_flag FROM all{i} JOIN a USING (k) WHERE fold = {i}""")]
+
+
+@checks.check("q_oof_anomaly", sql_with(
+    ("s", "SELECT * FROM m"), FOLDS, ("a", f"SELECT rid AS k, {_values_sql(dict.fromkeys(FEATURES, '0e0'))} AS x, fold FROM fo", True),
+    *[c for i in range(1, 6) for c in _fold_forest(i)],
+    query=union_all(f"SELECT * FROM o{i}" for i in range(1, 6))), ["anomaly_score"])
 def oof_anomaly(spark, sf_dir):
     folds = models.stratified_folds(measurements(spark, sf_dir), SPEC)
     return models.oof_anomaly_flags(folds, SPEC).select("rid", "fold", "anomaly_score", "anomaly_flag")
@@ -114,6 +151,20 @@ def logistic(spark, sf_dir):
     return _fit_and_score(spark, sf_dir, LOGISTIC, "Set_D_Full_Stage5")
 
 
+TOLERANCE = 1e-3
+GRADIENT_OF = ["(intercept)", *FEATURES, *SCORED_FLAGS]
+
+
+@checks.check("q_logreg_certificate", "SELECT unnest([" + ", ".join(f"'{c}'" for c in GRADIENT_OF) + "]) AS feature, true AS optimal")
+def logistic_certificate(spark, sf_dir):
+    """Whether the penalised loss is flat at the fitted weights, in the direction of every weight."""
+    train = durable(models.screening_features(fitting_rows(measurements(spark, sf_dir)), SPEC)[0])
+    columns = [*FEATURES, *SCORED_FLAGS]
+    fitted = models.fit_classifier(train, SPEC, columns, LOGISTIC)
+    slopes = models.logistic_gradient(fitted, train, SPEC, LOGISTIC)
+    return slopes.select("feature", (F.abs("gradient") < TOLERANCE).alias("optimal"))
+
+
 @checks.check("q_random_forest")
 def random_forest(spark, sf_dir):
     return _fit_and_score(spark, sf_dir, FOREST, "Set_D_Full_Stage5")
@@ -181,14 +232,52 @@ def contextual_sets(spark, sf_dir):
     return spark.createDataFrame(placed, "set_name string, place int, feature string")
 
 
+def _grid(spark, sf_dir, name):
+    """The whole grid of models, feature sets and folds; each fit sees at most about FIT_ROWS rows."""
+    configs = {n: models.lighter(c, max_rows=FIT_ROWS) for n, c in models.CLASSIFIERS.items()}
+    cores = spark.sparkContext.defaultParallelism
+    return models.evaluate_grid(measurements(spark, sf_dir), SPEC, name, configs=configs, parallel=cores)
+
+
 @checks.check("q_model_comparison")
 def model_comparison(spark, sf_dir):
-    """The three models on the smallest and the largest feature set under fold isolation."""
-    oof = models.cross_validate(
-        measurements(spark, sf_dir), SPEC,
-        [LOGISTIC, models.lighter(FOREST, trees=10, depth=6), models.lighter(BOOSTING, iterations=5)],
-        [models.FEATURE_SETS[0], models.FEATURE_SETS[-1]], k=2, forest_trees=50)
-    return models.compare_models(oof)
+    """The screening grid: three models on the five fold-isolated feature sets."""
+    return _grid(spark, sf_dir, "screening")
+
+
+@checks.check("q_grid_baseline")
+def grid_baseline(spark, sf_dir):
+    """Three models on two feature sets, and the two rules."""
+    return _grid(spark, sf_dir, "baseline")
+
+
+@checks.check("q_grid_final")
+def grid_final(spark, sf_dir):
+    """Four models on the three contextual sets."""
+    return _grid(spark, sf_dir, "final")
+
+
+def _rules_sql(where: str, attempts: dict[int, str]) -> str:
+    """The better of the two rules on some rows, as the saved comparison names it."""
+    rules = union_all(f"SELECT 'rule_{rule}' AS model_name, {counts_sql('pred')} FROM (SELECT CASE WHEN {BAD} THEN 1 ELSE 0 END AS y, {e}::INT AS pred FROM f)"
+                      for rule, e in RULES.values())
+    best = f"""SELECT model_name, {metrics_sql()} FROM ({rules}) ORDER BY Invalid_F1 DESC, Invalid_Recall DESC, Invalid_Precision DESC, Accuracy DESC,
+ model_name LIMIT 1"""
+    listed = ", ".join(f"({i}, '{status}')" for i, status in attempts.items())
+    return sql_with(("t", f"SELECT * FROM m WHERE {where}"), ("f", flags_sql("t")), ("best", best), query=f"""
+SELECT CAST(attempt AS INTEGER) AS attempt, status, model_name, Invalid_F1 FROM best, (VALUES {listed}) AS v(attempt, status)""")
+
+
+@checks.check("q_best_saved", union_all([
+    f"SELECT * FROM ({_rules_sql('true', {1: 'miss', 2: 'hit', 4: 'hit'})})", f"SELECT * FROM ({_rules_sql('Test_ID % 4 <> 0', {3: 'stale'})})"]), ["Invalid_F1"])
+def best_saved(spark, sf_dir):
+    """The best of a grid, run once and then taken from its saved comparison as long as the data are the same."""
+    df, folder = measurements(spark, sf_dir), new_path(spark, "comparisons")
+    found = []
+    for attempt, rows in enumerate((df, df, fitting_rows(df), df), 1):
+        best, status = models.resolve_best(rows, SPEC, folder, "rules")
+        found.append(best.select(F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), "model_name", "Invalid_F1"))
+    return reduce(DataFrame.unionByName, found)
 
 
 @checks.check("q_oof_thresholds")
@@ -199,9 +288,12 @@ def oof_thresholds(spark, sf_dir):
 
 @checks.check("q_permutation_importance")
 def permutation_importance(spark, sf_dir):
-    df = quality_flags(measurements(spark, sf_dir), SPEC)
-    fitted = models.fit_classifier(df, SPEC, FEATURES + ["duplicate_measurement_pair", "sensor_zero_reading"], FOREST)
-    return models.permutation_importance(fitted, df, SPEC)
+    """Every feature of the full screening set, shuffled ten times."""
+    df = measurements(spark, sf_dir)
+    features, _ = models.screening_features(df, SPEC)
+    features = durable(features)
+    fitted = models.fit_classifier(features, SPEC, models.full_columns(df, features, SPEC), FOREST)
+    return models.permutation_importance(fitted, features, SPEC)
 
 
 @checks.check("q_final_validity")
@@ -221,6 +313,41 @@ def hybrid_predict(spark, sf_dir):
     return submit.build_submission(fitted, test, SPEC)
 
 
+class HardRules:
+    """A detector without chance: invalid is what has a hard-corruption flag."""
+
+    def predict(self, df):
+        flagged = quality_flags(df, SPEC)
+        return flagged.select("rid", decode_label(hard_mask(flagged).cast("int"), SPEC).alias(SPEC.label_col))
+
+
+@checks.check("q_submission_written", sql_with(("t", "SELECT * FROM m WHERE Test_ID % 4 = 0"), ("f", flags_sql("t")), query=f"""
+SELECT rid, CASE WHEN {HARD_SQL} THEN 'Invalid' ELSE 'Valid' END AS Validity_Label FROM f"""))
+def submission_written(spark, sf_dir):
+    """A submission predicted, checked, written as CSV and read back."""
+    path = new_path(spark, "submission")
+    rows = submit.build_submission(HardRules(), scoring_rows(measurements(spark, sf_dir)), SPEC, path)
+    return read_result(spark, path, rows.schema, "csv")
+
+
+@checks.check("q_detectors_saved", sql_with(query="""
+SELECT kind, (SELECT count(*) FROM m WHERE Test_ID % 4 = 0) AS records, 0::BIGINT AS differing FROM (VALUES ('hybrid'), ('validity')) AS v(kind)"""))
+def detectors_saved(spark, sf_dir):
+    """Both final detectors fitted as estimators, saved to the shared folder, loaded and scored again: rows that differ."""
+    df = measurements(spark, sf_dir)
+    train, test = durable(fitting_rows(df)), durable(scoring_rows(df))
+    found = []
+    for kind, config in (("hybrid", FOREST), ("validity", FINAL_FOREST)):
+        fitted = DetectorEstimator(SPEC, kind, config=config).fit(train)
+        path = new_path(spark, "detector")
+        fitted.write().save(path)
+        before, after = (model.transform(test) for model in (fitted, DetectorModel.load(path)))
+        rows = before.select("rid", F.struct(*before.columns).alias("a")).join(
+            after.select("rid", F.struct(*before.columns).alias("b")), "rid", "full")
+        found.append(rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("records"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing")))
+    return reduce(DataFrame.unionByName, found)
+
+
 @checks.check("q_diagnostics")
 def diagnostics(spark, sf_dir):
     fitted, test = detector(spark, sf_dir)

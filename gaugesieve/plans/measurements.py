@@ -92,8 +92,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements(spark, sf_dir).withColumn("p", F.expr(PROBABILITY))
 
 
-def sql_with(*ctes: tuple[str, str], query: str, variant: str | None = None) -> str:
-    """DuckDB text: the measurement CTEs (as table ``m``), further CTEs, the query."""
+def sql_with(*ctes: tuple, query: str, variant: str | None = None) -> str:
+    """DuckDB text: the measurement CTEs (as table ``m``), further CTEs, the query.
+
+    A CTE is its name and text, and True behind them if it shall be computed once.
+    """
     parts = [("b", BASE), ("m0", MEASUREMENTS)]
     if variant is None:
         parts.append(("m", "SELECT * FROM m0"))
@@ -101,4 +104,10 @@ def sql_with(*ctes: tuple[str, str], query: str, variant: str | None = None) ->
         parts.append(("m", "SELECT * FROM m0 UNION ALL SELECT * FROM m0 WHERE Test_ID % 50 = 0"))
     else:
         parts.append(("m", f"SELECT {', '.join(_variant_columns(variant))} FROM m0"))
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in [*parts, *ctes]) + "\n" + query
+    return with_sql(*parts, *ctes, query=query)
+
+
+def with_sql(*ctes: tuple, query: str) -> str:
+    """DuckDB text of CTEs, as in ``sql_with`` but without the measurements, and a query."""
+    listed = [f"{name} AS {'MATERIALIZED ' if once else ''}({text})" for name, text, *once in ctes]
+    return "WITH " + ",\n".join(listed) + "\n" + query

@@ -41,3 +41,16 @@ class Checks:
                 self.sql[name] = rounded_sql(sql, doubles)
             return build
         return register
+
+
+def tagged(results: dict[str, DataFrame]) -> DataFrame:
+    """All rows of several reports in one table, columns by name."""
+    parts = [df.select(F.lit(name).alias("report"), "*") for name, df in results.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def tagged_sql(texts: dict[str, str]) -> str:
+    return "\nUNION ALL BY NAME\n".join(f"SELECT '{name}' AS report, * FROM ({text})" for name, text in texts.items())
