@@ -2,13 +2,16 @@
 
 The battery takes every run of key characters without the fixed patterns in it, cut at ``=`` unless that is padding at
 the end. A run that no alphabet covers is split at ``/ + - _`` into the longest pieces that one covers; these may overlap.
-For what has at least ``min_length`` characters it infers the encoding from the characters, and tests the null hypothesis "these symbols are random" four ways: chi-squared for a uniform use of the alphabet,
-Wald and Wolfowitz's runs above and below the middle of it, lag-one serial correlation, and the number of neighbouring
-letters that are common in prose. The smallest of the four p-values, times four, is the string's.
-
-Words, numbers and paths are discovered as not random. Discoveries are made per length class with the rule of
-Benjamini and Hochberg over all strings of the corpus, so that of the strings discarded as ordinary at most a share
-``rate`` should be random ones, in the classes of short strings as well as in those of long ones. What is left is reported. The p-values
+For what has at least ``min_length`` characters it infers the encoding from the characters, and tests the null hypothesis
+"these symbols are random" three ways: chi-squared for a uniform use of the alphabet, Wald and Wolfowitz's runs above and
+below the middle of it, and lag-one serial correlation. What one of them rejects is ordinary.
+
+The others look random, but a short word may do so too. The opposite null hypothesis, "this is ordinary writing", gives each a
+second p-value: ordinary strings are made of digit pairs and of letter pairs that are common in prose, and other pairs (rare letters,
+a letter beside a digit, a capital after a small letter) have a share of ODD in them at most; the p-value is the probability of so many odd
+pairs. Secrets are discovered against this null per length class, with the rule of Benjamini and Hochberg over all tested strings of the corpus,
+so that of the reports of a class at most a share ``rate`` should be ordinary strings. Long strings have many pairs and pass easily; a class of
+short ones needs more evidence each. A number has no odd pair and is never reported. The p-values
 of a class are counted in bins, so the corpus sends one small row per bin to the driver and nothing per document.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -53,6 +56,8 @@ PAIRS = frozenset((
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce "
     "li ch ll be ma si om ur ei ie un sc ge au ht ss ke qu ai ue eu us os la ci ad do ta ca rt em et ns el il no so di ac tr")
     .split())
+ODD = 0.4  # share of odd pairs in ordinary strings, at most
+RANDOM = 0.01  # a string is not random if one of the three tests, corrected for their number, is below this
 BINS = 64  # bins of -log10(p), a quarter each; the last takes all that is smaller
 
 FOUND = ("doc_id long, n_chars long, base array<struct<kind:int,first:int,last:int>>, "
@@ -78,22 +83,20 @@ def _chi_squared_tail(x: float, freedom: int) -> float:
 
 
 @functools.cache
-def _pair_share(encoding: str) -> float:
-    """Share of the common pairs among all pairs of the alphabet's symbols, in any case."""
-    letters = Counter(c.lower() for c in INDEX[encoding])
-    return sum(letters[a] * letters[b] for a, b in PAIRS) / len(INDEX[encoding]) ** 2
-
-
-def _upper_tail(k: int, n: int, share: float) -> float:
-    """Probability of at least k successes of n."""
-    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k, n + 1)) if k else 1.0
+def _upper_tail(k: int, n: int) -> float:
+    """Probability of at least k odd pairs of n in an ordinary string."""
+    return min(1.0, sum(math.comb(n, i) * ODD**i * (1 - ODD) ** (n - i) for i in range(k, n + 1))) if k else 1.0
 
 
-def _prose_p(string: str, encoding: str) -> float:
-    """Probability of so many common pairs; a long string's by its first 400 pairs."""
-    low = string.rstrip("=").lower()[:401]
-    share = _pair_share(encoding)
-    return _upper_tail(sum(low[i:i + 2] in PAIRS for i in range(len(low) - 1)), len(low) - 1, share) if share else 1.0
+def ordinary_p(string: str) -> float:
+    """Probability of so many odd pairs in ordinary writing; a long string's by its first 400 pairs that tell most."""
+    string = string.rstrip("=")
+    odd = sum(not (a.isdigit() and b.isdigit() or (a + b).lower() in PAIRS and (b.islower() or a.isupper()))
+              for a, b in zip(string, string[1:]))
+    pairs = len(string) - 1
+    if pairs > 400:  # the same share of 400 pairs; below 1e-16 in any case
+        odd, pairs = odd * 400 // pairs, 400
+    return _upper_tail(odd, pairs)
 
 
 def randomness_p(string: str, encoding: str) -> float:
@@ -119,15 +122,24 @@ def randomness_p(string: str, encoding: str) -> float:
     power = sum((s - centre) ** 2 for s in symbols)
     serial = sum((a - centre) * (b - centre) for a, b in zip(symbols, symbols[1:])) / power if power else 1.0
     serial_p = _normal_two_sided((serial + 1 / n) * math.sqrt(n))
-    return min(1.0, 4 * min(uniform, runs_p, serial_p, _prose_p(string, encoding)))
+    return min(1.0, 3 * min(uniform, runs_p, serial_p))
 
 
-def _runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Start and end of the runs of at least ``least`` bytes that are members."""
-    edges = np.flatnonzero(np.diff(member, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= least
-    return list(zip(starts[long].tolist(), ends[long].tolist()))
+def _runs(member: np.ndarray, least: int) -> np.ndarray:
+    """Rows (start, end) of the runs of at least ``least`` bytes that are members."""
+    runs = np.flatnonzero(np.diff(member, prepend=False, append=False)).reshape(-1, 2)
+    return runs[runs[:, 1] - runs[:, 0] >= least]
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, ascending by start, with those that overlap made one."""
+    found = []
+    for first, last in spans:
+        if found and first < found[-1][1]:
+            found[-1] = (found[-1][0], max(found[-1][1], last))
+        else:
+            found.append((first, last))
+    return found
 
 
 def pieces_of(string: str) -> list[tuple[int, int]]:
@@ -143,13 +155,18 @@ def pieces_of(string: str) -> list[tuple[int, int]]:
         if encoding_of(part[0]):
             found.append((first, padded))
             continue
-        spans = [m.span() for cut in (r"[^-_]+", r"[^+/]+") for m in re.finditer(cut, part[0])]
-        for a, b in sorted(set(spans)):
-            if not any((c, d) != (a, b) and c <= a and b <= d for c, d in spans):
-                found.append((first + a, padded if first + b == last else first + b))
+        by_cut = [[m.span() for m in re.finditer(cut, part[0])] for cut in (r"[^-_]+", r"[^+/]+")]
+        spans = [span for spans, others in (by_cut, by_cut[::-1]) for span in spans if not _inside(span, others)]
+        found += [(first + a, padded if first + b == last else first + b) for a, b in sorted(set(spans))]
     return found
 
 
+def _inside(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
+    """Whether one of the ascending, disjoint ``others`` is larger than the span and covers it."""
+    at = bisect_right(others, (span[0], math.inf)) - 1
+    return at >= 0 and others[at] != span and others[at][1] >= span[1]
+
+
 def beside(first: int, last: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What the ascending ``spans`` leave of first to last."""
     left = []
@@ -173,12 +190,11 @@ class Scanner:
         """(number of characters, base spans, tested spans) of one text in UTF-8; places are in characters."""
         codes = np.frombuffer(raw, np.uint8)
         text = None
-        later = codes & 0xC0 == 0x80  # bytes that continue a character
-        n = len(codes) - int(np.count_nonzero(later))
-        plain = n == len(codes)
+        later = np.flatnonzero(codes & 0xC0 == 0x80)  # bytes that continue a character
+        n = len(codes) - len(later)
 
-        def place(byte: int) -> int:
-            return byte if plain else byte - int(np.count_nonzero(later[:byte]))
+        def places(runs: np.ndarray) -> list:
+            return (runs - np.searchsorted(later, runs)).tolist()
 
         base = []
         low = raw.lower()
@@ -188,29 +204,34 @@ class Scanner:
         if b"AKIA" in raw:
             text = text if text is not None else raw.decode("utf-8")
             base += [(1, *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-        base += [(2, place(a), place(b)) for a, b in _runs(self.hexadecimal[codes], LEAST["hex"])]
+        base += [(2, a, b) for a, b in places(_runs(self.hexadecimal[codes], LEAST["hex"]))]
         base.sort(key=lambda s: (s[1], s[0]))
+        taken = united([s[1:] for s in base])
+        ends = [e for _, e in taken]
         tested = []
-        taken = [(s, e) for _, s, e in base]
-        for a, b in _runs(self.key[codes], self.min_length):
+        keys = _runs(self.key[codes], self.min_length)
+        for (a, b), (start, stop) in zip(keys.tolist(), places(keys)):
             string = raw[a:b].decode("ascii")
-            start = place(a)
-            near = [(s - start, e - start) for s, e in taken if s < start + b - a and start < e]
+            near, at = [], bisect_right(ends, start)
+            while at < len(taken) and taken[at][0] < stop:
+                near.append((taken[at][0] - start, taken[at][1] - start))
+                at += 1
             for left, right in beside(0, b - a, near):
                 for x, y in pieces_of(string[left:right]):
                     piece = string[left + x:left + y]
                     if len(piece.rstrip("=")) < self.min_length:
                         continue
-                    p = max(randomness_p(piece, encoding_of(piece)), 1e-300)
-                    size = sum(len(piece) >= c for c in LENGTH_CLASSES)
+                    bin_ = 0
+                    if randomness_p(piece, encoding_of(piece)) >= RANDOM:
+                        bin_ = min(BINS - 1, int(-4 * math.log10(max(ordinary_p(piece), 1e-300))))
                     first = start + left + x
-                    tested.append((first, first + len(piece), size, min(BINS - 1, int(-4 * math.log10(p)))))
+                    tested.append((first, first + len(piece), sum(len(piece) >= c for c in LENGTH_CLASSES), bin_))
         return n, base, tested
 
-    def cleaned(self, text: str, discarded: dict[int, int], mark: str) -> str:
+    def cleaned(self, text: str, discovered: dict[int, int], mark: str) -> str:
         """``text`` with the spans that are reported replaced by ``mark``."""
         _, base, tested = self.scan(text.encode())
-        spans = sorted([s[1:] for s in base] + [t[:2] for t in tested if t[3] < discarded.get(t[2], BINS)])
+        spans = sorted([s[1:] for s in base] + [t[:2] for t in tested if t[3] >= discovered.get(t[2], BINS)])
         parts, at = [], 0
         for i, (first, last) in enumerate(spans):
             if i == 0 or first > at:
@@ -220,17 +241,17 @@ class Scanner:
 
 
 def discovery_bins(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
-    """Per length class the first bin of p-values that the rule discards; bins hold falling p-values.
+    """Per length class the first bin whose strings are reported, BINS for none; bins hold falling p-values.
 
-    A bin counts with its largest p-value, so the rule errs to the side of keeping strings as random.
+    A bin counts with its largest p-value, so the rule errs to the side of reporting less.
     """
     found = {}
     for size in {s for s, _ in counts}:
         total = sum(n for (s, _), n in counts.items() if s == size)
         upto, first = 0, BINS
-        for b in range(BINS - 1, -1, -1):
+        for b in range(BINS - 1, 0, -1):
             upto += counts.get((size, b), 0)
-            if 10 ** (-b / 4) <= rate * upto / total:
+            if upto and 10 ** (-b / 4) <= rate * upto / total:
                 first = b
         found[size] = first
     return found
@@ -264,8 +285,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scanned = stored(source.mapInArrow(_scan_batches(min_length), FOUND), "secrets")
-    discarded = _discarded(scanned, rate)
-    random = F.filter("tested", lambda t: t["bin"] < _first_bin(t["size"], discarded))
+    discovered = _discovered(scanned, rate)
+    random = F.filter("tested", lambda t: t["bin"] >= _first_bin(t["size"], discovered))
     spans = F.concat("base", F.transform(random, lambda t: F.struct(
         F.lit(KINDS.index("random")).alias("kind"), t["first"].alias("first"), t["last"].alias("last"))))
 
@@ -281,15 +302,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                           listed(F.col("base")).alias("base"), listed(spans).alias("spans"))
 
 
-def _discarded(scanned: DataFrame, rate: float) -> dict[int, int]:
-    """First discarded bin per length class; one row per class and bin comes to the driver."""
+def _discovered(scanned: DataFrame, rate: float) -> dict[int, int]:
+    """First reported bin per length class; one row per class and bin comes to the driver."""
     bins = scanned.select(F.inline("tested")).groupBy("size", "bin").agg(F.count("*").alias("n")).collect()
     return discovery_bins({(r["size"], r["bin"]): r["n"] for r in bins}, rate)
 
 
-def _first_bin(size, discarded: dict[int, int]):
+def _first_bin(size, discovered: dict[int, int]):
     column = F.lit(BINS)
-    for s, b in sorted(discarded.items()):
+    for s, b in sorted(discovered.items()):
         column = F.when(size == s, F.lit(b)).otherwise(column)
     return column
 
@@ -302,13 +323,13 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
     """
     bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
-    discarded = _discarded(docs.select(F.lit(0).cast("long").alias("id"), text.alias("text")).mapInArrow(
+    discovered = _discovered(docs.select(F.lit(0).cast("long").alias("id"), text.alias("text")).mapInArrow(
         _scan_batches(min_length), FOUND), rate)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         scanner = Scanner(min_length)
-        return texts.map(lambda t: t if t is None else scanner.cleaned(t, discarded, mark))
+        return texts.map(lambda t: t if t is None else scanner.cleaned(t, discovered, mark))
 
     changed = docs.withColumn(text_col, clean(text))
     return changed if count_col is None else changed.withColumn(count_col, F.length(F.col(f"`{text_col}`")).cast("long"))
