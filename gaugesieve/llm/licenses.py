@@ -1,16 +1,25 @@
 """License notices in whole texts: a positional index of rare template words.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. The vocabulary of the templates is
-counted over all documents. For each template whose key phrases a document has, its words that the document has are taken
-by falling inverse document frequency, the ``rare`` first of them. Each place of such a word is looked up in the template
-postings; a place in the text minus the place in the template is an alignment, and alignments that several rare words of
-the template agree on, give or take ``slack`` words, are candidates. A candidate counts if the template's mandatory key phrases stand within it, and scores
-the share of the template's words found in order of their place.
+Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Templates are whole license texts and
+standard notices, and the base phrases, each with its mandatory key phrases; the postings list the places of every word
+in every template. The vocabulary of the templates is counted over all documents. In a document
+
+1. a template is possible if the document has all words of its key phrases;
+2. of the template's words in the document, the ``rare`` ones of highest inverse document frequency are looked up: each place of
+   such a word, minus its place in the template, is a relative position, and positions that several rare words agree on,
+   give or take a drift of an eighth of the template, are a candidate;
+3. a candidate counts if every mandatory key phrase stands within it, found by the phrase's own rarest word;
+4. all template words in the candidate's window vote for (place in the template, place in the text), and the longest chain ascending
+   in both, as a share of the template's words, is the score.
+
+A base phrase is a template without drift whose key is the whole phrase. Of overlapping notices the best stays. Each step walks
+lists of places in order, so the time grows with the text, however many notices it has.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -18,47 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugesieve.llm.batches import bounded_batches, small_batches
+from gaugesieve.llm.license_texts import TEMPLATES
 
 # Phrases that are a notice by themselves, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Templates by label: the notice, and the phrases without which it is none.
-TEMPLATES = {
-    "mit": (
-        ("released under the mit license", ("mit license",)),
-        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-         "documentation files the software to deal in the software without restriction",
-         ("hereby granted free of charge", "without restriction")),
-    ),
-    "apache-2": (
-        ("licensed under the apache license version 2 0", ("apache license",)),
-        ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
-         "the license", ("apache license", "except in compliance")),
-    ),
-    "bsd": (
-        ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
-         "following conditions are met", ("redistribution and use", "source and binary forms")),
-        ("released under the bsd license", ("bsd license",)),
-    ),
-    "gpl": (
-        ("this work is licensed under the gnu general public license version 3", ("general public license",)),
-        ("this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-         "public license as published by the free software foundation", ("free software", "general public license")),
-    ),
-    "mpl-2": (
-        ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ),
-    "cc-by-nc": (
-        ("licensed under cc by nc 4 0", ("cc by nc",)),
-        ("this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-         ("creative commons", "noncommercial")),
-    ),
-    "cc-by": (
-        ("this work is licensed under a creative commons attribution 4 0 international license",
-         ("creative commons attribution 4",)),
-    ),
-}
-
 FOUND = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
          "score double, spans array<struct<label:string,first:long,last:long,score:double>>")
 
@@ -77,7 +50,7 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Index:
-    """Template postings and key phrases."""
+    """Template postings, key phrases and base phrases."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.labels, self.texts, self.keys = [], [], []
@@ -85,75 +58,114 @@ class Index:
             for text, keys in forms:
                 self.labels.append(label)
                 self.texts.append(text.encode().split())
-                self.keys.append([b" " + k.encode() + b" " for k in keys])
-        self.postings = defaultdict(list)
-        for t, text in enumerate(self.texts):
+                self.keys.append([k.encode().split() for k in keys])
+        self.places = [defaultdict(list) for _ in self.texts]  # by template: word to its places
+        for text, places in zip(self.texts, self.places):
             for place, word in enumerate(text):
-                self.postings[word].append((t, place))
-        self.vocabulary = frozenset(self.postings)
-        self.phrases = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-
-    def base(self, words: list[bytes], joined: bytes) -> list[tuple[int, str]]:
-        """(first word, label) of every place of every phrase; places may overlap."""
-        found = []
-        for phrase, label in self.phrases:
-            at = joined.find(phrase)
-            while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
-                at = joined.find(phrase, at + 1)
-        return sorted(found)
-
-    def match(self, words: list[bytes], joined: bytes, present: set, idf: dict[bytes, float], rare: int, slack: int,
-              least: float):
-        """(label, first, last, score) of the alignments that count, the best of those that overlap."""
-        possible = {t for t, keys in enumerate(self.keys) if all(k in joined for k in keys)}
-        if not possible:
-            return []
-        chosen = {t: set(sorted(present.intersection(self.texts[t]), key=lambda w: (-idf[w], w))[:rare]) for t in possible}
-        voting = set().union(*chosen.values())
-        votes = defaultdict(Counter)
+                places[word].append(place)
+        self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
+        self.needed = [frozenset(w for k in keys for w in k) for keys in self.keys]  # without these words no template
+        self.phrase_words = [frozenset(p) for p, _ in self.phrases]
+        self.vocabulary = frozenset().union(*self.places, *self.phrase_words)
+
+    def lookup(self, words: list[bytes], idf: dict[bytes, float]) -> "Lookup | None":
+        """The places of vocabulary words in a document that may have a template or phrase, else None."""
+        present = self.vocabulary.intersection(words)
+        possible = [t for t, needed in enumerate(self.needed) if needed <= present]
+        phrases = [i for i, needed in enumerate(self.phrase_words) if needed <= present]
+        return Lookup(self, words, idf, present, possible, phrases) if possible or phrases else None
+
+
+class Lookup:
+    """One document against the index."""
+
+    def __init__(self, index: Index, words: list[bytes], idf: dict[bytes, float], present: set, possible: list[int], phrases: list[int]):
+        self.index, self.words, self.idf, self.present, self.possible, self.phrases = index, words, idf, present, possible, phrases
+        wanted = set().union(*(index.phrase_words[i] for i in phrases), *(index.places[t] for t in possible))
+        self.at = defaultdict(list)
         for place, word in enumerate(words):
-            if word in voting:
-                for t, at in self.postings[word]:
-                    if t in possible and word in chosen[t]:
-                        votes[t][place - at] += 1
+            if word in wanted:
+                self.at[word].append(place)
+
+    def rarest(self, words, count: int) -> list[bytes]:
+        """The ``count`` words of highest inverse document frequency among those of the document."""
+        return sorted(self.present.intersection(words), key=lambda w: (-self.idf[w], w))[:count]
+
+    def starts(self, phrase: list[bytes]) -> list[int]:
+        """Ascending places where the phrase stands, by the places of its rarest word."""
+        word = self.rarest(phrase, 1)[0]
+        within = phrase.index(word)
+        return [p - within for p in self.at[word] if p >= within and self.words[p - within:p - within + len(phrase)] == phrase]
+
+    def base(self) -> list[tuple[int, str]]:
+        """(first word, label) of every place of every base phrase; places may overlap."""
+        return sorted((start, self.index.phrases[i][1]) for i in self.phrases for start in self.starts(self.index.phrases[i][0]))
+
+    def notices(self, rare: int, slack: int, least: float) -> list[tuple[str, int, int, float]]:
+        """(label, first, last, score) of the candidates that count, the best of those that overlap."""
         found = []
-        for t, offsets in votes.items():
-            text = self.texts[t]
-            needed = min(2, len(chosen[t]))
-            known = sorted(offsets)
-            taken = -1
-            for i, offset in enumerate(known):
-                if offset <= taken:
-                    continue
-                near = sum(offsets[o] for o in known[i:i + slack + 1] if o - offset <= slack)
-                if near < needed:
-                    continue
-                first, last = max(0, offset), min(len(words), offset + slack + len(text))
-                window = b" " + b" ".join(words[first:last]) + b" "
-                if not all(k in window for k in self.keys[t]):
-                    continue
-                score, first, last = self._score(text, words, offset, slack)
-                if score >= least:
-                    found.append((self.labels[t], first, last, score))
-                    taken = offset + slack
+        for t in self.possible:
+            found += self._of_template(t, rare, max(slack, len(self.index.texts[t]) // 8), least)
         best = []
-        for hit in sorted(found, key=lambda h: (-h[3], h[1] - h[2], h[1], h[0])):
-            if all(hit[2] <= b[1] or b[2] <= hit[1] for b in best):
-                best.append(hit)
-        return sorted(best, key=lambda h: (h[1], h[0]))
+        for label, first, last, score in sorted(found, key=lambda h: (-h[3] * (h[2] - h[1]), h[1] - h[2], h[1], h[0])):
+            # Those taken are disjoint, so only the neighbours can overlap.
+            at = bisect_left(best, (first,))
+            if (at == 0 or best[at - 1][1] <= first) and (at == len(best) or last <= best[at][0]):
+                insort(best, (first, last, label, score))
+        return [(label, first, last, score) for first, last, label, score in best]
+
+    def _of_template(self, t: int, rare: int, drift: int, least: float):
+        text, places = self.index.texts[t], self.index.places[t]
+        votes = Counter()
+        chosen = self.rarest(places, rare)
+        for word in chosen:
+            for place in self.at[word]:
+                for at in places[word]:
+                    votes[place - at] += 1
+        offsets = sorted(votes)
+        needed = min(2, len(chosen))
+        keys = None
+        upto, near, taken = 0, 0, -math.inf
+        for i, offset in enumerate(offsets):
+            while upto < len(offsets) and offsets[upto] <= offset + drift:
+                near += votes[offsets[upto]]
+                upto += 1
+            agreeing = near
+            near -= votes[offset]
+            if offset <= taken or agreeing < needed:
+                continue
+            if keys is None:
+                keys = [(self.starts(k), len(k)) for k in self.index.keys[t]]
+                if not all(starts for starts, _ in keys):
+                    return
+            first, last = max(0, offset), min(len(self.words), offset + drift + len(text))
+            if not all(self._within(starts, size, first, last) for starts, size in keys):
+                continue
+            chain = self._chain(t, first, last, offset, drift)
+            if len(chain) >= least * len(text):
+                yield self.index.labels[t], chain[0], chain[-1] + 1, len(chain) / len(text)
+                taken = chain[-1]
 
     @staticmethod
-    def _score(text, words, offset: int, slack: int):
-        """Share of the template's words that follow each other at their place or up to ``slack`` words later."""
-        at, places = max(0, offset), []
-        for i, word in enumerate(text):
-            for place in range(max(at, offset + i), min(len(words), offset + i + slack + 1)):
-                if words[place] == word:
-                    places.append(place)
-                    at = place + 1
-                    break
-        return (len(places) / len(text), places[0], places[-1] + 1) if places else (0.0, 0, 0)
+    def _within(starts: list[int], size: int, first: int, last: int) -> bool:
+        at = bisect_left(starts, first)
+        return at < len(starts) and starts[at] + size <= last
+
+    def _chain(self, t: int, first: int, last: int, offset: int, drift: int) -> list[int]:
+        """Places of the longest chain of template words in the window that ascends in the text and in the template."""
+        places = self.index.places[t]
+        ends, ends_at, before = [], [], {}
+        for p in range(first, last):
+            for i in reversed(places.get(self.words[p], ())):
+                if 0 <= p - i - offset <= drift:
+                    at = bisect_left(ends, i)
+                    before[p, i] = ends_at[at - 1] if at else None
+                    ends[at:at + 1], ends_at[at:at + 1] = [i], [(p, i)]
+        chain, step = [], ends_at[-1] if ends_at else None
+        while step is not None:
+            chain.append(step[0])
+            step = before[step]
+        return chain[::-1]
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[bytes, int]]:
@@ -180,7 +192,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``n_base`` counts all places of all phrases, ``first_word`` and ``last_word`` are their smallest and largest start,
     null without one. ``labels`` joins the labels of phrases and of notices; ``score`` is 1 where a phrase stands, else
-    that of the best notice, else 0. Null and empty texts have no words. Repeated rows give a row each.
+    that of the best notice, else 0. Null and empty texts have no words. Repeated rows give a row each. An empty table gives an
+    empty result. Other columns, whatever their names, are not read.
     """
     bounded_batches(docs.sparkSession)
     total, counts = document_frequencies(docs, text_col)
@@ -192,12 +205,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = []
             for raw in texts:
                 words = words_of(raw)
-                present = index.vocabulary.intersection(words)
-                base, hits = [], []
-                if present:
-                    joined = b" " + b" ".join(words) + b" "
-                    base = index.base(words, joined)
-                    hits = index.match(words, joined, present, idf, rare, slack, least)
+                found = index.lookup(words, idf)
+                base, hits = (found.base(), found.notices(rare, slack, least)) if found else ([], [])
                 own = {label for _, label in base}
                 score = 1.0 if base else max((h[3] for h in hits), default=0.0)
                 rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None,
