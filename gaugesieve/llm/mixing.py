@@ -87,11 +87,14 @@ def _plan(docs: DataFrame, text: Column, weights, share: float, max_epochs: floa
 
 def _with_copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float,
                  max_epochs: float, seed: int) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
-    text = F.col(f"`{text_col}`")
-    source = F.col(f"`{source_col}`").cast("string")
-    placed = docs.withColumn("__source", source).withColumn(
-        "__order", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), "__source")).withColumn(
+    """``row``, the whole row as a struct, with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
+
+    In the struct no column of the table can clash with these.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text, source = F.col("row")[text_col], F.col("row")[source_col].cast("string")
+    placed = rows.withColumn("__source", source).withColumn(
+        "__order", F.xxhash64(F.lit(seed), F.col("row")[id_col], "__source")).withColumn(
         "__slice", F.shiftrightunsigned("__order", 64 - (SLICES.bit_length() - 1)).cast("int"))
     plan = _plan(placed, text, weights, share, max_epochs)
     placed = placed.join(sized_broadcast(plan), F.col("__source").eqNullSafe(F.col("__of")))
@@ -103,7 +106,7 @@ def _with_copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, w
         "__extra", F.col("__below") + F.coalesce(F.sum("__size").over(inside), F.lit(0)) + F.col("__size") / 2
         <= F.col("__goal"))
     return decided.unionByName(ranked).withColumn("__copies", F.col("__whole") + F.col("__extra").cast("long")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "__size", "__source_size", "__target", "__copies")
+        "row", "__size", "__source_size", "__target", "__copies")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -117,13 +120,16 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     narrow = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in (("id", id_col), ("text", text_col), ("source", source_col))])
     found = _with_copies(narrow, "id", "text", "source", weights, share, max_epochs, seed)
-    return found.select(F.col("id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+    return found.select(F.col("row.id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                         F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                weights=(3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it, columns as they are."""
+    """The mix itself: every row of ``docs`` as often as the mix takes it, columns as they are.
+
+    Nulls, repeats and empty tables as in ``mixture``; columns of any name are kept.
+    """
     found = _with_copies(docs, id_col, text_col, source_col, weights, share, max_epochs, seed)
-    repeated = found.filter("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = found.filter("__copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return repeated.select("row.*")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window as W
 
+from gaugesieve.functions.storage import sized_broadcast, stored
 from gaugesieve.llm.batches import bounded_batches, small_batches
 from gaugesieve.llm.warc import file_system
 
@@ -38,15 +39,27 @@ def load_tokenizer(path: str):
     return tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_file_scan(rows: DataFrame) -> bool:
+    """Whether the rows come straight from files, whose splits and order are the same whenever they are read."""
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    return bool(rows.inputFiles()) and plan.collectLeaves().size() == 1 and not any(
+        word in plan.toString() for word in ("Repartition", "Aggregate", "Sort", "Join", "Sample", "Limit", "Window", "Generate"))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, separator: int, id_col: str = "doc_id",
                  text_col: str = "text", width: int = 2) -> DataFrame:
     """Write the token ids of ``docs`` as flat files into the new folder ``path``.
 
     ``tokenizer`` names a rank file that exists on every machine; it never yields ``separator``. ``width`` is the
-    bytes per id, little endian. Returns where each document went, (doc_id, part, place): the number of its file and
-    its place in it, which hold for a source whose splits stay the same, such as files.
+    bytes per id, little endian. Returns where each document went, (doc_id, part, place): the number of its file and its place
+    in it. The rows are read twice in the same order, so a table that is not a plain scan of files is stored first. Null and
+    empty texts have no tokens but a separator of their own; repeated rows are documents each; an empty table has no
+    documents. Other columns, whatever their names, are not read.
     """
     bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if not is_file_scan(docs):
+        docs = stored(docs, "documents")
     kind = f"<u{width}"
 
     def run(batches):
@@ -61,11 +74,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, separator: int, id_
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     line_end = int(separator).to_bytes(width, "little").decode("latin-1")
-    ids = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "value binary")
+    ids = docs.select("text").mapInArrow(run, "value binary")
     ids.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
         "lineSep", line_end).text(path)
     place = F.monotonically_increasing_id()
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.shiftright(place, 33).alias("part"),
+    return docs.select(F.col("id").alias("doc_id"), F.shiftright(place, 33).alias("part"),
                        place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
 
 
@@ -133,12 +146,16 @@ def token_counts(spark: SparkSession, path: str, separator: int, width: int = 2,
     spark.dataSource.register(TokenBlocks)
     blocks = spark.read.format("token_blocks").option("path", path).option("separator", separator).option(
         "width", width).option("block_bytes", block_bytes).load()
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    scanned = blocks.select(
-        "file", "block", "ends", (F.col("first") + F.col("tokens")).alias("upto"),
-        F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)).alias("last_end"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs_before"),
-        F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull().alias("is_last"))
+    blocks = stored(blocks, "blocks")
+    # The scan over the blocks of a file carries three numbers of each; the separators stay where they are.
+    order = W.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", F.array_max("ends").alias("end"), F.size("ends").alias("n")).select(
+        F.col("file").alias("of_file"), F.col("block").alias("of_block"), F.coalesce(F.max("end").over(before), F.lit(-1)).alias("last_end"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("docs_before"), F.lead("block").over(order).isNull().alias("is_last"))
+    same = (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block"))
+    scanned = blocks.join(sized_broadcast(stored(offsets, "offsets")), same).select(
+        "file", "block", "ends", (F.col("first") + F.col("tokens")).alias("upto"), "last_end", "docs_before", "is_last")
     inner = F.transform("ends", lambda e, i: F.struct(
         (F.col("docs_before") + i).alias("place"),
         (F.when(i == 0, F.col("last_end")).otherwise(F.get("ends", i - 1)) + 1).alias("first_token"), e.alias("end")))

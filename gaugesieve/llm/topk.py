@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-PACK = "part long, ids binary, ints binary"
-FOUND = "query_id long, vec_id long, score long"
+from gaugesieve.functions.storage import stored
+from gaugesieve.llm.batches import bounded_batches
+
+PACK = "dims int, part long, ids binary, asks binary, ints binary"
+FOUND = "query_id long, ask long, vec_id long, score long"
+MOST_PARTITIONS = 10_000
 FIRST_STEP = 16
 EXACT = 2.0 ** 53
 
@@ -28,13 +32,15 @@ def scaled_ints(vector: Column, scale: int = 256) -> Column:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """(part, id, ints) to one row per part: ids and components as binary."""
+    """(dims, part, id, ask, ints) to one row per length and part: ids, question numbers and components as binary."""
     def run(group: pa.Table) -> pa.Table:
         ints = group.column("ints").combine_chunks()
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int64()),
-                         "ids": pa.array([group.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                         "ints": pa.array([ints.flatten().to_numpy().astype(np.int64).tobytes()], pa.binary())})
-    return rows.groupBy("part").applyInArrow(run, PACK)
+
+        def binary(numbers):
+            return pa.array([numbers.to_numpy().astype(np.int64).tobytes()], pa.binary())
+        return pa.table({"dims": group.column("dims")[:1].combine_chunks(), "part": group.column("part")[:1].combine_chunks(),
+                         "ids": binary(group.column("id")), "asks": binary(group.column("ask")), "ints": binary(ints.flatten())})
+    return rows.groupBy("dims", "part").applyInArrow(run, PACK)
 
 
 class SortedLists:
@@ -99,41 +105,53 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
           scale: int = 256, skip_own: bool = True, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the largest inner product, per row of ``queries``.
 
-    Components are floor(scale * x); ties go to the smaller id. Vectors that are null or empty, or hold null or
-    non-finite components, and rows with a null id take no part; nor do vectors shorter than the longest one.
-    ``skip_own`` leaves out candidates with the query's id. A row that repeats an id is a candidate of its own; of
-    queries with one id the smallest vector is asked. Fewer than k candidates give fewer rows; an empty table gives none.
+    Components are floor(scale * x); ties go to the smaller id. Vectors that are null or empty, or hold null or non-finite
+    components, and rows with a null id take no part. Vectors are compared with those of their own length. ``skip_own`` leaves
+    out candidates with the query's id. A row that repeats an id is a candidate of its own, and a query row that does is
+    answered by itself, with ranks from 1. Fewer than k candidates give fewer rows; an empty table gives none. Other columns,
+    whatever their names, are not read.
+
+    A shard and all the blocks of queries that it meets go to one task, the shard first: it is sorted once, and the blocks
+    stream by.
     """
+    bounded_batches(vectors.sparkSession)
+
     def usable(rows: DataFrame) -> DataFrame:
         found = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled_ints(F.col(f"`{vec_col}`"), scale).alias("ints"))
-        return found.filter("id IS NOT NULL AND ints IS NOT NULL")
-
-    def dealt(rows: DataFrame, per_part: int, count: int) -> DataFrame:
-        return rows.withColumn("part", F.pmod(F.xxhash64("id", "ints"), F.lit(max(1, -(-count // per_part)))))
+        return found.filter("id IS NOT NULL AND ints IS NOT NULL").withColumn("dims", F.size("ints"))
 
     base = usable(vectors)
-    n, dims = base.agg(F.count("*"), F.max(F.size("ints"))).first()
-    asked = usable(queries).filter(F.size("ints") == F.lit(dims or 0)).groupBy("id").agg(F.min("ints").alias("ints"))
-    shards = _packed(dealt(base.filter(F.size("ints") == F.lit(dims or 0)), shard_rows, n))
-    blocks = _packed(dealt(asked, block_rows, queries.count())).select(
-        F.col("part").alias("block"), F.col("ids").alias("query_ids"), F.col("ints").alias("query_ints"))
-    parts = F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // shard_rows)) - 1).cast("long"))
-    pairs = shards.join(blocks.withColumn("part", F.explode(parts)), "part").repartition(F.col("part"), F.col("block"))
+    parts = stored(base.groupBy("dims").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") / F.lit(shard_rows))).alias("parts")), "parts")
+    number = parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    place = F.pmod(F.xxhash64("id", "ints"), F.col("parts"))
+    shards = _packed(base.join(F.broadcast(parts), "dims").select("dims", place.alias("part"), "id", F.lit(0).cast("long").alias("ask"), "ints"))
+    asked = stored(usable(queries).withColumn("ask", F.monotonically_increasing_id()), "asked")
+    blocks = max(1, -(-asked.count() // block_rows))
+    asking = _packed(asked.select("dims", F.pmod(F.xxhash64("id", "ask"), F.lit(blocks)).alias("part"), "id", "ask", "ints"))
+    meetings = asking.drop("part").join(F.broadcast(parts), "dims").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    columns = ["dims", "part", "ids", "asks", "ints"]
+    both = shards.select(F.lit(0).alias("kind"), *columns).unionByName(meetings.select(F.lit(1).alias("kind"), *columns))
+    width = max(1, min(number, MOST_PARTITIONS))
+    together = both.repartition(width, "dims", "part").sortWithinPartitions("dims", "part", "kind")
 
     def run(batches):
+        lists, points, ids = None, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                points = np.frombuffer(row["ints"], np.int64).reshape(len(ids), -1)
-                asked_ids = np.frombuffer(row["query_ids"], np.int64)
-                asked_points = np.frombuffer(row["query_ints"], np.int64).reshape(len(asked_ids), -1)
-                kind = _exact_type(points, asked_points)
-                lists = SortedLists(ids, points.astype(kind))
-                out = [(int(q), i, s) for q, point in zip(asked_ids, asked_points.astype(kind))
-                       for s, i in lists.top(point, k, int(q) if skip_own else None)]
-                names = ("query_id", "vec_id", "score")
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names)
-
-    found = pairs.select("ids", "ints", "query_ids", "query_ints").mapInArrow(run, FOUND)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                mine = np.frombuffer(row["ints"], np.int64).reshape(-1, row["dims"])
+                if row["kind"] == 0:
+                    lists, points, ids = None, mine, np.frombuffer(row["ids"], np.int64)
+                    continue
+                kind = _exact_type(points, mine)
+                if lists is None or lists.vectors.dtype != kind:
+                    lists = SortedLists(ids, points.astype(kind))
+                asks, out = np.frombuffer(row["asks"], np.int64), []
+                for q, ask, point in zip(np.frombuffer(row["ids"], np.int64).tolist(), asks.tolist(), mine.astype(kind)):
+                    out += [(q, ask, i, s) for s, i in lists.top(point, k, q if skip_own else None)]
+                names = [f.split()[0] for f in FOUND.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names)
+
+    found = together.mapInArrow(run, FOUND)
+    rank = F.row_number().over(W.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -44,21 +44,20 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), BASE_32, RFC_DIGITS)
 
 
-def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """Add ``__payload``, ``__digest`` and ``__first``: the smallest id with an equal payload, null for responses.
+def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``pages`` (id, url, payload) with ``digest`` and ``first``: the smallest id with an equal payload, null for responses.
 
     Payloads below ``min_bytes`` are not compared. Null payloads are empty. A row with a null id never is the first;
     rows that repeat the first row's id and payload are responses too.
     """
-    payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
-    rows = pages.withColumn("__payload", payload).withColumn("__digest", sha1_base32(F.col("__payload")))
-    key = F.col(f"`{id_col}`").cast("long")
-    firsts = rows.filter(F.octet_length("__payload") >= min_bytes).groupBy(F.col("__digest").alias("__of")).agg(
-        F.min(key).alias("__least"), F.count("*").alias("__n"))
-    firsts = stored(firsts.filter("__n > 1 AND __least IS NOT NULL").drop("__n"), "firsts")
-    joined = rows.join(sized_broadcast(firsts), F.col("__digest") == F.col("__of"), "left")
-    first = F.when(~key.eqNullSafe(F.col("__least")), F.col("__least"))
-    return joined.withColumn("__first", first).drop("__of", "__least")
+    payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
+    rows = pages.select("id", "url", payload.alias("payload")).withColumn("digest", sha1_base32(F.col("payload")))
+    key = F.col("id").cast("long")
+    firsts = rows.filter(F.octet_length("payload") >= min_bytes).groupBy(F.col("digest").alias("of")).agg(
+        F.min(key).alias("least"), F.count("*").alias("n"))
+    firsts = stored(firsts.filter("n > 1 AND least IS NOT NULL").drop("n"), "firsts")
+    joined = rows.join(sized_broadcast(firsts), F.col("digest") == F.col("of"), "left")
+    return joined.withColumn("first", F.when(~key.eqNullSafe(F.col("least")), F.col("least"))).drop("of", "least")
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -66,15 +65,16 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One WARC record per row as the text column ``value``, without the two line ends that close it.
 
     The block is an HTTP response; that of a revisit ends after the HTTP header, which states the length of the
-    payload. Line ends in a url are percent-encoded; a null url gives a record without target.
+    payload. Line ends in a url are percent-encoded; a null url gives a record without target. Null payloads are empty. Repeated
+    rows give a record each, an empty table none. Other columns, whatever their names, are not read.
     """
-    rows = with_revisits(pages, id_col, payload_col, min_bytes)
-    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    url = F.replace(F.replace(F.col(f"`{url_col}`").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    revisit = F.col("__first").isNotNull()
+    rows = with_revisits(pages.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (url_col, "url"), (payload_col, "payload"))]), min_bytes)
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    url = F.replace(F.replace(F.col("url").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
-                    F.octet_length("__payload").cast("string"), F.lit(END))
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("__payload")))
+                    F.octet_length("payload").cast("string"), F.lit(END))
+    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
 
     def line(label: str, value) -> Column:
         return F.coalesce(F.concat(F.lit(f"\r\n{label}: "), value), F.lit(""))
@@ -83,8 +83,8 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.lit(VERSION), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:x-page:"), name, F.lit(">"))), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("__digest"))),
-        line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("__first").cast("string"), F.lit(">"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Refers-To", F.concat(F.lit("<urn:x-page:"), F.col("first").cast("string"), F.lit(">"))),
         line("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block).alias("value"))
