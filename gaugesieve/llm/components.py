@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugesieve.functions.storage import stored
+from gaugesieve.functions.storage import sized_broadcast, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").filter("b <> m").select(
+    return both.filter("b > a").join(_looked_up(least), "a").filter("b <> m").select(
         F.col("m").alias("a"), F.col("b").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours all move to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = _looked_up(edges.groupBy("b").agg(F.min("a").alias("m")))
     moved = edges.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.unionByName(least.select(F.col("m").alias("a"), "b"))
 
 
+def _looked_up(least: DataFrame) -> DataFrame:
+    """One row per node, stored: a small table is broadcast, and beyond that both sides of the join are plain exchanges, so
+    that the links of a hot node can be split over tasks."""
+    return sized_broadcast(stored(least, "least"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node can reach.
 
