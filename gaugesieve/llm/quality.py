@@ -5,8 +5,8 @@ classes, word lengths, repetition within the passage and against earlier ones, a
 it a representation, gated attention weighs the passages of a document, and the weighted representation is scored.
 Encoder, attention and score are learned together from document labels only.
 
-Training collects the passage features of at most ``max_documents`` labelled documents, those first by a digest of
-the id, and runs on the driver. Scoring is a function of one text and the fitted numbers, so any task can do it.
+Training collects the passage features of at most ``max_documents`` labelled documents with at most ``max_passages`` passages
+together, those first by a digest of the id, and runs on the driver. Scoring is a function of one text and the fitted numbers, so any task can do it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.storage import stored
 from gaugesieve.llm.batches import bounded_batches, small_batches
@@ -193,11 +194,13 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_documents: int = 6000, **settings) -> AttentionModel:
+          max_documents: int = 6000, max_passages: int = 200_000, **settings) -> AttentionModel:
     """A model from the labelled rows that are not held out.
 
     Null labels and ids are left out; an id with several labels has their majority, 1 on a tie. Of the labelled ids
-    the ``max_documents`` first by a digest are used, which bounds what the driver collects.
+    the ``max_documents`` first by a digest are used, and of their documents those whose passages, summed in that order, do
+    not exceed ``max_passages``: this bounds what the driver collects, however long the texts are. Null texts count as empty,
+    repeated rows each count, and other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`").cast("long")
@@ -211,13 +214,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         encoder = PassageEncoder()
         for batch, texts in small_batches(batches, 2):
             for i, y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+                features = encoder.features(raw).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int64()), pa.array([y], pa.int32()),
-                     pa.array([encoder.features(raw).astype(np.float16).tobytes()], pa.binary())], ["id", "y", "features"])
+                    [pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([len(features)], pa.int64()),
+                     pa.array([features.tobytes()], pa.binary())], ["id", "y", "n", "features"])
 
     # The chosen rows are at most ``max_documents``, so they can be broadcast.
-    encoded = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, features binary")
-    rows = sorted(encoded.collect(), key=lambda r: (r["id"], bytes(r["features"])))
+    encoded = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, n long, features binary")
+    encoded = stored(encoded, "passages")
+    # A window over a few numbers of at most ``max_documents`` ids.
+    order = W.orderBy(F.xxhash64(F.lit(3), "id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sizes = encoded.groupBy("id").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(order))
+    few = sizes.filter(F.col("upto") <= max_passages).select("id")
+    rows = sorted(encoded.join(F.broadcast(few), "id").collect(), key=lambda r: (r["id"], bytes(r["features"])))
     bags = [np.frombuffer(r["features"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return fit_attention(bags, np.array([r["y"] for r in rows]), **settings)
 
@@ -242,7 +251,10 @@ def quality_score(model: AttentionModel, text: Column) -> Column:
 
 def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col: str = "text",
                   threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows give a row each."""
+    """(doc_id, held_out, score, predicted) per row of ``docs``; repeated rows give a row each, null texts score as empty ones.
+
+    An empty table gives an empty result. Other columns, whatever their names, are not read.
+    """
     bounded_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`")
     found = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), quality_score(model, F.col(f"`{text_col}`")).alias("score"))

@@ -24,12 +24,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugesieve.functions.storage import stored
-from gaugesieve.llm.batches import bounded_batches, small_batches
+from gaugesieve.llm.batches import bounded_batches
 
 # The patterns of the three base kinds, and the order of kinds at one start.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -60,7 +59,7 @@ ODD = 0.4  # share of odd pairs in ordinary strings, at most
 RANDOM = 0.01  # a string is not random if one of the three tests, corrected for their number, is below this
 BINS = 64  # bins of -log10(p), a quarter each; the last takes all that is smaller
 
-FOUND = ("doc_id long, n_chars long, base array<struct<kind:int,first:int,last:int>>, "
+FOUND = ("n_chars long, base array<struct<kind:int,first:int,last:int>>, "
          "tested array<struct<first:int,last:int,size:int,bin:int>>")
 
 
@@ -228,16 +227,15 @@ class Scanner:
                     tested.append((first, first + len(piece), sum(len(piece) >= c for c in LENGTH_CLASSES), bin_))
         return n, base, tested
 
-    def cleaned(self, text: str, discovered: dict[int, int], mark: str) -> str:
-        """``text`` with the spans that are reported replaced by ``mark``."""
-        _, base, tested = self.scan(text.encode())
-        spans = sorted([s[1:] for s in base] + [t[:2] for t in tested if t[3] >= discovered.get(t[2], BINS)])
-        parts, at = [], 0
-        for i, (first, last) in enumerate(spans):
-            if i == 0 or first > at:
-                parts += [text[at:first], mark]
-            at = max(at, last)
-        return "".join(parts) + text[at:]
+
+def without_spans(text: str, spans, mark: str) -> str:
+    """``text`` with the ascending ``spans`` replaced by ``mark``; spans that overlap or touch become one mark."""
+    parts, at = [], 0
+    for i, (first, last) in enumerate(spans):
+        if i == 0 or first > at:
+            parts += [text[at:first], mark]
+        at = max(at, last)
+    return "".join(parts) + text[at:]
 
 
 def discovery_bins(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
@@ -257,21 +255,24 @@ def discovery_bins(counts: dict[tuple[int, int], int], rate: float) -> dict[int,
     return found
 
 
-def _scan_batches(min_length: int):
-    def run(batches):
+def scanned_column(text: Column, min_length: int) -> Column:
+    """What ``Scanner.scan`` finds in each text, null as empty, as a struct of FOUND. Call ``bounded_batches`` before it runs."""
+    @F.pandas_udf(FOUND)
+    def scan(texts: pd.Series) -> pd.DataFrame:
         scanner = Scanner(min_length)
-        for batch, texts in small_batches(batches, 1):
-            found = [scanner.scan(raw) for raw in texts]
-            base = [[dict(zip(("kind", "first", "last"), s)) for s in f[1]] for f in found]
-            tested = [[dict(zip(("first", "last", "size", "bin"), s)) for s in f[2]] for f in found]
-            number = pa.int32()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.int64()),
-                 pa.array(base, pa.list_(pa.struct({"kind": number, "first": number, "last": number}))),
-                 pa.array(tested, pa.list_(pa.struct({"first": number, "last": number, "size": number, "bin": number})))],
-                ["doc_id", "n_chars", "base", "tested"])
+        found = [scanner.scan((t or "").encode()) for t in texts]
+        return pd.DataFrame({"n_chars": [f[0] for f in found],
+                             "base": [[dict(zip(("kind", "first", "last"), s)) for s in f[1]] for f in found],
+                             "tested": [[dict(zip(("first", "last", "size", "bin"), s)) for s in f[2]] for f in found]})
+
+    return scan(F.coalesce(text.cast("string"), F.lit("")))
+
 
-    return run
+def _reported(discovered: dict[int, int]) -> Column:
+    """The spans of ``base`` and the discovered ones of ``tested``."""
+    random = F.filter("tested", lambda t: t["bin"] >= _first_bin(t["size"], discovered))
+    return F.concat("base", F.transform(random, lambda t: F.struct(
+        F.lit(KINDS.index("random")).alias("kind"), t["first"].alias("first"), t["last"].alias("last"))))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 16,
@@ -283,12 +284,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans. Repeated rows give a row each. Other columns, whatever their names, are not read.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    scanned = stored(source.mapInArrow(_scan_batches(min_length), FOUND), "secrets")
-    discovered = _discovered(scanned, rate)
-    random = F.filter("tested", lambda t: t["bin"] >= _first_bin(t["size"], discovered))
-    spans = F.concat("base", F.transform(random, lambda t: F.struct(
-        F.lit(KINDS.index("random")).alias("kind"), t["first"].alias("first"), t["last"].alias("last"))))
+    scanned = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), scanned_column(F.col(f"`{text_col}`"), min_length).alias(
+        "found")).select("doc_id", "found.*"), "secrets")
+    spans = _reported(_discovered(scanned, rate))
 
     def listed(array):
         by_start = F.array_sort(F.transform(array, lambda s: F.struct(s["first"].alias("first"), s["kind"].alias("kind"), s["last"].alias("last"))))
@@ -319,17 +317,24 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
              min_length: int = 16, rate: float = 0.05) -> DataFrame:
     """``docs`` with every span replaced by ``mark``; all rows stay, and ``count_col``, if given, counts the new text.
 
-    Overlapping and touching spans become one mark. Null texts stay null.
+    Overlapping and touching spans become one mark. Null texts stay null. Repeated rows stay, an empty table stays empty, and
+    columns of any name are kept. Texts are scanned once: the rows are stored with their spans, and only those that have some
+    are rewritten.
     """
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`").cast("string")
-    discovered = _discovered(docs.select(F.lit(0).cast("long").alias("id"), text.alias("text")).mapInArrow(
-        _scan_batches(min_length), FOUND), rate)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scanned = stored(docs.select(row, scanned_column(F.col(f"`{text_col}`"), min_length).alias("found")).select("row", "found.*"), "scanned")
+    spans = F.array_sort(F.transform(_reported(_discovered(scanned, rate)), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+    cut = scanned.select("row", spans.alias("spans"))
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        scanner = Scanner(min_length)
-        return texts.map(lambda t: t if t is None else scanner.cleaned(t, discovered, mark))
-
-    changed = docs.withColumn(text_col, clean(text))
-    return changed if count_col is None else changed.withColumn(count_col, F.length(F.col(f"`{text_col}`")).cast("long"))
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, [(s["first"], s["last"]) for s in found], mark) for t, found in zip(texts, spans)], dtype=object)
+
+    text = F.col("row")[text_col].cast("string")
+    dirty = cut.filter((F.size("spans") > 0) & text.isNotNull()).withColumn("text", clean(text, F.col("spans")))
+    plain = cut.filter((F.size("spans") == 0) | text.isNull()).withColumn("text", text)
+    both = plain.unionByName(dirty)
+    new = {text_col: F.col("text")} | ({count_col: F.length("text").cast("long")} if count_col is not None else {})
+    fields = [new.get(c, F.col("row")[c]).alias(c) for c in dict.fromkeys([*docs.columns, *new])]
+    return both.select(*fields)

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import re
+import struct
 import zlib
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -226,3 +227,109 @@ def terms(text: str) -> set:
     for w in re.findall("[0-9A-Za-z\x80-\U0010FFFF]+", ascii_lower(text)):
         found |= {w} | {(n, w[:n]) for n in (4, 5) if len(w) > n}
     return found
+
+
+def spark_hash(value, seed: int = 42) -> int:
+    """Spark's xxhash64 of one value: an int as 4 bytes, ("long", n) as 8, a string as UTF-8; signed."""
+    import xxhash
+
+    if isinstance(value, tuple):
+        raw = struct.pack("<q", value[1])
+    else:
+        raw = struct.pack("<i", value) if isinstance(value, int) else value.encode()
+    return struct.unpack("<q", xxhash.xxh64(raw, seed=seed & (2**64 - 1)).digest()[::-1])[0]
+
+
+def chained_hash(*values) -> int:
+    """Spark's xxhash64 of several columns."""
+    found = 42
+    for v in values:
+        found = spark_hash(v, found)
+    return found
+
+
+def imatch_prints(rows, rates, low_idf: float, high_idf: float, seed: int) -> dict:
+    """Text to {subset: hash of its sorted list}, for all texts and edited texts of (id, text) rows."""
+    import math
+
+    def distinct(text):
+        return {t for t in re.split(r"[^\w]+|_+", text.lower()) if t}
+
+    df = {}
+    for _, text in rows:
+        for t in distinct(text or ""):
+            df[t] = df.get(t, 0) + 1
+    band = {t for t, n in df.items() if len(rows) * math.exp(-high_idf) <= n <= len(rows) * math.exp(-low_idf)}
+    out = {}
+    for text in [t or "" for _, t in rows] + list(edited_texts(rows).values()):
+        lists = {}
+        for t in distinct(text) & band:
+            h = chained_hash(seed + 1, t) & ((1 << 57) - 1)
+            for j, b in enumerate(rates):
+                if chained_hash(seed, j, t) & ((1 << b) - 1) == 0:
+                    lists.setdefault(j, []).append((j << 57) | h)
+        out[text] = {}
+        for j, keys in lists.items():
+            found = 0
+            for key in sorted(keys):
+                found = chained_hash(("long", found), ("long", key))
+            out[text][j] = found
+    return out
+
+
+def alignment_labels(text, templates, least: float) -> set:
+    """Labels of the templates that stand in a text with all key phrases and enough of their words in order, by a full table."""
+    w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+    joined = f" {' '.join(w)} "
+    found = set()
+    for label, forms in templates.items():
+        for form, keys in forms:
+            t = form.split()
+            if all(f" {k} " in joined for k in keys):
+                row = [0] * (len(w) + 1)  # longest common subsequence
+                for x in t:
+                    row = list(itertools.accumulate(range(1, len(w) + 1), lambda left, i, row=row, x=x: max(
+                        left, row[i], row[i - 1] + 1 if w[i - 1] == x else 0), initial=0))
+                if row[-1] >= least * len(t):
+                    found.add(label)
+    return found
+
+
+def odd_pairs(string: str, common) -> int:
+    """Neighbours that are neither two digits nor a pair common in prose, a capital after a small letter being odd."""
+    n = 0
+    for a, b in zip(string, string[1:]):
+        if a.isdigit() and b.isdigit():
+            continue
+        if (a + b).lower() in common and not (a.islower() and b.isupper()):
+            continue
+        n += 1
+    return n
+
+
+def step_up(p_values, rate: float) -> int:
+    """How many hypotheses the rule of Benjamini and Hochberg rejects."""
+    ordered = sorted(p_values)
+    return max([k for k, p in enumerate(ordered, 1) if p <= rate * k / len(ordered)], default=0)
+
+
+def attention_score(model, features) -> float:
+    """Forward pass of one document, passage by passage."""
+    import math
+
+    w = model.weights
+    logits, hidden = [], []
+    for row in features:
+        x = [(float(v) - float(m)) / float(s) for v, m, s in zip(row, model.mean, model.scale)]
+        h = [math.tanh(sum(x[i] * w["W"][i][j] for i in range(len(x))) + w["b"][j]) for j in range(len(w["b"]))]
+        e = 0.0
+        for g in range(len(w["a"])):
+            v = math.tanh(sum(h[i] * w["V"][i][g] for i in range(len(h))) + w["vb"][g])
+            u = 1 / (1 + math.exp(-(sum(h[i] * w["U"][i][g] for i in range(len(h))) + w["ub"][g])))
+            e += w["a"][g] * v * u
+        logits.append(e)
+        hidden.append(h)
+    top = max(logits)
+    share = [math.exp(e - top) for e in logits]
+    z = sum(a / sum(share) * sum(h[j] * w["c"][j] for j in range(len(h))) for a, h in zip(share, hidden)) + w["d"][0]
+    return 1 / (1 + math.exp(-z))

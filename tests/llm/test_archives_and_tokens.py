@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from gaugesieve.llm import queries, token_scan, topk, warc
 
-PAGES = "page_id long, url string, html string, __digest string, n int"
+SF = "/root/testdata/sf0.001"
+PAGES = "page_id long, url string, html string, __digest string, n int, digest string, first long, of int, least int, payload string, id int"
 
 
 def round_trip(spark, tmp_path, rows, **settings):
     path = str(tmp_path / "w")
-    warc.write_warc(spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES), path, **settings)
+    warc.write_warc(spark.createDataFrame([(*r, "x", 1, "d", 2, 3, 4, "p", 5) for r in rows], PAGES), path, **settings)
     return path, warc.read_warc(spark, path)
 
 
@@ -93,6 +94,28 @@ def test_token_files_of_documents(spark, tmp_path, awkward):
     assert placed.count() == len(rows)
 
 
+def test_token_counts_land_on_their_documents(spark):
+    encoding = token_scan.load_tokenizer(queries.TOKENIZER)
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op3_token_counts(spark, SF).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(encoding.encode_ordinary(t or "")) for i, t in text.items()}
+    assert len(got) == len(text) and all(r.closed for r in got)
+
+
+def test_tokens_of_shuffled_repeated_and_no_documents(spark, tmp_path, make_docs):
+    rows = [(i, "word " * (i % 17), "s") for i in range(200)] + [(3, "word " * 3, "s"), (None, None, "s")]
+    shuffled = make_docs(rows).repartition(7, "n_chars").withColumn("value", F.lit(1))
+    assert token_scan.is_file_scan(spark.read.parquet(f"{SF}/documents.parquet").select("text")) and not token_scan.is_file_scan(shuffled)
+    placed = token_scan.write_tokens(shuffled, str(tmp_path / "s"), queries.TOKENIZER, queries.END_OF_DOCUMENT)
+    counts = token_scan.token_counts(spark, str(tmp_path / "s"), queries.END_OF_DOCUMENT, block_bytes=64)
+    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
+    joined = counts.select(part.alias("part"), "place", "n_tokens").join(placed, ["part", "place"]).collect()
+    encoding = token_scan.load_tokenizer(queries.TOKENIZER)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in joined) == sorted((i or -1, len(encoding.encode_ordinary(t or ""))) for i, t, _ in rows)
+    nothing = token_scan.write_tokens(make_docs([]), str(tmp_path / "e"), queries.TOKENIZER, queries.END_OF_DOCUMENT)
+    assert nothing.count() == 0 and token_scan.token_counts(spark, str(tmp_path / "e"), queries.END_OF_DOCUMENT).count() == 0
+
+
 VECTORS = "vec_id long, embedding array<float>, score int, part int"
 
 
@@ -113,11 +136,25 @@ def test_top_k_equals_all_pairs(spark):
 def test_top_k_leaves_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, [1.0, -1.0]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (50, [inf, 1.0]), (5, []), (100, [0.0, 0.0]),
-            (6, [1.0])]
+            (None, [1.0, 1.0])]
     assert search(spark, rows) == plain.top_k([rows[0], rows[1], rows[7]])
     assert search(spark, []) == set() and search(spark, [(0, [1.0])]) == set()
 
 
+def test_top_k_of_mixed_lengths_and_repeated_queries(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(i, [float(x) for x in rng.integers(-3, 4, 2)]) for i in range(120)]
+    triples = [(i, [float(x) for x in rng.integers(-3, 4, 3)]) for i in range(150, 210)]
+    assert search(spark, pairs + triples, shard_rows=16) == plain.top_k(pairs) | plain.top_k(triples)
+    twice = spark.createDataFrame([(50, [1.0, 0.0], 1, 1), (50, [0.0, 1.0], 1, 1)], VECTORS)
+    base = spark.createDataFrame([(*r, 1, 1) for r in pairs], VECTORS)
+    got = sorted(tuple(r) for r in topk.top_k(base, twice, k=3).collect())
+    want = []
+    for q in ([1.0, 0.0], [0.0, 1.0]):
+        want += [r for r in plain.top_k([(50, q), *[p for p in pairs if p[0] != 50]], 3) if r[0] == 50]
+    assert got == sorted(want)
+
+
 def test_top_k_stops_early():
     rng = np.random.default_rng(2)
     vectors = rng.integers(0, 20, (5000, 3)).astype(float)

@@ -85,3 +85,23 @@ def test_links_equal_all_pairs_within_components_too(make_docs, monkeypatch, chu
     assert join.joining.count() < len(pairs)
     got = {r.doc: (r.n_shingles, r.component_id, r.n_links) for r in join.result(counted=True).collect()}
     assert got == {i: (*c, sum(sets[i] in p for p in pairs)) for i, c in plain.jaccard_classes(rows).items()}
+
+
+def test_one_per_class_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 9), (2, text + " x", 8), (3, "other", 7), (3, "other", 7), (4, None, 6), (5, text, 5)]
+    names = ("__doc", "of", "goes", "rows", "key", "row")
+    docs = spark.createDataFrame([(i, t, *[n] * len(names)) for i, t, n in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = ngram_join.one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.of) for r in kept.collect()) == [(1, 9), (3, 7), (4, 6)]
+
+
+def test_a_leader_in_many_pairs(spark, monkeypatch):
+    """More pairs with one leader than a copy of its set serves: the links stay those of all pairs."""
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_COPY", 3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(25)] + [(100 + i, " ".join(f"y{i}_{j}" for j in range(20))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got == plain.jaccard_classes(rows)

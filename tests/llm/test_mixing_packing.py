@@ -92,3 +92,21 @@ def test_near_copies_from_other_sources_are_in_other_bins(make_docs):
         bins.setdefault((r.shard, r.bin), []).append(r.source)
     assert sorted(r.source for r in got) == list("abcdehi") and len({r.cluster for r in got}) == 3
     assert all(len(set("abce") & set(b)) <= 1 and len(set("hi") & set(b)) <= 1 for b in bins.values())
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ("__source", "__size", "__order", "row", "__copies", "source_size")
+    rows = [(i, f"word{i} " * (i % 9), "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names)
+    copies = {r.doc_id: r.copies for r in mixing.mixture(docs).collect() if r.copies}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
+
+
+def test_near_packing_of_nothing(make_docs):
+    assert packing.pack_near(make_docs([])).collect() == []
+    assert packing.pack_near(make_docs([(1, None, "a"), (2, " ", None)])).collect() == []
+    twice = packing.pack_near(make_docs([(1, "a b", "x"), (1, "a b", "x"), (1, "c d e", "x")]), capacity=10).collect()
+    assert sorted(r.n_words for r in twice) == [2, 2, 3] and len({(r.shard, r.bin) for r in twice}) == 3

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import plain
@@ -40,10 +41,69 @@ def test_battery_tells_random_strings_from_words():
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     random_p = [secret_scan.randomness_p("".join(rng.choice(alphabet) for _ in range(40)), "base62") for _ in range(400)]
     assert sum(p < 0.05 for p in random_p) < 0.12 * 400
-    for word in ("internationalizationInternationalization1", "aaaaaaaaaaaaaaaaaaaaaaaaB1", "0000000000000000000000000000000a"):
+    for word in ("abcdefghijklmnopqrstuvwxyzabcdefghijklmnop", "aaaaaaaaaaaaaaaaaaaaaaaaB1", "0000000000000000000000000000000a"):
         assert secret_scan.randomness_p(word, secret_scan.encoding_of(word)) < 0.01
-    counts = {(0, 0): 50, (0, 30): 10, (1, 5): 3}
-    assert secret_scan.discovery_bins(counts, 0.05) == {0: 9, 1: 6} or secret_scan.discovery_bins(counts, 0.05)[0] > 0
+    for word in ("internationalizationInternationalization", "1234567890123456", "administrationconference", "misunderstandings"):
+        assert secret_scan.ordinary_p(word) > 0.01
+    keys = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(300)]
+    assert sum(secret_scan.ordinary_p(k) < 0.01 for k in keys) > 0.9 * len(keys)
+
+
+def test_ordinary_p_is_the_tail_of_odd_pairs():
+    import math
+    rng = random.Random(4)
+    for _ in range(60):
+        s = "".join(rng.choice("theanr0123Qz") for _ in range(rng.randint(2, 40)))
+        k, n = plain.odd_pairs(s, secret_scan.PAIRS), len(s) - 1
+        tail = sum(math.comb(n, i) * secret_scan.ODD**i * (1 - secret_scan.ODD) ** (n - i) for i in range(k, n + 1))
+        assert secret_scan.ordinary_p(s) == pytest.approx(tail)
+
+
+def test_discoveries_are_those_of_the_step_up_rule():
+    rng = random.Random(6)
+    for _ in range(200):
+        bins = [rng.choice((0, 0, 0, rng.randrange(64))) for _ in range(rng.randint(1, 80))]
+        counts = {(0, b): bins.count(b) for b in bins} | {(3, 0): 5}
+        first = secret_scan.discovery_bins(counts, 0.05)
+        assert sum(b >= first[0] for b in bins) == plain.step_up([10 ** (-b / 4) for b in bins], 0.05) and first[3] == secret_scan.BINS
+
+
+def test_planted_keys_are_found_and_prose_is_left_alone(make_docs):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = "the session of the international conference on water resources and regional administration was held there".split()
+    rows, keys = [], {}
+    for i in range(300):
+        words = [rng.choice(prose) for _ in range(40)] + ["Internationalization", "misunderstandings", "1234567890123456", "some-long-hyphenated-name"]
+        if i % 3 == 0:
+            keys[i] = "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 32, 40, 64))))
+            words.insert(rng.randrange(len(words)), keys[i])
+        rows.append((i, " ".join(words), "s"))
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(make_docs(rows)).collect()}
+    found = sum(f"random:{rows[i][1].index(k)}:{rows[i][1].index(k) + len(k)}" in got[i] for i, k in keys.items())
+    spans = sum(len(s.split(",")) for s in got.values() if s)
+    assert found >= 0.9 * len(keys) and spans - found <= 0.05 * spans
+
+
+@pytest.mark.parametrize("accent", ["", "é"])
+def test_long_texts_are_scanned_in_linear_time(accent):
+    rng = random.Random(2)
+    strings = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) if i % 2 else "".join(
+        rng.choice("ABCDEFGHIJabcdefghijk0123456789") for _ in range(30)) for i in range(500)]
+    scanner, index = secret_scan.Scanner(16), licenses.Index()
+    notice = " ".join(t for t, _ in licenses.TEMPLATES["mit"][1:2]) + " under the mit license. "
+    idf = dict.fromkeys(index.vocabulary, 1.0)
+
+    def seconds(n):
+        text = " ".join(accent + s for s in strings * n).encode()
+        words = licenses.words_of(((accent + " " + notice) * 20 * n).encode())
+        start = time.perf_counter()
+        _, base, tested = scanner.scan(text)
+        found = index.lookup(words, idf)
+        assert len(base) == 250 * n and len(tested) == 250 * n and len(found.base()) == 20 * n and len(found.notices(12, 2, 0.6)) >= 20 * n
+        return time.perf_counter() - start
+    seconds(1)
+    assert seconds(20) < 20 * 4 * max(seconds(1), 0.02)
 
 
 def test_licenses_of_awkward_texts(make_docs):
@@ -60,9 +120,29 @@ def test_licenses_of_awkward_texts(make_docs):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[5].labels == "mit" and got[5].score == 1.0 and got[5].spans[0].first == 50_000
     assert got[6].labels == "mit" and got[7].labels == "" and got[9].labels == "gpl"
+    assert sorted(r.doc_id for r in licenses.scan_licenses(make_docs(rows)).select("doc_id").collect()) == sorted(r[0] for r in rows)
     assert licenses.scan_licenses(make_docs([])).count() == 0
 
 
+def test_license_labels_agree_with_a_full_alignment(make_docs):
+    rng = random.Random(3)
+    forms = [(label, text) for label, parts in licenses.TEMPLATES.items() for text, _ in parts]
+    rows, planted = [], {}
+    for i in range(60):
+        label, text = forms[i % len(forms)]
+        words = text.split()
+        for _ in range(len(words) // 30):  # light damage
+            words[rng.randrange(len(words))] = "changed"
+        filler = [f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 80))]
+        rows.append((i, " ".join(filler + words + filler[::-1]), "s"))
+        planted[i] = label
+    got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    for i, text, _ in rows:
+        labels = set(filter(None, got[i].labels.split(",")))
+        assert labels <= plain.alignment_labels(text, licenses.TEMPLATES, 0.6) | set(filter(None, got[i].base_labels.split(",")))
+    assert sum(planted[i] in got[i].labels.split(",") for i in planted) >= 0.9 * len(planted)
+
+
 def texts_of(seed, n=60):
     rng = random.Random(seed)
     vocabulary = [f"t{i}" for i in range(500)]
@@ -83,6 +163,37 @@ def test_imatch_edits_and_likeness(make_docs):
     assert means[0] > 0.05 and means[0] > 2 * means[1]
 
 
+def test_imatch_hashes_the_sorted_lists(make_docs):
+    rows = [r[:2] for r in texts_of(11, 50)] + [(201, None), (203, "t1 T1 t2"), (205, "Ünï t3 t3 t4")]
+    prints = plain.imatch_prints(rows, imatch.RATES, 1.0, 7.0, 11)
+    edited = plain.edited_texts(rows)
+    ordered = sorted(i for i, _ in rows)
+    text = {i: t or "" for i, t in rows}
+    following = {i: text[ordered[(n + 1) % len(ordered)]] for n, i in enumerate(ordered)}
+
+    def shown(p):
+        return f"{sum(1 << j for j in p):016x}-" + "".join(f"{(p[j] % 2**64) >> 32:08x}" for j in sorted(p))
+
+    def near(a, b):
+        p, q = prints[a], prints[b]
+        return len(set(p.values()) & set(q.values())) / len(p.keys() | q.keys()) if p or q else float(a == b)
+
+    for r in imatch.imatch(make_docs([(i, t, "s") for i, t in rows])).collect():
+        for t, got in ((text[r.doc_id], r.fingerprint), (edited[r.doc_id], r.edited_fingerprint)):
+            assert got == shown(prints[t]) if prints[t] else got.startswith("text-")
+        assert r.near_edited == pytest.approx(near(text[r.doc_id], edited[r.doc_id]))
+        assert r.near_next == pytest.approx(near(text[r.doc_id], following[r.doc_id]))
+
+
+def test_order_by_id_in_two_levels(make_docs, monkeypatch):
+    monkeypatch.setattr(imatch, "CUTS", 4)
+    rows = texts_of(8, 90)
+    got = {r.doc_id: (r.text, r.next_text) for r in imatch.with_next(make_docs(rows), "doc_id", "text", rows_per_range=4).collect()}
+    assert len(got) == 90
+    for n, (i, text, _) in enumerate(rows):
+        assert got[i] == (text, rows[(n + 1) % len(rows)][1])
+
+
 def test_imatch_small_tables_ranges_and_repeats(make_docs):
     assert imatch.imatch(make_docs([])).count() == 0
     one = imatch.imatch(make_docs([(5, "abcd efgh", "s")])).first()
@@ -115,6 +226,14 @@ def test_attention_gradients():
             assert g[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_attention_score_is_the_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    bags = [rng.random((n, quality.FEATURES)).astype(np.float32) for n in (1, 4, 2, 6, 3, 5)]
+    model = quality.fit_attention(bags, [0, 1, 0, 1, 1, 0], hidden=3, gates=2, epochs=2)
+    for bag, got in zip(bags, model.score(bags)):
+        assert got == pytest.approx(plain.attention_score(model, bag), abs=2e-6)
+
+
 def test_quality_is_learned_and_held_out_rows_are_not_used(spark, make_docs):
     rng = random.Random(2)
     good = ["the quick brown fox jumps over lazy dogs and rests".split(), "a calm river runs through old green hills".split()]
@@ -168,3 +287,20 @@ def test_every_notice_of_a_long_text_has_its_votes(make_docs):
     rows = [(i, gpl, "s") for i in range(30)] + [(100, f"{mit} {'x ' * 50} {bsd} {'y ' * 50} {gpl}", "s")]
     got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
     assert got[100].labels == "bsd,gpl,mit" and [s.label for s in got[100].spans] == ["mit", "bsd", "gpl"]
+
+
+def test_fitted_passages_are_bounded(spark, make_docs):
+    rows = [(i, f"word{i % 5} " * (64 * (1 + i % 4)), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    taken = []
+
+    def fit(bags, y, **_):
+        taken.append((len(bags), sum(map(len, bags))))
+        return quality.AttentionModel(None)
+    original, quality.fit_attention = quality.fit_attention, fit
+    try:
+        for bound in (10_000, 30, 0):
+            quality.train(make_docs(rows), labels, max_passages=bound)
+    finally:
+        quality.fit_attention = original
+    assert taken[0][0] > 40 and 20 < taken[1][1] <= 30 and taken[2] == (0, 0)
