@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A scope that deletes, at its end, the tables that operators have stored within it.
+
+    Write or collect what shall last inside the scope, to a place of its own: results are lazy and read the stored tables.
+    Scopes may nest; tables stored by other threads than the one that opened the scope stay.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            where = hadoop(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:

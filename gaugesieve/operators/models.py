@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
@@ -323,17 +323,17 @@ def cross_validate(df: DataFrame, spec: MeasurementSpec, configs, feature_sets,
         scored = [model.probability(val, "oof_probability_invalid").select(
             *[F.col(f"`{c}`") for c in kept], F.lit(i).alias("fold"), F.lit(config.name).alias("model_name"),
             F.lit(name).alias("feature_set_name"), encode_label(spec).alias("true_invalid"), "oof_probability_invalid")
-            for (name, config), model in zip(cases, in_parallel(fitted, cases, parallel))]
+            for (name, config), model in zip(cases, in_parallel(df.sparkSession, fitted, cases, parallel))]
         results.append(durable(reduce(DataFrame.unionByName, scored)))
         for frame in held:
             frame.unpersist()
     return reduce(DataFrame.unionByName, results)
 
 
-def in_parallel(work, cases, parallel: int) -> list:
+def in_parallel(spark: SparkSession, work, cases, parallel: int) -> list:
     """``work`` of every case, in order; independent Spark jobs of a few at a time keep the cluster busy."""
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        return list(pool.map(inheritable_thread_target(work), cases))
+        return list(pool.map(inheritable_thread_target(spark)(work), cases))
 
 
 def cross_validate_matrix(df: DataFrame, spec: MeasurementSpec, columns, config: ClassifierConfig,
@@ -362,7 +362,7 @@ def matrix_oof(folds: DataFrame, spec: MeasurementSpec, cases, k: int, seed: int
             F.lit(config.name).alias("model_name"), F.lit(name).alias("feature_set_name")), "oof")
 
     pairs = [(case, i) for case in cases for i in range(1, k + 1)]
-    return reduce(DataFrame.unionByName, in_parallel(scored, pairs, parallel))
+    return reduce(DataFrame.unionByName, in_parallel(folds.sparkSession, scored, pairs, parallel))
 
 
 def out_of_fold(df: DataFrame, spec: MeasurementSpec, config: ClassifierConfig,

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from gaugesieve.functions.storage import durable, new_path
 from gaugesieve.operators import evaluate, models, submit
+from gaugesieve.operators.baselines import baseline_predictions as run_predictions
 from gaugesieve.operators.baselines import run_baselines
 from gaugesieve.operators.detectors import fit_detector
 from gaugesieve.operators.features import matrix_columns
-from gaugesieve.operators.flags import REPORTED_FLAGS, SCORED_FLAGS, decode_label, hard_mask, quality_flags
+from gaugesieve.operators.flags import HARD_FLAGS, REPORTED_FLAGS, SCORED_FLAGS, decode_label, hard_mask, quality_flags
 from gaugesieve.operators.persist import DetectorEstimator, DetectorModel
 from gaugesieve.plans import checks_features as rows
 from gaugesieve.plans.checks_audit import union_all
-from gaugesieve.plans.checks_evaluation import BAD, FOLDS, RULES, counts_sql, metrics_sql
+from gaugesieve.plans.checks_classes import RESIDUAL_CTES
+from gaugesieve.plans.checks_evaluation import (
+    BAD, FLAG_SUM, FOLDS, MAX_Z, MOMENTS, QUARTILES, RULES, counts_sql, iqr_sum, metrics_sql,
+)
 from gaugesieve.plans.checks_flags import HARD_SQL, flags_sql
 from gaugesieve.plans.forest_sql import forest_ctes, score_ctes
 from gaugesieve.plans.measurements import PROBABILITY, SPEC, fitting_rows, measurements, scoring_rows, sql_with, with_sql
@@ -360,6 +364,52 @@ def baselines(spark, sf_dir):
     return tagged(run_baselines(measurements(spark, sf_dir), SPEC))
 
 
+# The baselines without chance or with a forest that SQL repeats; LOF has its own check.
+EXACT = ("quality", "iqr", "zscore", "residual", "iforest")
+MEDIANS_OF_ALL = {c: f"(SELECT median({c}) FROM m)" for c in FEATURES}
+
+
+@checks.check("q_baseline_predictions", sql_with(
+    ("f", flags_sql()), QUARTILES, MOMENTS, *RESIDUAL_CTES, ("a", f"SELECT rid AS k, {_values_sql(MEDIANS_OF_ALL)} AS x FROM m", True),
+    *forest_ctes("a", len(FEATURES)), *score_ctes("a", "found"), query=f"""
+SELECT rid, CAST({FLAG_SUM} AS DOUBLE) AS quality_score, (({FLAG_SUM}) > 0)::INT AS quality_pred, iqr_score, iqr_pred, zscore_score, zscore_pred,
+ coalesce(p1_max_abs_residual, 0) AS residual_score, (coalesce(p1_max_abs_residual, 0) > 3 OR coalesce(p1_consistency_index, 1) < 0.1)::INT
+ AS residual_pred, score AS iforest_score, (score > 0.5)::INT AS iforest_pred
+FROM f JOIN (SELECT rid, CAST({iqr_sum()} AS DOUBLE) AS iqr_score, (({iqr_sum()}) > 0)::INT AS iqr_pred FROM m, q) USING (rid)
+ JOIN (SELECT rid, {MAX_Z} AS zscore_score, ({MAX_Z} > 3)::INT AS zscore_pred FROM m, z) USING (rid)
+ JOIN (SELECT rid, p1_max_abs_residual, p1_consistency_index FROM r) USING (rid) JOIN found ON k = rid"""),
+    [f"{m}_score" for m in EXACT])
+def baseline_predictions(spark, sf_dir):
+    """Five of the six baseline detectors on every record, as the baseline runner applies them."""
+    frame = run_predictions(measurements(spark, sf_dir), SPEC, methods=EXACT)
+    return frame.select("rid", *[c for m in EXACT for c in (f"{m}_score", f"{m}_pred")])
+
+
+@checks.check("q_oof_rows", sql_with(("s", "SELECT * FROM m"), FOLDS, query=f"""
+SELECT rid, Validity_Label, fold, CASE WHEN {BAD} THEN 1 ELSE 0 END AS true_invalid, 'Random_Forest' AS model_name,
+ 'Set_D_Full_Stage5' AS feature_set_name, row_number() OVER (ORDER BY md5(rid)) AS OOF_Rank FROM fo"""))
+def out_of_fold_rows(spark, sf_dir):
+    """What is certain about the out-of-fold table: every record once, its fold, label and rank; small trees, as no score is shown."""
+    oof = models.out_of_fold(measurements(spark, sf_dir), SPEC, models.lighter(FOREST, trees=2, depth=2))
+    return oof.select("rid", SPEC.label_col, "fold", "true_invalid", "model_name", "feature_set_name", "OOF_Rank")
+
+
+@checks.check("q_diagnostics_rows", sql_with(
+    rows.TRAIN, *rows.ridge_ctes("train"), ("t", "SELECT * FROM m WHERE Test_ID % 4 = 0"), ("f", flags_sql("t")),
+    ("e", f"SELECT f.*, {rows.EXPECTED} FROM f{rows.RIDGE_JOIN}"), ("r", f"SELECT *, {rows.RESIDUAL_SQL} FROM e"),
+    ("a", f"SELECT rid AS k, {_values_sql(dict.fromkeys(FEATURES, '0e0'))} AS x, Test_ID % 4 = 0 AS scored FROM m", True),
+    ("fitted", "SELECT k, x FROM a WHERE NOT scored"), ("asked", "SELECT k, x FROM a WHERE scored"),
+    *forest_ctes("fitted", len(FEATURES)), *score_ctes("asked", "found", fitted="fitted"), query=f"""
+SELECT rid, Test_ID, score AS Anomaly_Score, ({HARD_SQL}) AS Hard_Quality_Evidence, {", ".join([*HARD_FLAGS, *models.SOFT_EVIDENCE])}
+FROM r JOIN found ON k = rid"""), ["Anomaly_Score", *models.SOFT_EVIDENCE])
+def diagnostics_rows(spark, sf_dir):
+    """What the final detector's diagnosis knows without its classifier: anomaly score, hard flags and residual evidence."""
+    df = measurements(spark, sf_dir)
+    fitted = models.FinalHybridDetector(SPEC, models.lighter(FOREST, trees=2, depth=2)).fit(fitting_rows(df))
+    return fitted.diagnose(scoring_rows(df)).select(
+        "rid", SPEC.id_col, "Anomaly_Score", "Hard_Quality_Evidence", *HARD_FLAGS, *models.SOFT_EVIDENCE)
+
+
 @checks.check("q_hybrid_on_oof")
 def hybrid_on_oof(spark, sf_dir):
     """The hybrid comparison on flags and residuals fitted on this table and fold-isolated anomaly flags."""

@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugesieve.functions import scale
-from gaugesieve.functions.stats import correlation_p
+from gaugesieve.functions.stats import correlation_p_value
 
 rng = np.random.default_rng(3)
 SHAPES = {
@@ -35,17 +37,38 @@ def test_quantiles_do_not_depend_on_how_often_an_interval_is_cut(spark, monkeypa
     assert scale.collect_quantiles(df, {"x": F.col("x")}, PROBS) == whole
 
 
-@pytest.mark.parametrize("shape", ["normal", "lognormal", "cauchy", "one_infinity"])
-def test_no_bucket_holds_more_than_a_hundredth(spark, shape):
+@pytest.mark.parametrize("shape", ["normal", "lognormal", "cauchy", "one_infinity", "third_equal"])
+def test_ranges_are_balanced_and_bounded(spark, shape):
+    """Neither the number of ranges nor what comes to the driver follows the rows, and no range holds far more than its share."""
     r = np.random.default_rng(5)
     x = {"normal": r.normal(size=40_000), "lognormal": r.lognormal(0, 4, 40_000), "cauchy": r.standard_cauchy(40_000),
-         "one_infinity": np.append(r.normal(size=40_000), np.inf)}[shape]
+         "one_infinity": np.append(r.normal(size=40_000), np.inf), "third_equal": np.where(r.random(40_000) < 0.34, 1.0, r.normal(size=40_000))}[shape]
     import pandas as pd
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    bucketed = scale.with_bucket(df, df, [], "x", "b")
-    assert bucketed.groupBy("b").count().agg(F.max("count")).first()[0] <= 0.01 * len(x)
-    ends = bucketed.groupBy("b").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()
-    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ranks = scale.sums_below(df, [], "x", {"n": F.lit(1).cast("long")})
+        files = spark.read.parquet(*[f for f in ranks.inputFiles() if "/ranks-" in f])
+        sizes = [row["count"] for row in files.groupBy("__part").count().collect()]
+        got = ranks.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) <= 16 and max(sizes) <= 2 * sum(sizes) / 16
+    values, counts = np.unique(x, return_counts=True)
+    below = dict(zip(values.tolist(), (np.cumsum(counts) - counts).tolist()))
+    assert {row.x: row.below_n for row in got} == below
+
+
+def test_sums_below_by_group_with_null_groups_and_values(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 3.0), (None, 2.0), (None, 5.0), ("b", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = {(r.g, "nan" if r.x != r.x else r.x): (r.n, r.below_n) for r in scale.sums_below(df, ["g"], "x", {"n": F.lit(1)}).collect()}
+    assert got == {("a", 1.0): (2, 0), ("a", 3.0): (1, 2), ("a", "nan"): (1, 3), (None, 2.0): (1, 0), (None, 5.0): (1, 1)}
+    assert scale.sums_below(df.limit(0), ["g"], "x", {"n": F.lit(1)}).collect() == []
 
 
 def test_quantiles_by_group(spark):
@@ -64,7 +87,7 @@ def test_sums_below(spark):
 @pytest.mark.parametrize("parts", [1, 13])
 def test_rank_by_digest_is_the_plain_row_number(spark, parts):
     df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("x"))).repartition(parts)
-    out = scale.rank_by_digest(df, ["g"], scale.row_digest(["id"], 7), "rank")
+    out = scale.rank_by_digest(df, ["g"], ["id"], 7, "rank")
     from pyspark.sql.window import Window
     want = F.row_number().over(Window.partitionBy("g").orderBy(scale.row_digest(["id"], 7)))
     assert out.withColumn("want", want).filter("rank <> want").count() == 0 and out.count() == 500
@@ -77,9 +100,24 @@ def test_lookup_with_a_hot_key(spark):
     assert out.count() == 301 and out.filter("k = 'hot' AND top = 299").count() == 300
 
 
-def test_correlation_p():
-    for r in (0.0, 0.3, -0.77, 0.999):
-        assert correlation_p(r, 4) == pytest.approx(1 - abs(r))  # two degrees of freedom
-    assert correlation_p(0.5, 3) == pytest.approx(2 / 3)  # one: 1 - 2/pi*asin(r)
-    assert correlation_p(0.2, 100_000) == pytest.approx(0.0, abs=1e-12)
-    assert correlation_p(float("nan"), 10) is None
+def p_values(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r double, n double")
+    return [r.p for r in df.select("i", correlation_p_value("r", "n").alias("p")).orderBy("i").collect()]
+
+
+def test_correlation_p(spark):
+    rs = (0.0, 0.3, -0.77, 0.999, 1.0)
+    assert p_values(spark, [(r, 4.0) for r in rs]) == pytest.approx([1 - abs(r) for r in rs])  # two degrees of freedom
+    got = p_values(spark, [(0.5, 3.0), (0.2, 100_000.0), (float("nan"), 10.0), (None, 10.0), (0.5, 2.0)])
+    assert got[0] == pytest.approx(2 / 3)  # one: 1 - 2/pi*asin(r)
+    assert got[1] == pytest.approx(0.0, abs=1e-12) and got[2:] == [None, None, None]
+    # Four degrees of freedom: 1 - r * (3 - r^2) / 2. Many: the normal tail of r * sqrt(n), up to terms of 1 / n.
+    assert p_values(spark, [(0.4, 6.0), (-0.9, 6.0)]) == pytest.approx([1 - r * (3 - r * r) / 2 for r in (0.4, 0.9)])
+    n = 4_000_000.0
+    for z in (0.01, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0):
+        assert p_values(spark, [(z / math.sqrt(n), n)])[0] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-4)
+    # It falls without a jump where the two forms of the fraction meet.
+    for n in (12.0, 50.0, 3000.0, 60_000.0):
+        line = p_values(spark, [(math.sqrt(1.5 / (n / 2 + 1.5)) * (0.9 + 0.01 * i), n) for i in range(21)])
+        steps = np.diff(line)
+        assert (steps < 0).all() and steps.min() > 3 * steps.max()

@@ -85,3 +85,18 @@ def test_id_and_target_never_in_a_matrix(spark):
     for name in ("Test_ID", "absent"):
         with pytest.raises(ValueError):
             features.feature_matrix(df, SPEC, [name])
+
+
+def test_scratch_scope_deletes_what_was_stored_in_it(spark):
+    import os
+
+    from gaugesieve.functions import storage
+    outside = storage.stored(spark.range(3))
+    with storage.scratch(spark):
+        inside = storage.stored(spark.range(5))
+        with storage.scratch(spark):
+            inner = storage.stored(spark.range(2))
+            assert inner.count() == 2
+        files = inner.inputFiles(), inside.inputFiles()
+        assert inside.count() == 5 and not os.path.exists(files[0][0].removeprefix("file://"))
+    assert not os.path.exists(files[1][0].removeprefix("file://")) and outside.count() == 3
