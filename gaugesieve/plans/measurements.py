@@ -76,7 +76,7 @@ def measurements(spark: SparkSession, sf_dir: str, variant: str | None = None) -
     if variant is None:
         return table
     if variant == "dup":
-        return table.unionByName(table.filter(f"{SPEC.id_col} % 50 = 0"))
+        return table.unionByName(table.filter(f"{SPEC.id_col} % 51 = 0"))
     return table.selectExpr(*_variant_columns(variant))
 
 
@@ -101,7 +101,7 @@ def sql_with(*ctes: tuple, query: str, variant: str | None = None) -> str:
     if variant is None:
         parts.append(("m", "SELECT * FROM m0"))
     elif variant == "dup":
-        parts.append(("m", "SELECT * FROM m0 UNION ALL SELECT * FROM m0 WHERE Test_ID % 50 = 0"))
+        parts.append(("m", "SELECT * FROM m0 UNION ALL SELECT * FROM m0 WHERE Test_ID % 51 = 0"))
     else:
         parts.append(("m", f"SELECT {', '.join(_variant_columns(variant))} FROM m0"))
     return with_sql(*parts, *ctes, query=query)
