@@ -313,7 +313,8 @@ class JaccardJoin:
         """
         classes = self.sets.filter("n > 0").groupBy("class").agg(F.min("doc").alias("least"), F.count("*").alias("rows"))
         linked = classes.join(self.linked, F.col("class") == F.col("node"))
-        reached = linked.groupBy("component").agg(F.min("least").alias("reached"))
+        # A row per component, looked up by all of its classes.
+        reached = sized_broadcast(stored(linked.groupBy("component").agg(F.min("least").alias("reached")), "reached"))
         ids = linked.join(reached, "component").select(F.col("class").alias("of"), "reached")
         # Only classes with several rows or links need an id other than the row's own.
         placed = classes.join(ids, F.col("class") == F.col("of"), "left").filter("rows > 1 OR of IS NOT NULL").select(
