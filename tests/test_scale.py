@@ -121,3 +121,35 @@ def test_correlation_p(spark):
         line = p_values(spark, [(math.sqrt(1.5 / (n / 2 + 1.5)) * (0.9 + 0.01 * i), n) for i in range(21)])
         steps = np.diff(line)
         assert (steps < 0).all() and steps.min() > 3 * steps.max()
+
+
+@pytest.mark.parametrize("bins", [100, 4096])
+def test_quantiles_outside_folds(spark, monkeypatch, bins):
+    """Every fold's quantile over the other folds, from values that are stored once."""
+    monkeypatch.setattr(scale, "CUTS", bins)
+    monkeypatch.setattr(scale, "GATHERED", 2)
+    r = np.random.default_rng(8)
+    rows = [(int(f), float(a), None if f == 2 else float(b)) for f, a, b in zip(
+        r.integers(1, 4, 500), r.normal(size=500) * 10.0 ** r.integers(-300, 300, 500), r.integers(-2, 3, 500))]
+    df = spark.createDataFrame([*rows, (1, None, None)], "fold int, a double, b double").repartition(3)
+    got = scale.quantiles_outside_folds(df, {"a": F.col("a"), "b": F.col("b")}, 0.3, "fold", 3)
+    for i in (1, 2, 3):
+        for k, c in enumerate("ab", 1):
+            assert got[i - 1][c] == pytest.approx(np.quantile([x[k] for x in rows if x[0] != i and x[k] is not None], 0.3), rel=1e-12)
+    only = df.filter("fold = 2")
+    assert scale.quantiles_outside_folds(only, {"a": F.col("a")}, 0.5, "fold", 2)[1] == {"a": None}
+
+
+def test_values_are_stored_once_for_all_folds_and_searched_in_few_rounds(spark, monkeypatch):
+    rounds, kept = [], []
+    counted, store = scale._counted, scale.stored
+    monkeypatch.setattr(scale, "_counted", lambda t, u, spans, cuts: rounds.append(len(spans)) or counted(t, u, spans, cuts))
+    monkeypatch.setattr(scale, "stored", lambda df, name: kept.append(df.columns) or store(df, name))
+    monkeypatch.setattr(scale, "GATHERED", 16)
+    r = np.random.default_rng(9)
+    for x in (r.normal(size=20_000), r.lognormal(0, 30, 20_000), np.where(r.random(20_000) < 0.5, 7.25, r.random(20_000))):
+        rounds.clear(), kept.clear()
+        df = spark.createDataFrame([(int(i % 5) + 1, float(v)) for i, v in enumerate(x)], "fold int, x double")
+        got = scale.quantiles_outside_folds(df, {"x": F.col("x")}, 0.25, "fold", 5)
+        assert [g["x"] for g in got] == [pytest.approx(np.quantile(x[np.arange(20_000) % 5 != i], 0.25), rel=1e-12) for i in range(5)]
+        assert kept == [["u0", "part"]] and sum(n > 0 for n in rounds) <= 5
