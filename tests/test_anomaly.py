@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugesieve.operators.iforest import average_path, fit_isolation_forest
+from gaugesieve.operators.iforest import IsolationForestModel, _grow, average_path, fit_isolation_forest
 from gaugesieve.operators.lof import fit_lof
 from gaugesieve.plans.measurements import SPEC, measurements
 
@@ -61,3 +61,19 @@ def test_forest_scores_direction_range_and_repeatability(spark):
 def test_average_path():
     assert average_path([1, 2]).tolist() == [0.0, 1.0]
     assert float(average_path(256)) == pytest.approx(2 * (np.log(255) + np.euler_gamma) - 2 * 255 / 256)
+
+
+def test_complete_trees_end_where_the_grown_ones_do():
+    """A leaf above the last level is carried on to it, so that scoring takes the same steps for every row."""
+    x = np.random.default_rng(5).normal(size=(300, 3)).round(1)
+    feature, cut, path = np.full((1, 63), -1, np.int64), np.zeros((1, 63)), np.zeros((1, 63))
+    for node, f, c, p in _grow(x[:40], 42, 0, 5):
+        feature[0, node], cut[0, node], path[0, node] = f, c, p
+    features, cuts, paths = IsolationForestModel(["a", "b", "c"], {}, feature, cut, path, 40)._complete(5)
+    for row in x:
+        node = end = 0
+        while feature[0, node] >= 0:
+            node = 2 * node + 1 + int(row[feature[0, node]] > cut[0, node])
+        for _ in range(5):
+            end = 2 * end + 1 + int(row[features[0, end]] > cuts[0, end])
+        assert paths[0, end] == path[0, node]
