@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,25 @@ def test_submission_is_written_as_checked(spark, small, tmp_path):
     lossy = rows.withColumn(SPEC.label_col, F.lit("a\nb"))  # a line end that the plain CSV reader takes for the end of a row
     with pytest.raises(ValueError):
         submit.publish(lossy, str(tmp_path / "lossy"))
+
+
+def test_fits_on_rows_drawn_before_are_the_same(spark, small):
+    """Several fits of a fold share the rows they see, drawn once."""
+    df = measurements(spark, small)
+    config = models.lighter(models.CLASSIFIERS["Logistic_Regression"], max_rows=150)
+    drawn = models.fitting_sample(df, SPEC, config, 42).persist()
+    own = models.fit_classifier(df, SPEC, list(SPEC.features), config)
+    shared = models.fit_classifier(df, SPEC, list(SPEC.features), config, drawn=drawn)
+    assert drawn.count() < df.count() and shared.model.coefficients == own.model.coefficients and shared.fills == own.fills
+    slopes = models.logistic_gradient(shared, df, SPEC, config, drawn=drawn)
+    assert all(abs(r.gradient) < 1e-3 for r in slopes.collect())
+
+
+def test_bounds_of_a_leaf_tell_who_stays():
+    tree = importance.Tree(np.array([0, -1, 1, 0, -1, -1, -1]), np.array([1.0, 0, 2.0, 3.0, 0, 0, 0]),
+                           np.array([[1, 2], [-1, -1], [3, 6], [4, 5], [-1, -1], [-1, -1], [-1, -1]]), np.zeros(7))
+    low, high = tree.bounds(2)
+    x = np.random.default_rng(2).uniform(0, 4, (500, 2))
+    leaf = tree.leaves(x)
+    assert ((low[leaf] < x) & (x <= high[leaf])).all()
+    assert [(low[4, 0], high[4, 0], high[4, 1]), (low[5, 0], high[5, 0], high[5, 1])] == [(1.0, 3.0, 2.0), (3.0, np.inf, 2.0)]

@@ -37,6 +37,21 @@ def test_quantiles_do_not_depend_on_how_often_an_interval_is_cut(spark, monkeypa
     assert scale.collect_quantiles(df, {"x": F.col("x")}, PROBS) == whole
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_quantiles_are_exact_whatever_the_sample_tells(spark, monkeypatch, shape):
+    """The first round counts beside intervals of a sample; a rank outside of them, as a poor sample has it, is found all the same."""
+    values = [(float(v), i % 3 + 1) for i, v in enumerate(SHAPES[shape])] + [(float("nan"), 1), (None, 2)]
+    df = spark.createDataFrame(values, "x double, fold int").repartition(3)
+    columns = {"x": F.col("x"), "y": -F.col("x")}
+    whole, folds = scale.collect_quantiles(df, columns, PROBS), scale.quantiles_outside_folds(df, columns, 0.5, "fold", 3)
+    monkeypatch.setattr(scale, "GATHERED", 3)
+    monkeypatch.setattr(scale, "COLUMNS_AT_ONCE", 1)
+    for rows in (1, 10):
+        monkeypatch.setattr(scale, "SAMPLED", rows)
+        assert scale.collect_quantiles(df, columns, PROBS) == whole
+        assert scale.quantiles_outside_folds(df, columns, 0.5, "fold", 3) == folds
+
+
 @pytest.mark.parametrize("shape", ["normal", "lognormal", "cauchy", "one_infinity", "third_equal"])
 def test_ranges_are_balanced_and_bounded(spark, shape):
     """Neither the number of ranges nor what comes to the driver follows the rows, and no range holds far more than its share."""
