@@ -221,7 +221,7 @@ def test_submission_is_written_as_checked(spark, small, tmp_path):
 
 def test_fits_on_rows_drawn_before_are_the_same(spark, small):
     """Several fits of a fold share the rows they see, drawn once."""
-    df = measurements(spark, small)
+    df, _ = small
     config = models.lighter(models.CLASSIFIERS["Logistic_Regression"], max_rows=150)
     drawn = models.fitting_sample(df, SPEC, config, 42).persist()
     own = models.fit_classifier(df, SPEC, list(SPEC.features), config)
