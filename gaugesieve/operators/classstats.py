@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.rowwise import correlation, number, pairs_of, true_or_false
+from gaugesieve.functions.ranks import label_rank_sums
 from gaugesieve.functions.scale import exact_quantiles, lookup_by_key, melt, quantile_columns, sums_below
 from gaugesieve.functions.stats import correlation_p_value
 from gaugesieve.functions.storage import BROADCAST_ROWS, stored
@@ -45,19 +49,47 @@ def class_balance(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 
 
 def _per_class(df: DataFrame, spec: MeasurementSpec, columns) -> DataFrame:
-    """One row of class-conditional count, missing, mean, variance for every column."""
+    """One row of class-conditional count, missing, mean, variance for every column, and its correlation with the label.
+
+    Counts, means and squares are taken once per class, rows of neither class being a third; the correlation with the 0/1 label follows from them.
+    """
     label = F.col(spec.label_col)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for tag, value in (("v", spec.negative), ("i", spec.positive)):
-        aggs.append(F.count_if(label == value).alias(f"{tag}_rows"))
-        for k, c in enumerate(columns):
-            x = F.when(label == value, number(df, c))
-            aggs += [F.count(x).alias(f"{tag}_n_{k}"), F.avg(x).alias(f"{tag}_mean_{k}"),
-                     F.stddev_samp(x).alias(f"{tag}_std_{k}"), F.var_samp(x).alias(f"{tag}_var_{k}")]
-    y = encode_label(spec, trim=False)
-    aggs += [correlation(number(df, c), F.when(number(df, c).isNotNull(), y.cast("double"))).alias(f"r_{k}")
-             for k, c in enumerate(columns)]
-    return df.agg(*aggs)
+    group = F.when(label == spec.negative, "v").when(label == spec.positive, "i").otherwise("o")
+    wide = df.select(group.alias("class"), *[number(df, c).alias(f"x{k}") for k, c in enumerate(columns)])
+    sums = wide.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), *[a.alias(f"{name}{k}") for k in range(len(columns)) for name, a in (
+        ("n", F.count(f"x{k}")), ("mean", F.avg(f"x{k}")), ("var", F.var_pop(f"x{k}")), ("lo", F.min(f"x{k}")), ("hi", F.max(f"x{k}")))])
+
+    def of(tag: str, name: str) -> Column:
+        return F.max(F.when(F.col("class") == tag, F.col(name)))
+
+    aggs = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.coalesce(of(tag, "rows"), F.lit(0)).alias(f"{tag}_rows") for tag in "vi"]]
+    for k in range(len(columns)):
+        aggs += [F.struct(*[of(tag, f"{name}{k}").alias(name) for name in ("n", "mean", "var")]).alias(f"{tag}{k}") for tag in "vio"]
+        lo, hi = F.min(f"lo{k}"), F.max(f"hi{k}")
+        aggs.append(((lo < hi) | (F.abs(lo) == float("inf"))).alias(f"varies{k}"))
+    out = [F.col("rows"), F.col("v_rows"), F.col("i_rows")]
+    for k in range(len(columns)):
+        for tag in "vi":
+            n = F.coalesce(F.col(f"{tag}{k}.n"), F.lit(0))
+            var = F.try_divide(F.col(f"{tag}{k}.var") * n, n - 1)
+            out += [n.alias(f"{tag}_n_{k}"), F.col(f"{tag}{k}.mean").alias(f"{tag}_mean_{k}"),
+                    F.sqrt(var).alias(f"{tag}_std_{k}"), var.alias(f"{tag}_var_{k}")]
+        out.append(F.when(F.col(f"varies{k}"), _correlation_of([F.col(f"{tag}{k}") for tag in "ivo"])).alias(f"r_{k}"))
+    return sums.agg(*aggs).select(*out)
+
+
+def _correlation_of(groups: list[Column]) -> Column:
+    """Pearson correlation of a number with belonging to the first of the groups, from their counts, means and variances."""
+    def total(terms) -> Column:
+        return reduce(add, [F.coalesce(t, F.lit(0.0)) for t in terms])
+
+    base = F.coalesce(*[g["mean"] for g in groups])
+    n, rest = total(g["n"].cast("double") for g in groups), total(g["n"].cast("double") for g in groups[1:])
+    mid, other = (F.try_divide(total(g["n"] * (g["mean"] - base) for g in part), m) for part, m in ((groups, n), (groups[1:], rest)))
+    squares = total(g["n"] * (g["var"] + (g["mean"] - base - mid) * (g["mean"] - base - mid)) for g in groups)
+    share = F.sqrt((n - rest) * rest)
+    apart = F.coalesce(groups[0]["mean"] - base - other, F.lit(0.0))
+    return F.try_divide(apart * share * share, F.sqrt(n) * F.sqrt(squares) * share)
 
 
 def cohens_d(k, undefined=None) -> Column:
@@ -96,28 +128,17 @@ def class_statistics(df: DataFrame, spec: MeasurementSpec, columns=None) -> Data
     return stats.join(F.broadcast(wide), "Feature", "left")
 
 
-def _rank_sums(long: DataFrame, by) -> DataFrame:
-    """Average rank per distinct value: (by, value, n, positives, rank)."""
-    ranked = sums_below(long, by, "value", {"n": F.lit(1).cast("long"), "positives": F.col("y").cast("long")})
-    return ranked.withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
-
-
-def spearman_with_label(long: DataFrame) -> DataFrame:
-    """Spearman's rho of value and 0/1 label ``y`` per feature, average ranks for ties.
+def spearman_with_label(table: DataFrame, columns, label: Column) -> DataFrame:
+    """Spearman's rho of every column of a stored table with the 0/1 ``label``, average ranks for ties: (feature, rho).
 
     Ranking a two-valued variable is a linear map of it, so rho is the Pearson
-    correlation of the value ranks with ``y``, and needs only per-value counts.
+    correlation of the value ranks with the label: the positives' ranks and the ties tell it.
     """
-    ranked = _rank_sums(long, ["feature"])
-    n, p = F.sum("n").cast("double"), F.sum("positives").cast("double")
-    mid = (n + 1) / 2
-    sums = ranked.groupBy("feature").agg(
-        n.alias("n"), p.alias("p"), F.sum(F.col("positives") * F.col("rank")).alias("pr"),
-        F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("rr"), mid.alias("mid"))
-    cov = F.col("pr") - F.col("p") * F.col("mid")
-    var_rank = F.col("rr") - F.col("n") * F.col("mid") * F.col("mid")
-    var_y = F.col("p") - F.col("p") * F.col("p") / F.col("n")
-    return sums.select("feature", F.try_divide(cov, F.sqrt(var_rank * var_y)).alias("rho"))
+    n, p = F.col("n"), F.col("positives")
+    var_rank = (n * n * n - n - F.col("ties")) / 12
+    rho = F.try_divide(F.col("shifted"), F.sqrt(var_rank * (p - p * p / n)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return label_rank_sums(table, [F.col(f"`{c}`") for c in columns], label).select(names[F.col("k")].alias("feature"), rho.alias("rho"))
 
 
 def label_associations(df: DataFrame, spec: MeasurementSpec, columns=None, min_values: int = 10) -> DataFrame:
@@ -125,15 +146,16 @@ def label_associations(df: DataFrame, spec: MeasurementSpec, columns=None, min_v
     if columns is None:
         df = with_context(df, spec)[0]
         columns = compared_columns(df, spec)
-    rows = {}
+    columns, rows = list(dict.fromkeys(columns)), {}
     for k, c in enumerate(columns):
         rates = {f"{name}_Missing_Rate_Pct": percent(F.col(f"{t}_rows") - F.col(f"{t}_n_{k}"), F.col(f"{t}_rows"))
                  for t, name in (("v", "Valid"), ("i", "Invalid"))}
         rows[c] = {"n": F.col(f"v_n_{k}") + F.col(f"i_n_{k}"), "PointBiserial_Corr": F.col(f"r_{k}"),
                    "Cohens_D_EffectSize": cohens_d(k), **rates}
-    stats = tall(_per_class(df, spec, columns), rows, "Feature").filter(F.col("n") >= min_values)
-    labelled = df.withColumn("y", encode_label(spec, trim=False))
-    rho = spearman_with_label(melt(labelled, {c: number(df, c) for c in columns}, ["y"]))
+    # The columns are derived once, for the moments and the ranks.
+    table = stored(df.select(*[number(df, c).alias(c) for c in columns], F.col(spec.label_col)), "numbers")
+    stats = tall(_per_class(table, spec, columns), rows, "Feature").filter(F.col("n") >= min_values)
+    rho = spearman_with_label(table, columns, encode_label(spec, trim=False))
     joined = stats.join(F.broadcast(rho.withColumnRenamed("feature", "Feature")), "Feature", "left")
     n = F.col("n").cast("double")
     return joined.select(
