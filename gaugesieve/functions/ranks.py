@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gaugesieve.functions.storage import stored
+from gaugesieve.functions.storage import sized_broadcast, stored
 
-BLOCK = 65_535
+BLOCK = 65_535  # rows; places in a block's list of values fit two bytes, ABSENT is left over
+ABSENT = 65_535
 RANGE_VALUES = 500_000
 MAX_RANGES = 4096
 SAMPLES_PER_RANGE = 32
+PLACES, MOMENTS = -1, -2  # stand in place of a range for what stays with the block
 
 
 def range_cuts(table: DataFrame, columns: list[str]) -> list[np.ndarray]:
@@ -58,6 +61,16 @@ def _blocks(batches):
         yield pa.Table.from_batches(held)
 
 
+def _tallied(x: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the place of each row's value among them, and per value its rows and those with each of the marks."""
+    values, places = np.unique(x, return_inverse=True)
+    tally = np.zeros((len(values), 1 + marks.shape[1]), np.int32)
+    tally[:, 0] = np.bincount(places, minlength=len(values))
+    for j in np.flatnonzero(marks.any(axis=0)):
+        tally[:, 1 + j] = np.bincount(places[marks[:, j]], minlength=len(values))
+    return values, places, tally
+
+
 def _cut(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The bytes of the rows from each start to the next."""
     rows = np.ascontiguousarray(rows)
@@ -127,3 +140,148 @@ def _label_sums(key, table):
     found = n.sum(), positives.sum(), positives @ rank, (t * t * t - t).sum()
     return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "range": pa.array([key[1].as_py()], pa.int32()),
                      **{c: pa.array([float(v)]) for c, v in zip(("n", "positives", "ranks", "ties"), found)}})
+
+
+def pair_correlations(df: DataFrame, columns: list[Column], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Per pair of columns (its place ``pair``) with any row that has both: such rows ``n``, Pearson's ``r`` and Spearman's ``rho``.
+
+    Ranks are taken among the rows complete for the pair, averages among ties; a rank among all rows of a column less what lies below of
+    the rows lacking the partner is one for any partner. A block's values come back from their ranges as ranks, in the same order.
+    A correlation with a constant is null. All but the last step runs when this is called.
+    """
+    width = len(columns)
+    names = [f"v{i}" for i in range(width)]
+    table = stored(df.select(*[c.cast("double").alias(n) for c, n in zip(columns, names)]), "numbers")
+    blocks = stored(table.mapInArrow(
+        _paired(range_cuts(table, names), pairs),
+        "block long, k int, range int, totals array<long>, data binary, tally binary, moments array<double>"), "blocks")
+    moments = _merged_moments(blocks.filter(F.col("range") == MOMENTS))
+    rows = {r["pair"]: r["n"] for r in moments.select("pair", "n").collect()}
+
+    values = blocks.filter("range >= 0")
+    totals = values.groupBy("k", "range").agg(*[F.sum(F.col("totals")[j]).alias(f"t{j}") for j in range(1 + width)])
+    before = W.partitionBy("k").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    below = stored(totals.select("k", "range", F.array(*[
+        F.coalesce(F.sum(f"t{j}").over(before), F.lit(0)) for j in range(1 + width)]).alias("below")), "offsets")
+    ranks = values.select("block", "k", "range", "data", "tally").join(sized_broadcast(below), ["k", "range"]).groupBy("k", "range").applyInArrow(
+        _range_ranks, "block long, k int, range int, data binary, tally binary")
+    places = blocks.filter(F.col("range") == PLACES).select("block", "k", "range", "data", "tally")
+    sums = ranks.unionByName(places).groupBy("block").applyInArrow(_rank_products(pairs, rows, width), "pair int, xx double, yy double, xy double")
+    rho = sums.groupBy("pair").agg(_ratio(F.sum("xy"), F.sum("xx"), F.sum("yy")).alias("rho"))
+    return moments.join(F.broadcast(rho), "pair", "left")
+
+
+def _ratio(xy: Column, xx: Column, yy: Column) -> Column:
+    return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
+
+
+def _merged_moments(blocks: DataFrame) -> DataFrame:
+    """Rows and Pearson's r per pair from each block's rows, means and sums of squares and products.
+
+    Means are taken from the smallest one, so that a constant column has no spread.
+    """
+    part = blocks.select(F.col("k").alias("pair"), *[F.col("moments")[i].alias(c) for i, c in enumerate(("n", "x", "y", "xx", "yy", "xy"))])
+    whole = W.partitionBy("pair")
+    shifted = part.withColumns({c: F.col(c) - F.min(c).over(whole) for c in "xy"})
+    centred = shifted.withColumns({c: F.col(c) - F.sum(F.col("n") * F.col(c)).over(whole) / F.sum("n").over(whole) for c in "xy"})
+
+    def total(sums: str, a: str, b: str) -> Column:
+        return F.sum(F.col(sums) + F.col("n") * F.col(a) * F.col(b))
+
+    return stored(centred.groupBy("pair").agg(
+        F.sum("n").cast("long").alias("n"), _ratio(total("xy", "x", "y"), total("xx", "x", "x"), total("yy", "y", "y")).alias("r")), "moments")
+
+
+def _paired(cuts: list[np.ndarray], pairs: list[tuple[int, int]]):
+    def rows(block, k, ranges, totals=None, data=None, tally=None, moments=None) -> pa.RecordBatch:
+        n = len(ranges)
+
+        def listed(values, kind):
+            return pa.nulls(n, pa.list_(kind)) if values is None else pa.array([v.tolist() for v in values], pa.list_(kind))
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block, np.int64)), pa.array(np.broadcast_to(np.asarray(k, np.int32), n)), pa.array(np.asarray(ranges, np.int32)), listed(totals, pa.int64()),
+             pa.nulls(n, pa.binary()) if data is None else data, pa.nulls(n, pa.binary()) if tally is None else tally, listed(moments, pa.float64())],
+            ["block", "k", "range", "totals", "data", "tally", "moments"])
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for number, table in enumerate(_blocks(batches)):
+            block, there, numbers = first + number, [], []
+            for k in range(len(cuts)):
+                valid, x = _numbers(table.column(f"v{k}"))
+                whole = np.zeros(len(valid))
+                whole[valid] = x
+                there.append(valid)
+                numbers.append(whole)
+            lacking = ~np.column_stack(there)
+            for k, c in enumerate(cuts):
+                places = np.full(len(lacking), ABSENT, np.uint16)
+                if there[k].any():
+                    values, at, tally = _tallied(numbers[k][there[k]], lacking[there[k]])
+                    places[there[k]] = at
+                    ranges, data, tallies, totals = _pieces(values, tally, c)
+                    yield rows(block, k, ranges, totals, data, tallies)
+                yield rows(block, k, [PLACES], data=_cut(places, np.zeros(1, np.int64)))
+            with np.errstate(invalid="ignore", over="ignore"):
+                found = {p: _moments(numbers[a][both], numbers[b][both]) for p, (a, b) in enumerate(pairs) if (both := there[a] & there[b]).any()}
+            if found:
+                yield rows(block, list(found), [MOMENTS] * len(found), moments=found.values())
+    return run
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows, means, and sums of squares and products about the means; taken from the first row, so that equal values have no spread."""
+    n, dx, dy = len(x), x - x[0], y - y[0]
+    mx, my = dx.mean(), dy.mean()
+    dx, dy = dx - mx, dy - my
+    return np.array([n, x[0] + mx, y[0] + my, dx @ dx, dy @ dy, dx @ dy])
+
+
+def _steps(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each row less the one before it in its piece: small numbers, which compress well."""
+    out = rows.copy()
+    out[1:] -= rows[:-1]
+    out[starts] = rows[starts]
+    return out
+
+
+def _range_ranks(key, table):
+    """For the values of each block in a range twice their ranks in the column, and what to take off for each partner that rows lack."""
+    values = _joined(table.column("data"), np.float64)
+    tally = _joined(table.column("tally"), np.int32).reshape(len(values), -1)
+    sizes = np.array([len(d) // 8 for d in table.column("data").to_pylist()])
+    order, number, sums = _ordered(values, tally)
+    below = np.array(table.column("below")[0].as_py(), np.int64)
+    twice = 2 * (below + np.cumsum(sums, axis=0) - sums) + sums
+    twice[:, 0] += 1
+    out = np.empty((len(values), twice.shape[1]), np.int64)
+    out[order] = twice[number]
+    starts = np.cumsum(sizes) - sizes
+    out = _steps(out, starts)
+    return pa.table({"block": table.column("block"), "k": table.column("k"), "range": table.column("range"),
+                     "data": _cut(out[:, 0], starts), "tally": _cut(out[:, 1:], starts)})
+
+
+def _rank_products(pairs: list[tuple[int, int]], rows: dict[int, int], width: int):
+    """Sums of squares and products of twice the ranks, less their mean, over a block's rows complete for each pair."""
+    def run(key, table):
+        places, pieces = {}, {k: [] for k in range(width)}
+        listed = zip(*[table.column(c).to_pylist() for c in ("k", "range", "data", "tally")])
+        for k, part, data, less in sorted(listed, key=lambda r: r[:2]):
+            if part == PLACES:
+                places[k] = np.frombuffer(data, np.uint16)
+            else:
+                ranks = np.cumsum(np.frombuffer(data, np.int64))
+                pieces[k].append((ranks, np.cumsum(np.frombuffer(less, np.int64).reshape(len(ranks), width), axis=0)))
+        ranks = {k: np.concatenate([p[0] for p in found]) for k, found in pieces.items() if found}
+        less = {k: np.concatenate([p[1] for p in found]) for k, found in pieces.items() if found}
+        out = []
+        for p, (a, b) in enumerate(pairs):
+            both = (places[a] != ABSENT) & (places[b] != ABSENT)
+            if both.any():
+                x, y = ((ranks[c] - less[c][:, d])[places[c][both]] - (rows[p] + 1.0) for c, d in ((a, b), (b, a)))
+                out.append((p, float(x @ x), float(y @ y), float(x @ y)))
+        pair, xx, yy, xy = zip(*out) if out else ([], [], [], [])
+        return pa.table({"pair": pa.array(pair, pa.int32()), "xx": pa.array(xx, pa.float64()), "yy": pa.array(yy, pa.float64()), "xy": pa.array(xy, pa.float64())})
+    return run

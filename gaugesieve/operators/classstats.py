@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gaugesieve.functions.rowwise import correlation, number, pairs_of, true_or_false
-from gaugesieve.functions.ranks import label_rank_sums
-from gaugesieve.functions.scale import exact_quantiles, lookup_by_key, melt, quantile_columns, sums_below
+from gaugesieve.functions.ranks import label_rank_sums, pair_correlations
+from gaugesieve.functions.scale import exact_quantiles, melt, quantile_columns
 from gaugesieve.functions.stats import correlation_p_value
-from gaugesieve.functions.storage import BROADCAST_ROWS, stored
+from gaugesieve.functions.storage import stored
 from gaugesieve.operators.audit import percent, tall
 from gaugesieve.operators.features import regime_summary, with_context, with_regimes
 from gaugesieve.operators.flags import absent, encode_label, quality_flags
@@ -303,45 +303,15 @@ def representatives(df: DataFrame, spec: MeasurementSpec) -> DataFrame:
 def relationships(df: DataFrame, spec: MeasurementSpec, min_values: int = 10) -> DataFrame:
     """Pearson and Spearman for every condition-sensor pair and every sensor pair.
 
-    Ranks are taken among the rows complete for the pair. Each column is ordered once, whatever its number of pairs: per
-    distinct value it has its rows and those below that have each of the other columns, which give the rank in any pair. The
-    ranks of a column with few values are broadcast, others are looked up with heavy values salted, once per column.
+    Ranks are taken among the rows complete for the pair. Each column is ordered once, whatever its number of pairs, and only the
+    distinct values of a block of rows travel (``pair_correlations``).
     """
     sensors = spec.present(df, spec.sensors)
     operating = spec.present(df, (spec.current, spec.voltage, spec.temperature, spec.duration))
     pairs = [("Operating_vs_Sensor", a, b) for a in operating for b in sensors]
     pairs += [("Cross_Sensor_Pair", a, b) for a, b in pairs_of(sensors)]
     columns = list(dict.fromkeys([*operating, *sensors]))
-    partners = {c: [b if a == c else a for _, a, b in pairs if c in (a, b)] for c in columns}
-    values = stored(df.select(*[number(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "numbers")
-    has = [F.col(f"v{i}").isNotNull() for i in range(len(columns))]
-    long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("value"), F.array(*has).alias("has"))
-                                            for i in range(len(columns))])))
-    table = sums_below(long, ["k"], "value", {f"n{j}": F.when(F.col("has")[j], 1).otherwise(0) for j in range(len(columns))})
-    ranks = {j: F.col(f"below_n{j}") + (F.col(f"n{j}") + 1) / 2 for j in range(len(columns))}
-
-    ranked = values
-    for i, c in enumerate(columns):
-        side = table.filter(F.col("k") == i).select(
-            F.lit(False).alias("none"), F.col("value").alias("of"), F.col(f"n{i}").alias("rows"),
-            F.array(*[ranks[columns.index(b)] for b in partners[c]]).alias(f"r{i}"))
-        count = side.count()
-        nothing = values.filter(~has[i]).agg(F.lit(True).alias("none"), F.lit(0.0).alias("of"), F.count("*").alias("rows"),
-                                             F.lit(None).cast("array<double>").alias(f"r{i}"))
-        side = side.unionByName(nothing)
-        keyed = ranked.withColumns({"none": F.col(f"v{i}").isNull(), "of": F.coalesce(f"v{i}", F.lit(0.0))})
-        if count <= BROADCAST_ROWS:
-            ranked = keyed.join(F.broadcast(side.drop("rows")), ["none", "of"]).drop("none", "of")
-        else:
-            ranked = lookup_by_key(keyed, side, ["none", "of"], "rows").drop("none", "of", "rows")
-
-    def rank_in(c: str, partner: str) -> Column:
-        return F.col(f"r{columns.index(c)}")[partners[c].index(partner)]
-
-    entries = [F.struct(F.lit(k).alias("pair"), F.col(f"v{columns.index(a)}").alias("x"), F.col(f"v{columns.index(b)}").alias("y"),
-                        rank_in(a, b).alias("rank_x"), rank_in(b, a).alias("rank_y")) for k, (_, a, b) in enumerate(pairs)]
-    stats = ranked.select(F.inline(F.array(*entries))).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"), correlation(F.col("rank_x"), F.col("rank_y")).alias("rho"))
+    stats = pair_correlations(df, [number(df, c) for c in columns], [(columns.index(a), columns.index(b)) for _, a, b in pairs])
 
     names = df.sparkSession.createDataFrame(
         [(k, kind, a, b) for k, (kind, a, b) in enumerate(pairs)],

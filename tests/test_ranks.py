@@ -21,6 +21,12 @@ def columns(n: int = 1200) -> pd.DataFrame:
     return frame
 
 
+def spark_frame(spark, frame: pd.DataFrame):
+    listed = [tuple(None if v != v else v for v in row) for row in frame.itertuples(index=False)]
+    kinds = ", ".join(f"{c} {'string' if frame[c].dtype == object else 'double'}" for c in frame.columns)
+    return spark.createDataFrame(listed, kinds).repartition(3)
+
+
 def plain(a: pd.Series, b: pd.Series):
     both = a.notna() & b.notna()
     a, b = a[both], b[both]
@@ -33,6 +39,23 @@ def close(got, want) -> bool:
     return got is None if want is None else got == pytest.approx(want, abs=1e-10)
 
 
+@pytest.mark.parametrize("block, wanted", [(65_535, 500_000), (100, 90)])
+def test_pair_correlations_match_plain_ranks(spark, monkeypatch, block, wanted):
+    """Whatever the blocks and ranges: with ties, a hot value, nulls of a partner, both zeros, a constant and an empty column."""
+    monkeypatch.setattr(ranks, "BLOCK", block)
+    monkeypatch.setattr(ranks, "RANGE_VALUES", wanted)
+    frame = columns()
+    names = list(frame.columns)
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
+    got = {r["pair"]: r for r in ranks.pair_correlations(spark_frame(spark, frame), [F.col(c) for c in names], pairs).collect()}
+    for p, (a, b) in enumerate(pairs):
+        n, r, rho = plain(frame[names[a]], frame[names[b]])
+        if n == 0:
+            assert p not in got
+        else:
+            assert got[p]["n"] == n and close(got[p]["r"], r) and close(got[p]["rho"], rho), (names[a], names[b], got[p], r, rho)
+
+
 @pytest.mark.parametrize("block, wanted", [(65_535, 500_000), (100, 90)])
 def test_label_associations_match_plain_ranks(spark, monkeypatch, block, wanted):
     monkeypatch.setattr(ranks, "BLOCK", block)
