@@ -13,7 +13,7 @@ from gaugesieve.functions.rowwise import correlation, number, pairs_of, true_or_
 from gaugesieve.functions.ranks import label_rank_sums, pair_correlations
 from gaugesieve.functions.scale import exact_quantiles, melt, quantile_columns
 from gaugesieve.functions.stats import correlation_p_value
-from gaugesieve.functions.storage import stored
+from gaugesieve.functions.storage import outlasting, scratch, stored
 from gaugesieve.operators.audit import percent, tall
 from gaugesieve.operators.features import regime_summary, with_context, with_regimes
 from gaugesieve.operators.flags import absent, encode_label, quality_flags
@@ -152,11 +152,12 @@ def label_associations(df: DataFrame, spec: MeasurementSpec, columns=None, min_v
                  for t, name in (("v", "Valid"), ("i", "Invalid"))}
         rows[c] = {"n": F.col(f"v_n_{k}") + F.col(f"i_n_{k}"), "PointBiserial_Corr": F.col(f"r_{k}"),
                    "Cohens_D_EffectSize": cohens_d(k), **rates}
-    # The columns are derived once, for the moments and the ranks.
-    table = stored(df.select(*[number(df, c).alias(c) for c in columns], F.col(spec.label_col)), "numbers")
-    stats = tall(_per_class(table, spec, columns), rows, "Feature").filter(F.col("n") >= min_values)
-    rho = spearman_with_label(table, columns, encode_label(spec, trim=False))
-    joined = stats.join(F.broadcast(rho.withColumnRenamed("feature", "Feature")), "Feature", "left")
+    # The columns are derived once, for the moments and the ranks, and deleted when both are known.
+    with scratch(df.sparkSession):
+        table = stored(df.select(*[number(df, c).alias(c) for c in columns], F.col(spec.label_col)), "numbers")
+        stats = tall(_per_class(table, spec, columns), rows, "Feature").filter(F.col("n") >= min_values)
+        rho = spearman_with_label(table, columns, encode_label(spec, trim=False))
+        joined = outlasting(stats.join(F.broadcast(rho.withColumnRenamed("feature", "Feature")), "Feature", "left"), "associations")
     n = F.col("n").cast("double")
     return joined.select(
         "Feature", "PointBiserial_Corr",
