@@ -37,11 +37,20 @@ def test_weights_are_those_of_the_minimum(spark, separable):
 def test_a_few_passes_do(spark, monkeypatch):
     """Each pass reads all rows once; a search along gradients needs many more."""
     passes, once = [], logistic._pass
-    monkeypatch.setattr(logistic, "_pass", lambda rows, beta: passes.append(1) or once(rows, beta))
+    monkeypatch.setattr(logistic, "_pass", lambda *args: passes.append(1) or once(*args))
     models.fit_classifier(table(spark, True), SPEC, ["a", "b", "c"], SETTINGS)
     assert 0 < len(passes) <= 20
 
 
+def test_gaps_infinities_flags_and_texts_are_filled_as_in_scoring(spark):
+    df = table(spark, False).withColumns({
+        "a": F.when(F.col("rid").cast("int") % 7 > 0, F.col("a")), "b": F.when(F.col("rid").cast("int") % 11 == 0, float("inf")).otherwise(F.col("b")),
+        "c": F.when(F.col("rid").cast("int") % 13 == 0, "n/a").otherwise(F.col("c").cast("string")), "flag": F.col("b") > 0.3})
+    fitted = models.fit_classifier(df, SPEC, ["a", "b", "c", "flag"], SETTINGS)
+    slopes = [r.gradient for r in models.logistic_gradient(fitted, df, SPEC, SETTINGS).collect()]
+    assert len(slopes) == 5 and max(map(abs, slopes)) < 1e-9
+
+
 def test_one_class_alone_still_fits(spark):
     df = table(spark, False).filter("Validity_Label = 'Valid'")
     fitted = models.fit_classifier(df, SPEC, ["a", "b"], SETTINGS)
