@@ -63,3 +63,15 @@ def test_baseline_predictions_store_no_wide_frame(spark, monkeypatch):
         *[((F.col("id") * (7 + i)) % 31 + 1.0).alias(c) for i, c in enumerate(SPEC.features)])
     frame = baselines.baseline_predictions(rows, SPEC, forest_trees=5, methods=EXACT)
     assert frame.select("rid", "iforest_score").count() == 400 and max(wide, default=0) <= len(SPEC.features)
+
+
+def test_an_audit_stores_its_rows_once(spark, monkeypatch):
+    from gaugesieve.operators import audit
+    from gaugesieve.plans.measurements import SPEC
+    kept, write = [], audit.stored
+    monkeypatch.setattr(audit, "stored", lambda df, name="stored": kept.append(name) or write(df, name))
+    rows = spark.range(60).select(F.col("id").cast("string").alias("rid"), (F.col("id") % 59).alias("Test_ID"),
+                                  *[((F.col("id") * (7 + i)) % 31 + 1.0).alias(c) for i, c in enumerate(SPEC.features)])
+    reports = audit.run_audit(rows, rows.limit(40), SPEC)
+    assert kept == ["flagged", "flagged"] and reports["flags_train"].count() == 60 and reports["flags_test"].count() == 40
+    assert {r.RepeatCount for r in reports["repeated_ids_train"].collect()} == {2}
