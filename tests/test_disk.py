@@ -75,3 +75,14 @@ def test_an_audit_stores_its_rows_once(spark, monkeypatch):
     reports = audit.run_audit(rows, rows.limit(40), SPEC)
     assert kept == ["flagged", "flagged"] and reports["flags_train"].count() == 60 and reports["flags_test"].count() == 40
     assert {r.RepeatCount for r in reports["repeated_ids_train"].collect()} == {2}
+
+
+def test_associations_leave_only_their_own_few_rows(spark):
+    from gaugesieve.operators.classstats import label_associations
+    from gaugesieve.plans.measurements import SPEC
+    rows = spark.range(300).select(F.col("id").cast("string").alias("rid"), F.when(F.col("id") % 5 == 0, "Invalid").otherwise("Valid").alias("Validity_Label"),
+                                   *[((F.col("id") * (7 + i)) % 31 + 1.0).alias(c) for i, c in enumerate(SPEC.features)])
+    before = names(spark)
+    found = label_associations(rows, SPEC, columns=list(SPEC.features))
+    assert {n.rsplit("-", 1)[0] for n in names(spark) - before} == {"associations"}
+    assert found.count() == len(SPEC.features) and found.filter("Spearman_Corr IS NULL").count() == 0
